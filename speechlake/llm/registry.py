@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from speechlake.llm.language import op2_language
+from speechlake.llm.quality import op3_quality
 from speechlake.llm.token_ids import op6_token_ids
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op6_token_ids": op6_token_ids,
 }
 
