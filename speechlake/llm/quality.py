@@ -1,16 +1,17 @@
 """Quality by compression: zstandard dictionaries of good and bad text, and a calibrated size difference.
 
 Every whole text is cut into blocks (so that long texts don't compress by themselves), each block is
-compressed under both dictionaries, and the normalised difference of the summed sizes goes through a logistic
-curve. Dictionaries come from one half of a bounded labelled sample, the curve from the other half.
+compressed under both dictionaries, and the normalised difference of the sizes, with how far the text shrinks,
+goes through a logistic curve. Dictionaries come from one half of a bounded labelled sample, the curve from the other half.
 
-Defined results: null and empty texts score as the curve at difference 0; repeated rows and ties get the same
+Defined results: null and empty texts score as the curve where all sizes are 0; repeated rows and ties get the same
 score each; an empty table gives no rows; no usable labels of either class: every score is 0.5; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,36 +32,45 @@ BLOCK, DICT_BYTES, LEVEL = 2048, 65_536, 3
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
 
     def compressors(self):
         return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad)]
 
-    def score(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -60, 60)))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        a = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], 1)
+        return 1 / (1 + np.exp(-np.clip(a @ self.weights, -60, 60)))
 
 
-def difference(text: bytes, good, bad) -> float:
-    """(bad size - good size) / (bad size + good size): above 0 if the good dictionary fits better."""
+def evidence(text: bytes, good, bad) -> tuple[float, ...]:
+    """What the curve is drawn over, all from sizes under both dictionaries.
+
+    The normalised difference (bad - good) / (bad + good) of the whole text and of its worst block; how far the
+    text and its most repetitive block shrink under the good dictionary; the logarithm of the size.
+    """
+    if not text:
+        return (0.0,) * 5
     g = b = 0
+    worst, least = 1.0, 0.0
     for at in range(0, len(text), BLOCK):
         block = text[at : at + BLOCK]
-        g += len(good.compress(block))
-        b += len(bad.compress(block))
-    return (b - g) / (b + g) if text else 0.0
+        x, y = len(good.compress(block)), len(bad.compress(block))
+        g, b = g + x, b + y
+        if at == 0 or len(block) >= BLOCK // 4:
+            worst, least = min(worst, (y - x) / (y + x)), min(least, math.log((x + 16) / (len(block) + 16)))
+    return (b - g) / (b + g), worst, math.log((g + 16) / (len(text) + 16)), least, math.log(len(text))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression of y on x by Newton steps, lightly held to zero."""
-    scale = max(float(np.abs(x).max()), 1e-9)
-    a = np.stack([x / scale, np.ones_like(x)], 1)
-    w = np.zeros(2)
+    a = np.concatenate([x, np.ones((len(x), 1))], 1)
+    w, hold = np.zeros(a.shape[1]), np.full(a.shape[1], 1e-2)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 1e-6])
-        w = w - np.linalg.solve(h, a.T @ (p - y) + np.array([1e-3, 1e-6]) * w)
-    return float(w[0] / scale), float(w[1])
+        w = w - np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + np.diag(hold), a.T @ (p - y) + hold * w)
+    return w
 
 
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel | None:
@@ -79,11 +89,12 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel | N
             dicts[label] = zstandard.train_dictionary(size, blocks).as_bytes()
         except zstandard.ZstdError:  # too little to count: the text itself is the dictionary
             dicts[label] = b"".join(blocks)[-DICT_BYTES:]
-    model = QualityModel(dicts[1], dicts[0], 1.0, 0.0)
+    model = QualityModel(dicts[1], dicts[0], np.zeros(1), np.ones(1), np.zeros(1))
     good, bad = model.compressors()
-    x = np.array([difference(t, good, bad) for k in (0, 1) for t in texts[k][1::2]])
+    x = np.array([evidence(t, good, bad) for k in (0, 1) for t in texts[k][1::2]])
     y = np.array([k for k in (0, 1) for _ in texts[k][1::2]], float)
-    return QualityModel(dicts[1], dicts[0], *_curve(x, y))
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    return QualityModel(dicts[1], dicts[0], mean, scale, _curve((x - mean) / scale, y))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
@@ -104,8 +115,8 @@ def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] |
             found = []
             for _, offs, data in text_chunks(batch, 0, len(keep)):
                 raw = data.tobytes()
-                found += [difference(raw[a:z], good, bad) for a, z in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(m.score(np.array(found, float)))], [*keep, "score"])
+                found += [evidence(raw[a:z], good, bad) for a, z in zip(offs[:-1], offs[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(m.score(np.array(found, float).reshape(-1, 5)))], [*keep, "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
