@@ -10,6 +10,7 @@ with its own place; an empty table gives no files and no rows; extra columns are
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -19,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import n_buckets, ragged, text_chunks, tune, work_path
+from speechlake.llm.common import LOWER, RangeHash, n_buckets, ragged, text_chunks, tune, work_path
 
 #: Tokens that one image holds, about.
 IMAGE_TOKENS = 1 << 20
 #: Bits between entries of a rank directory.
 RANK_BITS = 512
 _MAGIC = b"DACT"
+_SPACE, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 13, 32]] = True
+_POINT[list(b"!#$%&*,.:;?|")] = True
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 1 << 22
 
 
 class DacImage:
@@ -100,10 +106,46 @@ class DacImage:
         return np.array([self[i] for i in range(self.starts[k], self.starts[k + 1])], np.uint32)
 
 
+class HashIndex:
+    """Slots by 64-bit hash in a few sorted runs, each at least twice the next."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, slots in self.runs:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            out[hit] = slots[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give distinct new keys the next slots, in their order."""
+        order = np.argsort(keys)
+        self.runs.append((keys[order], (order + self.size).astype(np.int32)))
+        self.size += len(keys)
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            (k1, s1), (k2, s2) = self.runs.pop(), self.runs.pop()
+            k, s = np.concatenate([k1, k2]), np.concatenate([s1, s2])
+            order = np.argsort(k, kind="stable")
+            self.runs.append((k[order], s[order]))
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece between ASCII white space, which the tokenizer drops; pieces seen before are looked up."""
+    """Encodes texts piece by piece; pieces seen before are looked up.
+
+    Pieces end at ASCII white space, which the tokenizer drops, and between an ASCII letter and ASCII
+    punctuation, where it always splits; A-Z become a-z first, as it does. A chunk that may hold the text of a
+    special token is cut at white space alone and keeps its letters.
+    """
+
+    #: Pieces given to the tokenizer at once.
+    STEP = 8192
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -111,49 +153,55 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self):
-        self.known: dict[bytes, int] = {}
+        self.known = HashIndex()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _add(self, new: list[bytes]):
-        found = self.tokenizer.encode_batch([x.decode("utf-8") for x in new], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        need, k = self.used + int(lens.sum()), len(self.known)
-        while need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(new) > len(self.begin):
-            self.begin, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.len))
-        self.flat[self.used : need] = np.fromiter((i for x in lists for i in x), np.uint32, need - self.used)
-        self.begin[k : k + len(new)], self.len[k : k + len(new)] = self.used + np.cumsum(lens) - lens, lens
-        self.known.update(zip(new, range(k, k + len(new)), strict=True))
-        self.used = need
+        self.begin, self.len = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+
+    def _add(self, new: pa.Array):
+        for at in range(0, len(new), self.STEP):
+            texts = [x.decode("utf-8") for x in new.slice(at, self.STEP).to_pylist()]
+            lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            lens = np.fromiter(map(len, lists), np.int32, len(lists))
+            need, k = self.used + int(lens.sum()), self.added
+            while need > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while k + len(lists) > len(self.begin):
+                self.begin, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.len))
+            self.flat[self.used : need] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, need - self.used)
+            self.begin[k : k + len(lists)], self.len[k : k + len(lists)] = self.used + np.cumsum(lens) - lens, lens
+            self.used, self.added = need, k + len(lists)
 
     def __call__(self, offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, how many each has)."""
         n = len(data)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        space = (data == 32) | (data == 10) | (data == 13) | (data == 9)
+        space = _SPACE[data]
         begins = np.zeros(n + 1, bool)
         begins[1:] = space
         begins[1:-1] &= ~space[1:]  # a piece takes the white space behind it along
+        if not ((data[:-1] == 60) & (data[1:] == 124)).any():  # no "<|"
+            data = LOWER[data]
+            begins[1:-1] |= _POINT[data[1:]] & (data[:-1] >= 97) & (data[:-1] <= 122)
         begins[offs] = True
         begins[n] = True
         cuts = np.flatnonzero(begins)
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) + len(words) > self.most:
+        words = coded.dictionary
+        at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+        keys = RangeHash(np.frombuffer(words.buffers()[2], np.uint8, int(at[-1])))(at[:-1], at[1:])
+        if self.known.size + len(words) > self.most:
             self._reset()
-        get = self.known.get
-        at = [get(w, -1) for w in words]
-        if new := [w for w, k in zip(words, at, strict=True) if k < 0]:
-            self._add(new)
-            at = [get(w) for w in words]
-        slot = np.array(at, np.int64)[index]
-        lens = self.len[slot]
-        ids = self.flat[ragged(self.begin[slot], lens)]
+        slot = self.known.find(keys)
+        if (new := slot < 0).any():
+            self.added = self.known.size
+            self._add(words.filter(pa.array(new)))
+            self.known.add(keys[new])
+            slot[new] = np.arange(self.known.size - int(new.sum()), self.known.size)
+        slot = slot[coded.indices.to_numpy()]
+        lens = self.len[slot].astype(np.int64)
+        ids = self.flat[ragged(self.begin[slot].astype(np.int64), lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(cuts, offs)]
         return ids, np.diff(ends)
 
@@ -168,7 +216,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col:
     def run(batches):
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary))
         for batch in batches:
-            for ids, offs, data in text_chunks(batch):
+            for ids, offs, data in text_chunks(batch, limit=ENCODE_BYTES):
                 tokens, lens = encoder(offs, data)
                 tokens = np.insert(tokens, np.cumsum(lens), end_id).astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(lens + 1)]) * 4
