@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
 from speechlake.llm.language import op2_language
 from speechlake.llm.quality import op3_quality
 from speechlake.llm.token_ids import op6_token_ids
+from speechlake.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_url_filter": op5_url_filter,
     "op6_token_ids": op6_token_ids,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_decontaminate": OP4_SQL,
+    "op5_url_filter": OP5_SQL,
+}
