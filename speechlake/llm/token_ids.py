@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from speechlake.llm.common import LOWER, RangeHash, n_buckets, ragged, text_chunks, tune, work_path
 
 #: Tokens that one image holds, about.
-IMAGE_TOKENS = 1 << 20
+IMAGE_TOKENS = 1 << 17
 #: Bits between entries of a rank directory.
 RANK_BITS = 512
 _MAGIC = b"DACT"
@@ -31,7 +31,7 @@ _SPACE, _POINT = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
 _POINT[list(b"!#$%&*,.:;?|")] = True
 #: Bytes of text encoded at once.
-ENCODE_BYTES = 1 << 22
+ENCODE_BYTES = 1 << 21
 
 
 class DacImage:
@@ -106,6 +106,21 @@ class DacImage:
         return np.array([self[i] for i in range(self.starts[k], self.starts[k + 1])], np.uint32)
 
 
+def _plain(x: str) -> bool:
+    """Whether the tokenizer's steps before its merges leave this as one word: lower-case composed letters up to U+017F."""
+    return x.isalpha() and (x.isascii() or max(x) < "\u0180") and x == x.lower()
+
+
+def _byte_chars() -> list[str]:
+    """The public byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class HashIndex:
     """Slots by 64-bit hash in a few sorted runs, each at least twice the next."""
 
@@ -145,7 +160,7 @@ class PieceEncoder:
     #: Pieces given to the tokenizer at once.
     STEP = 8192
 
-    def __init__(self, vocabulary: str, most: int = 1_500_000):
+    def __init__(self, vocabulary: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -159,8 +174,11 @@ class PieceEncoder:
 
     def _add(self, new: pa.Array):
         for at in range(0, len(new), self.STEP):
-            texts = [x.decode("utf-8") for x in new.slice(at, self.STEP).to_pylist()]
-            lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            texts, one = [x.decode("utf-8").rstrip("\t\n\r ") for x in new.slice(at, self.STEP).to_pylist()], self.tokenizer.model.tokenize
+            lists = [[t.id for t in one(x)] if x.isascii() and x.isalpha() and x.islower() else [t.id for t in one("".join([_BYTE_CHARS[b] for b in x.encode()]))] if _plain(x) else None for x in texts]
+            rest = [k for k, x in enumerate(lists) if x is None]
+            for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
+                lists[k] = e.ids
             lens = np.fromiter(map(len, lists), np.int32, len(lists))
             need, k = self.used + int(lens.sum()), self.added
             while need > len(self.flat):
