@@ -196,9 +196,11 @@ def unpack(blob: bytes, *dtypes) -> list:
 
 def groups_of(keys: np.ndarray):
     """(key, positions) for each distinct key; positions ascend."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     k = keys[order]
-    cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
+    cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     for a, b in zip(cut, np.r_[cut[1:], len(k)], strict=True):
         yield int(k[a]), order[a:b]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
 from speechlake.llm.language import op2_language
 from speechlake.llm.quality import op3_quality
+from speechlake.llm.ngram_join import op10_ngram_join
 from speechlake.llm.token_ids import op6_token_ids
 from speechlake.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_token_ids": op6_token_ids,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {
