@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from speechlake.llm.common import text_chunks, tune
 
-#: Bounds of the training sample: documents of each language, characters of one document, languages.
-TRAIN_DOCS, TRAIN_CHARS, MOST_LANGS = 2048, 16_384, 400
+#: Bounds of the training sample: documents of each language, characters of one document, documents of all languages, languages (the most frequent ones); parts of a language that are ranked apart.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MOST_LANGS, SALTS = 2048, 16_384, 16_384, 400, 16
 #: Cost of a change of language, in nats; most that one word can say for or against a language.
 SWITCH, WORD_CAP = 12.0, 6.0
 
@@ -244,12 +244,18 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
 
 def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """A sample bounded for each language by train_docs, in an order of hashes; docs: (doc_id, text, lang)."""
-    salts = 16
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "text")))
-    few = ranked.where(F.col("rank") <= math.ceil(train_docs / salts)).select("lang", "text")
-    return [(r.lang, r.text) for r in few.limit(train_docs * MOST_LANGS).collect()]
+    """A sample bounded for each language, in an order of hashes; docs: (doc_id, text, lang).
+
+    train_docs of each language, fewer where there are many languages: TRAIN_TOTAL at most of all. Ids alone are
+    ranked, in SALTS parts of each language; their texts are fetched by a broadcast of these few.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0))
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    langs = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    each = min(train_docs, TRAIN_TOTAL // max(1, len(langs)))
+    ranked = ids.where(F.col("lang").isin(langs)).withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id")))
+    few = ranked.where(F.col("rank") <= math.ceil(each / SALTS)).select("doc_id")
+    return [(r.lang, r.text) for r in usable.join(F.broadcast(few), "doc_id", "left_semi").select("lang", "text").collect()]
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

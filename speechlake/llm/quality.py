@@ -73,12 +73,18 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel | None:
-    """labelled: (doc_id, text, quality). Takes train_docs rows of each class, in an order of hashes, of at most TRAIN_CHARS characters."""
-    texts: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        rows = labelled.where((F.col("quality") == label) & (F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0)).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(train_docs).collect()
-        texts[label] = [r.text.encode() for r in rows]
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel | None:
+    """docs: (doc_id, text); labels: (doc_id, quality).
+
+    The sample: of each class the train_docs labels that come first in an order of hashes, and of their texts those
+    of at most TRAIN_CHARS characters. Only these few ids are broadcast; no text is shuffled.
+    """
+    drawn = [labels.where(F.col("quality") == k).select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(train_docs) for k in (0, 1)]
+    few = drawn[0].unionByName(drawn[1])
+    rows = docs.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0)).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("quality", "h", "text").collect()
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(rows, key=lambda r: (r.h, r.text)):
+        texts[r.quality].append(r.text.encode())
     if min(map(len, texts.values())) < 8:
         return None
     dicts = {}
@@ -127,15 +133,14 @@ def fold(column: str = "doc_id", n: int = 3):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with a quality label outside fold 1."""
-    kept = labels.where(F.col("quality").isNotNull() & (fold() != 1)).select("doc_id", "quality")
-    return docs.select("doc_id", "text").where(fold() != 1).join(kept, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Quality labels outside fold 1."""
+    return labels.where(F.col("quality").isNotNull() & (fold() != 1)).select("doc_id", "quality")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = train(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = score_quality(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (fold() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -143,5 +148,5 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier predicts as bad go; the columns stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = train(labelled_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels))
+    model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), training_labels(labels))
     return score_quality(docs, model, docs.columns).where(F.col("score") >= 0.5).select(*docs.columns)
