@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from speechlake.llm.common import text_chunks, tune
 
 #: Bounds of the training sample: documents of each language, characters of one document, documents of all languages, languages (the most frequent ones); parts of a language that are ranked apart.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MOST_LANGS, SALTS = 2048, 16_384, 16_384, 400, 16
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MOST_LANGS, SALTS = 768, 16_384, 16_384, 400, 16
 #: Cost of a change of language, in nats; most that one word can say for or against a language.
 SWITCH, WORD_CAP = 12.0, 6.0
 

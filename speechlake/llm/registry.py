@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
+from speechlake.llm.exact_substring import op9_suffix_dedup
 from speechlake.llm.language import op2_language
 from speechlake.llm.quality import op3_quality
 from speechlake.llm.ngram_join import op10_ngram_join
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_token_ids": op6_token_ids,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 

@@ -64,12 +64,13 @@ def read_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(lens.astype(np.int64))]), data
 
 
-def with_messages(store: DataFrame, messages: DataFrame, function, schema: str) -> DataFrame:
-    """function(list of the store's blobs, list of message blobs) -> rows of (int, bytes), for each bucket; messages: (b, blob)."""
+def with_messages(store: DataFrame, messages: DataFrame, function, schema: str = "b int, blob binary", fields: pa.Schema | None = None) -> DataFrame:
+    """function(list of the store's blobs, list of message blobs) -> rows, for each bucket; messages: (b, blob). fields: of the rows, where they aren't (b, blob)."""
+    fields = fields or pa.schema([("b", pa.int32()), ("blob", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = list(function(left.column("blob").to_pylist(), right.column("blob").to_pylist()))
-        return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.binary()))], names=["b", "blob"])
+        return pa.table([pa.array([x[k] for x in out], f.type) for k, f in enumerate(fields)], schema=fields)
 
     with without_aqe(store.sparkSession):
         return store.groupBy("b").cogroup(messages.groupBy("b")).applyInArrow(run, schema)
