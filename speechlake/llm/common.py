@@ -173,6 +173,63 @@ def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
     return (mix64(np.asarray(ids).astype(np.int64).view(_U)) % _U(n)).astype(np.int32)
 
 
+# ---------------------------------------------------------------- words and what is known of them
+
+_SPACE, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 13, 32]] = True
+_POINT[list(b"!#$%&*,.:;?|")] = True
+
+
+def cut_pieces(offs: np.ndarray, data: np.ndarray, fine: bool = True):
+    """(borders of all pieces, distinct pieces, which one each piece is, their hashes) of a buffer that isn't empty.
+
+    Pieces end behind ASCII white space, which they take along, and at document borders; fine: also between an
+    ASCII letter and ASCII punctuation, and A-Z become a-z.
+    """
+    n, space = len(data), _SPACE[data]
+    begins = np.zeros(n + 1, bool)
+    begins[1:] = space
+    begins[1:-1] &= ~space[1:]
+    if fine:
+        data = LOWER[data]
+        begins[1:-1] |= _POINT[data[1:]] & (data[:-1] >= 97) & (data[:-1] <= 122)
+    begins[offs] = True
+    begins[n] = True
+    cuts = np.flatnonzero(begins)
+    coded = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    words = coded.dictionary
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+    return cuts, words, coded.indices.to_numpy(), RangeHash(np.frombuffer(words.buffers()[2], np.uint8, int(at[-1])))(at[:-1], at[1:])
+
+
+class HashIndex:
+    """Slots by 64-bit hash in a few sorted runs, each at least twice the next."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, slots in self.runs:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            out[hit] = slots[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give distinct new keys the next slots, in their order."""
+        order = np.argsort(keys)
+        self.runs.append((keys[order], (order + self.size).astype(np.int32)))
+        self.size += len(keys)
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            (k1, s1), (k2, s2) = self.runs.pop(), self.runs.pop()
+            k, s = np.concatenate([k1, k2]), np.concatenate([s1, s2])
+            order = np.argsort(k, kind="stable")
+            self.runs.append((k[order], s[order]))
+
+
 # ---------------------------------------------------------------- packed rows
 
 

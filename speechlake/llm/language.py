@@ -11,6 +11,7 @@ every text is ``und``; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import text_chunks, tune
+from speechlake.llm.common import HashIndex, cut_pieces, text_chunks, tune
 
 #: Bounds of the training sample: documents of each language, characters of one document, documents of all languages, languages (the most frequent ones); parts of a language that are ranked apart.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MOST_LANGS, SALTS = 768, 16_384, 16_384, 400, 16
@@ -43,6 +44,7 @@ SCRIPT_STARTS = [
 _AT = np.array([a for a, _ in SCRIPT_STARTS])
 
 
+@functools.cache
 def script(ch: str) -> str:
     k = int(np.searchsorted(_AT, ord(ch), side="right")) - 1
     return SCRIPT_STARTS[k][1] if k >= 0 else "Other"
@@ -59,29 +61,54 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class LanguageModel:
+    """Scores are log odds against the mean language; scripts: the languages that a script may belong to."""
+
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-    unseen: np.ndarray | None = None
+    words: dict[str, int] = field(default_factory=dict)
+    word_scores: np.ndarray | None = None
+    grams: dict[str, int] = field(default_factory=dict)
+    gram_scores: np.ndarray | None = None
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def score(self, piece: str) -> tuple[np.ndarray, int]:
-        """(score of each language, at most WORD_CAP apart; letters)."""
-        word, none = letters(piece), np.zeros(len(self.langs))
-        if not word or not self.langs:
-            return none, len(word)
-        allowed = np.ones(len(self.langs), bool)
-        for s in {script(ch) for ch in word}:
-            if s in self.scripts:
-                allowed &= self.scripts[s]
-        if not allowed.any():
-            allowed[:] = True
-        s = self.words.get(word)
-        if s is None:
-            found = [self.grams[g] for g in grams(word) if g in self.grams]
-            s = np.sum(found, axis=0) * min(1.0, 6 / len(found)) if found else none
-        s = np.where(allowed, s, -np.inf)
-        return np.maximum(s - s.max(), -WORD_CAP), len(word)
+    def allowed(self, scripts: frozenset) -> np.ndarray:
+        out = np.ones(len(self.langs), bool)
+        for s in scripts:
+            out &= self.scripts.get(s, True)
+        return out if out.any() else np.ones(len(self.langs), bool)
+
+    def score(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(score of each language, at most WORD_CAP apart; letters) of each piece."""
+        n = len(pieces)
+        out, size, masks, mask_of = np.zeros((n, len(self.langs))), np.zeros(n, np.int64), {}, np.zeros(n, np.int64)
+        known_at, known, rare_at, rare_len, rare = [], [], [], [], []
+        ascii_letters = frozenset({"Latin"})
+        for k, x in enumerate(pieces):
+            plain = x.isascii()
+            w = x if plain and x.isalpha() and x.islower() else letters(x)
+            if not w:
+                continue
+            size[k] = len(w)
+            mask_of[k] = masks.setdefault(ascii_letters if plain else frozenset(map(script, w)), len(masks) + 1)
+            i = self.words.get(w)
+            if i is not None:
+                known_at.append(k)
+                known.append(i)
+            else:
+                found = [g for g in map(self.grams.get, grams(w)) if g is not None]
+                if found:
+                    rare_at.append(k)
+                    rare_len.append(len(found))
+                    rare += found
+        if known:
+            out[known_at] = self.word_scores[known]
+        if rare:
+            lens = np.array(rare_len)
+            out[rare_at] = np.add.reduceat(self.gram_scores[rare], np.cumsum(lens) - lens) * np.minimum(1.0, 6 / lens)[:, None]
+        table = np.ones((len(masks) + 1, len(self.langs)), bool)
+        for scripts, k in masks.items():
+            table[k] = self.allowed(scripts)
+        out = np.where(table[mask_of], out, -np.inf)
+        return np.maximum(out - out.max(1, keepdims=True), -WORD_CAP), size
 
 
 def train(rows: list[tuple[str, str]]) -> LanguageModel:
@@ -93,20 +120,18 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
     n = len(model.langs)
     total = np.array([max(1, sum(by[k].values())) for k in model.langs], float)
 
-    def table(counters: list[Counter], least: int) -> dict[str, np.ndarray]:
+    def table(counters: list[Counter], least: int) -> tuple[dict[str, int], np.ndarray]:
         every = Counter()
         for c in counters:
             every.update(c)
-        sums = np.array([max(1, sum(c.values())) for c in counters], float)
-        out = {}
-        for key, count in every.items():
-            if count >= least:
-                p = np.array([(c[key] + 0.5) / (t + 0.5 * len(every)) for c, t in zip(counters, sums, strict=True)])
-                s = np.log(p)
-                out[key] = s - s.mean()
-        return out
-
-    model.words = table([by[k] for k in model.langs], 4) if n else {}
+        keys = [k for k, count in every.items() if count >= least]
+        sums = np.array([sum(c.values()) for c in counters], float)
+        s = np.log((np.array([[c[k] for c in counters] for k in keys], float).reshape(-1, n) + 0.5) / (sums + 0.5 * len(every)))
+        return {k: i for i, k in enumerate(keys)}, s - s.mean(1, keepdims=True)
+
+    if not n:
+        return model
+    model.words, model.word_scores = table([by[k] for k in model.langs], 4)
     counted = []
     for k in model.langs:
         c: Counter = Counter()
@@ -114,7 +139,7 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
             for g in grams(w):
                 c[g] += times
         counted.append(c)
-    model.grams = table(counted, 3) if n else {}
+    model.grams, model.gram_scores = table(counted, 3)
     seen: dict[str, np.ndarray] = {}
     for i, k in enumerate(model.langs):
         for w, times in by[k].items():
@@ -155,43 +180,36 @@ def viterbi(scores: list[list[float]], switch: float = SWITCH) -> list[int]:
 class SpanLabeller:
     """Labels the words of many documents at once; scores of words seen before are looked up."""
 
-    def __init__(self, model: LanguageModel, most: int = 300_000):
+    def __init__(self, model: LanguageModel, most: int = 1_000_000):
         self.model, self.most = model, most
         self._reset()
 
     def _reset(self):
-        self.known: dict[bytes, int] = {}
-        self.table, self.size = np.zeros((1 << 12, len(self.model.langs))), np.zeros(1 << 12, np.int64)
+        self.known = HashIndex()
+        self.table, self.size = np.zeros((1 << 16, len(self.model.langs)), np.float32), np.zeros(1 << 16, np.int32)
 
-    def _slots(self, words: list[bytes]) -> list[int]:
-        if len(self.known) + len(words) > self.most:
+    def _slots(self, words: pa.Array, keys: np.ndarray) -> np.ndarray:
+        if self.known.size + len(words) > self.most:
             self._reset()
-        for w in words:
-            if w not in self.known:
-                k = len(self.known)
-                if k == len(self.table):
-                    self.table, self.size = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.size, np.zeros_like(self.size)])
-                self.table[k], self.size[k] = self.model.score(w.decode("utf-8"))
-                self.known[w] = k
-        return [self.known[w] for w in words]
+        slot = self.known.find(keys)
+        if (new := slot < 0).any():
+            a, z = self.known.size, self.known.size + int(new.sum())
+            while z > len(self.table):
+                self.table, self.size = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.table[a:z], self.size[a:z] = self.model.score([w.decode("utf-8").strip() for w in words.filter(pa.array(new)).to_pylist()])
+            self.known.add(keys[new])
+            slot[new] = np.arange(a, z)
+        return slot
 
     def __call__(self, offs: np.ndarray, data: np.ndarray):
-        """For each document (lang index or -1, score, [(lang index, first word, behind last word)]); words are split at ASCII white space."""
+        """For each document (lang index or -1, score, [(lang index, first piece, behind last piece)])."""
         docs, n = len(offs) - 1, len(data)
         none = [(-1, 0.0, [])] * docs
         if n == 0 or not self.model.langs:
             return none
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        begins = np.zeros(n + 1, bool)
-        begins[1:] = space
-        begins[1:-1] &= ~space[1:]
-        begins[offs] = True
-        begins[n] = True
-        cuts = np.flatnonzero(begins)
-        pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
-        coded = pieces.dictionary_encode()
-        slot = np.array(self._slots(coded.dictionary.to_pylist()), np.int64)[coded.indices.to_numpy()]
-        s, size, edge = self.table[slot], self.size[slot], np.searchsorted(cuts, offs)
+        cuts, words, index, keys = cut_pieces(offs, data)
+        slot = self._slots(words, keys)[index]
+        s, size, edge = self.table[slot].astype(float), self.size[slot].astype(np.int64), np.searchsorted(cuts, offs)
         sums = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s, axis=0)])
         total = sums[edge[1:]] - sums[edge[:-1]]
         best = total.argmax(1)
@@ -222,11 +240,11 @@ class SpanLabeller:
         return out
 
 
-_SPANS = "array<struct<lang:string,first_word:int,end_word:int>>"
+_SPANS = "array<struct<lang:string,first_piece:int,end_piece:int>>"
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, spans): spans are runs of words, split at white space, of one language."""
+    """(doc_id, lang_pred, score, spans): spans are runs of pieces (common.cut_pieces) of one language."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     names = [*model.langs, "und"]
@@ -236,8 +254,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
         for batch in batches:
             for ids, offs, data in text_chunks(batch):
                 found = label(offs, data)
-                spans = [[{"lang": names[k], "first_word": a, "end_word": z} for k, a, z in f[2]] for f in found]
-                kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
+                spans = [[{"lang": names[k], "first_piece": a, "end_piece": z} for k, a, z in f[2]] for f in found]
+                kind = pa.list_(pa.struct([("lang", pa.string()), ("first_piece", pa.int32()), ("end_piece", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([names[f[0]] for f in found], pa.string()), pa.array([min(1.0, max(0.0, f[1])) for f in found], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, spans {_SPANS}")

@@ -20,16 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import LOWER, RangeHash, n_buckets, ragged, text_chunks, tune, work_path
+from speechlake.llm.common import HashIndex, cut_pieces, n_buckets, ragged, text_chunks, tune, work_path
 
 #: Tokens that one image holds, about.
 IMAGE_TOKENS = 1 << 17
 #: Bits between entries of a rank directory.
 RANK_BITS = 512
 _MAGIC = b"DACT"
-_SPACE, _POINT = np.zeros(256, bool), np.zeros(256, bool)
-_SPACE[[9, 10, 13, 32]] = True
-_POINT[list(b"!#$%&*,.:;?|")] = True
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 1 << 21
 
@@ -121,34 +118,6 @@ def _byte_chars() -> list[str]:
 _BYTE_CHARS = _byte_chars()
 
 
-class HashIndex:
-    """Slots by 64-bit hash in a few sorted runs, each at least twice the next."""
-
-    def __init__(self):
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int64)
-        for known, slots in self.runs:
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
-            out[hit] = slots[at[hit]]
-        return out
-
-    def add(self, keys: np.ndarray) -> None:
-        """Give distinct new keys the next slots, in their order."""
-        order = np.argsort(keys)
-        self.runs.append((keys[order], (order + self.size).astype(np.int32)))
-        self.size += len(keys)
-        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
-            (k1, s1), (k2, s2) = self.runs.pop(), self.runs.pop()
-            k, s = np.concatenate([k1, k2]), np.concatenate([s1, s2])
-            order = np.argsort(k, kind="stable")
-            self.runs.append((k[order], s[order]))
-
-
 class PieceEncoder:
     """Encodes texts piece by piece; pieces seen before are looked up.
 
@@ -194,21 +163,7 @@ class PieceEncoder:
         n = len(data)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        space = _SPACE[data]
-        begins = np.zeros(n + 1, bool)
-        begins[1:] = space
-        begins[1:-1] &= ~space[1:]  # a piece takes the white space behind it along
-        if not ((data[:-1] == 60) & (data[1:] == 124)).any():  # no "<|"
-            data = LOWER[data]
-            begins[1:-1] |= _POINT[data[1:]] & (data[:-1] >= 97) & (data[:-1] <= 122)
-        begins[offs] = True
-        begins[n] = True
-        cuts = np.flatnonzero(begins)
-        pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
-        coded = pieces.dictionary_encode()
-        words = coded.dictionary
-        at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
-        keys = RangeHash(np.frombuffer(words.buffers()[2], np.uint8, int(at[-1])))(at[:-1], at[1:])
+        cuts, words, index, keys = cut_pieces(offs, data, fine=not ((data[:-1] == 60) & (data[1:] == 124)).any())  # no "<|"
         if self.known.size + len(words) > self.most:
             self._reset()
         slot = self.known.find(keys)
@@ -217,7 +172,7 @@ class PieceEncoder:
             self._add(words.filter(pa.array(new)))
             self.known.add(keys[new])
             slot[new] = np.arange(self.known.size - int(new.sum()), self.known.size)
-        slot = slot[coded.indices.to_numpy()]
+        slot = slot[index]
         lens = self.len[slot].astype(np.int64)
         ids = self.flat[ragged(self.begin[slot].astype(np.int64), lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(cuts, offs)]
