@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
+from speechlake.llm.embedding_dedup import op7_embedding_dedup
 from speechlake.llm.exact_substring import op9_suffix_dedup
 from speechlake.llm.language import op2_language
 from speechlake.llm.quality import op3_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_token_ids": op6_token_ids,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
