@@ -84,7 +84,7 @@ def release(spark: SparkSession) -> None:
 
 def text_chunks(batch: pa.RecordBatch, id_col: int = 0, text_col: int = 1, limit: int = CHUNK_BYTES):
     """(ids, offsets, bytes) of slices of a batch with about ``limit`` bytes of text each; a null text is empty."""
-    ids = batch.column(id_col).to_numpy(zero_copy_only=False)
+    ids = batch.column(id_col).to_numpy(zero_copy_only=False) if id_col != text_col else np.arange(batch.num_rows)
     col = batch.column(text_col)
     if col.null_count:
         col = col.fill_null("")

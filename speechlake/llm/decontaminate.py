@@ -86,7 +86,7 @@ class TestWindows:
 
 
 def find_hits(docs: DataFrame, tests: TestWindows, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: its columns in ``keep``, n_words, n_hit, spans (array of word ranges hit) and set_ids."""
+    """One row per row of docs: row (struct of its columns in ``keep``), n_words, n_hit, spans (array of word ranges hit) and set_ids."""
     keep = keep or ["doc_id"]
     split = docs.select(F.struct(*keep).alias("_row"), F.monotonically_increasing_id().alias("_at"), words(F.col("text")).alias("_w"))
 
@@ -108,7 +108,7 @@ def find_hits(docs: DataFrame, tests: TestWindows, keep: list[str] | None = None
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["begin"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach")),
         lambda a: a["n"],
     )
-    return whole.select("_at", "_row.*", "n_words", covered.alias("n_hit"), "spans", "set_ids")
+    return whole.select("_at", F.col("_row").alias("row"), "n_words", covered.alias("n_hit"), "spans", "set_ids")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     tests = TestWindows(benchmark, window)
     hits = find_hits(docs, tests)
     sets = F.broadcast(tests.sets) if tests.n <= BROADCAST_WINDOWS else tests.sets
-    items = hits.select("_at", "doc_id", "n_words", "n_hit", F.explode_outer("set_ids").alias("set_id")).join(sets, "set_id", "left")
+    items = hits.select("_at", "row.doc_id", "n_words", "n_hit", F.explode_outer("set_ids").alias("set_id")).join(sets, "set_id", "left")
     return (
         items.groupBy("_at")
         .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
@@ -128,9 +128,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, what: str = "docu
     """docs without what the benchmark hits: whole ``documents``, or ``spans`` (the text is then its other words, joined by spaces; untouched texts stay as they are)."""
     hits = find_hits(docs, TestWindows(benchmark, window), docs.columns)
     if what == "documents":
-        return hits.where(F.col("n_hit") == 0).select(*docs.columns)
-    left = F.array_join(F.filter(words(F.col("text")), lambda w, i: ~F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"]))), " ")
-    return hits.withColumn("text", F.when(F.col("n_hit") > 0, left).otherwise(F.col("text"))).select(*docs.columns)
+        return hits.where(F.col("n_hit") == 0).select("row.*")
+    left = F.array_join(F.filter(words(F.col("row.text")), lambda w, i: ~F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"]))), " ")
+    text = F.when(F.col("n_hit") > 0, left).otherwise(F.col("row.text")).alias("text")
+    return hits.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

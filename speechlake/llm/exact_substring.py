@@ -355,11 +355,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     fields = pa.schema([("doc_id", pa.int64()), ("_text", pa.string()), ("_cut", pa.bool_())])
     cut = _without_repeats(docs.select("doc_id", "text"), each, "doc_id long, _text string, _cut boolean", fields)
     cut = cut.where("_cut").select(F.col("doc_id").alias("_id"), "_text")
-    joined = docs.join(cut, F.col("doc_id") == F.col("_id"), "left").where("_id is null or _text <> ''")
-    new = {"text": F.coalesce("_text", "text")}
+    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left").where(cut["_id"].isNull() | (cut["_text"] != ""))
+    new = {"text": F.coalesce(cut["_text"], docs["text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_id").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(cut["_id"].isNotNull(), F.length(cut["_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

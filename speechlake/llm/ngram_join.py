@@ -415,7 +415,7 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents that are similar, by links, to one with a smaller doc_id."""
     kept = shingle_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

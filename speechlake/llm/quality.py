@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from speechlake.llm.common import text_chunks, tune
 
@@ -104,29 +105,25 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Q
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` (doc_id at least) and score (double)."""
+    """(row, score): row is a struct of the columns in ``keep`` (doc_id alone by default)."""
     spark = docs.sparkSession
     tune(spark)
-    keep = keep or ["doc_id"]
+    source = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), "text")
     if model is None:
-        return docs.select(*keep, F.lit(0.5).alias("score"))
+        return source.select("row", F.lit(0.5).alias("score"))
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
-    source = docs.select(*keep, F.col("text").alias("_scored"))
-    fields = [f for f in source.schema.fields if f.name != "_scored"]
 
     def run(batches):
         m = shared.value
         good, bad = m.compressors()
         for batch in batches:
             found = []
-            for _, offs, data in text_chunks(batch, 0, len(keep)):
+            for offs, data in ((o, d) for _, o, d in text_chunks(batch, 1, 1)):
                 raw = data.tobytes()
                 found += [evidence(raw[a:z], good, bad) for a, z in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(m.score(np.array(found, float).reshape(-1, 5)))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(np.array(found, float).reshape(-1, 5)))], ["row", "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return source.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return source.mapInArrow(run, StructType([source.schema["row"], StructField("score", DoubleType())]))
 
 
 def fold(column: str = "doc_id", n: int = 3):
@@ -142,6 +139,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = score_quality(docs.select("doc_id", "text"), model)
+    out = out.select("row.doc_id", "score")
     return out.select("doc_id", (fold() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -149,4 +147,4 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Pipeline stage: documents that the classifier predicts as bad go; the columns stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), training_labels(labels))
-    return score_quality(docs, model, docs.columns).where(F.col("score") >= 0.5).select(*docs.columns)
+    return score_quality(docs, model, docs.columns).where(F.col("score") >= 0.5).select("row.*")

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
 from speechlake.llm.embedding_dedup import op7_embedding_dedup
 from speechlake.llm.exact_substring import op9_suffix_dedup
 from speechlake.llm.language import op2_language
-from speechlake.llm.quality import op3_quality
+from speechlake.llm.licenses import op1_license_scan
 from speechlake.llm.ngram_join import op10_ngram_join
+from speechlake.llm.packing import op8_best_fit_packing
+from speechlake.llm.quality import op3_quality
 from speechlake.llm.token_ids import op6_token_ids
 from speechlake.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_token_ids": op6_token_ids,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
