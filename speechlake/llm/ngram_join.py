@@ -9,8 +9,8 @@ together whole crowds, are used last. Agreeing chunks bring candidates together;
 shingle sets.
 
 Copies (equal sets) are represented by the smallest doc_id. Within a group that shares a chunk value, first only
-neighbours in four orders are verified; what that leaves in different components is verified pair by pair, so no
-link between components is lost and no group is expanded into all its pairs.
+pairs with its likely origin and neighbours in a few orders are verified; of what that leaves in different components every pair is held against the bound that
+sketches give, and verified if it passes, so no link between components is lost.
 
 Defined results: null texts and texts without words have no shingles, size 0 and themselves as component; a text
 with fewer words than a shingle is one shingle; copies and repeated rows share a component; an empty table gives
@@ -31,9 +31,9 @@ from speechlake.llm.text_store import build_store, read_blob, take, with_message
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Counters of each of two rows of the count sketch that rules the order of chunks.
-COUNTERS = 1 << 16
-#: Orders in which neighbours of a group are verified first; most pairs that a task holds before it lets them go.
-ORDERS, HELD_PAIRS = 4, 4_000_000
+COUNTERS = 1 << 18
+#: Orders in which neighbours of a group are verified first; most pairs that a task holds before it lets them go; documents of a group that are compared in one place.
+ORDERS, HELD_PAIRS, GROUP_BLOCK = 2, 1_000_000, 2048
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -119,6 +119,26 @@ def chunk_keys(sets: np.ndarray, edge: np.ndarray, counts: np.ndarray, percent:
     return np.concatenate(out_keys), np.concatenate(out_docs)
 
 
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    return np.clip(2 ** (band_of(size) + 1), 64, 4096)
+
+
+def sketches(sets: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """A parity sketch of each set: bit i tells whether an odd number of its shingles hash to i."""
+    size = np.diff(edge)
+    bits = sketch_bits(size)
+    base = np.cumsum(bits) - bits
+    doc = np.repeat(np.arange(len(size)), size)
+    odd = np.bincount(base[doc] + ((sets >> _U(9)) & (bits[doc] - 1).astype(_U)).astype(np.int64), minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : (a + b) // 8] for a, b in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def fold_sketch(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch with ``size`` bytes: its parts XORed."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two ascending sets have 100 * intersection >= percent * union."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)) or not len(a):
@@ -141,7 +161,8 @@ def _pieces(blobs):
 
 
 def _documents(store: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, d1, d2) with a digest of each set; the count sketch, 2 x COUNTERS)."""
+    """((doc_id, n, d1, d2, sketch) with a digest and the parity sketch of each set; the count sketch, 2 x COUNTERS)."""
+    names = ["doc_id", "n", "d1", "d2", "sketch", "counts"]
 
     def run(batches):
         counts = np.zeros((2, COUNTERS), np.uint32)
@@ -153,23 +174,23 @@ def _documents(store: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 n = np.diff(edge)
                 sums = [np.concatenate([np.zeros(1, _U), np.cumsum(mix64(sets ^ m))]) for m in _MULT[:2]]
                 d = [(s[edge[1:]] - s[edge[:-1]]).view(np.int64) for s in sums]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(d[0]), pa.array(d[1]), pa.nulls(len(ids), pa.binary())], ["doc_id", "n", "d1", "d2", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(d[0]), pa.array(d[1]), pa.array(sketches(sets, edge), pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([counts.tobytes()], pa.binary())], ["doc_id", "n", "d1", "d2", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([pack(counts, level=1)], pa.binary())], names)
 
-    found = checkpointed(store.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, counts binary"))
+    found = checkpointed(store.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, counts binary"))
 
     def add(batches):
         total = np.zeros((2, COUNTERS), np.uint64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                total += np.frombuffer(blob, np.uint32 if len(blob) == 8 * COUNTERS else np.uint64).reshape(2, COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                total += unpack(blob, np.uint32)[0].reshape(2, COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array([pack(total, level=1)], pa.binary())], ["counts"])
 
     parts = found.where(F.col("counts").isNotNull()).select("counts").coalesce(8).mapInArrow(add, "counts binary").collect()  # eight sketches
     total = np.zeros((2, COUNTERS), np.uint64)
     for r in parts:
-        total += np.frombuffer(bytes(r.counts), np.uint64).reshape(2, COUNTERS)
+        total += unpack(bytes(r.counts), np.uint64)[0].reshape(2, COUNTERS)
     return found.where(F.col("doc_id").isNotNull()).drop("counts"), np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
 
 
@@ -195,6 +216,25 @@ def _blobs(k: np.ndarray, v: np.ndarray, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "blob"])
 
 
+def _pair_rows(a: np.ndarray, b: np.ndarray, n: int) -> pa.RecordBatch:
+    """What the check of pairs needs: kind 0, for a's bucket, the buckets that its text goes to (each once); kind 1, for b's bucket, the pairs."""
+    to = bucket_of(b, n).astype(np.int64)
+    order = np.lexsort((to, a))
+    x, y = a[order], to[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+    x, y = x[new], y[new]
+    rows = [(0, k, pack(x[at], y[at])) for k, at in groups_of(bucket_of(x, n))] + [(1, k, pack(a[at], b[at])) for k, at in groups_of(to)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "b", "blob"])
+
+
+def _unique_pairs(parts) -> tuple[np.ndarray, np.ndarray]:
+    x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+    return x[new], y[new]
+
+
 def _postings(store: DataFrame, n: int, representatives: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """(b, blob): chunk keys of a key bucket with the documents that post them."""
     shared = store.sparkSession.sparkContext.broadcast(counts)  # 2 x COUNTERS
@@ -231,7 +271,7 @@ def _postings(store: DataFrame, n: int, representatives: DataFrame, counts: np.n
 
 
 def _candidates(postings: DataFrame, n: int, percent: int) -> DataFrame:
-    """kind 0: pairs (a, b) of neighbours, packed for a's bucket; kind 1: groups of more than two documents (a: group, b: document)."""
+    """kinds 0 and 1: pairs to verify (see _pair_rows); kind 2: groups of more than two documents (group, document, size)."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -268,19 +308,25 @@ def _candidates(postings: DataFrame, n: int, percent: int) -> DataFrame:
         inside[:-1] |= same
         key = key[inside]
         group, doc = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
-        pairs = []
+        # The document that shares most with others is the likely origin of their copies: all of a group meet it.
+        _, place, count = np.unique(group, return_inverse=True, return_counts=True)
+        shares = np.bincount(doc, weights=(count - 1)[place], minlength=len(ids))
+        order = np.lexsort((doc, -shares[doc], group))
+        g, d = group[order], doc[order]
+        hub = np.repeat(d[np.concatenate([[True], g[1:] != g[:-1]])], count) if len(g) else d
+        pairs = [(hub, d)]
         grade = np.floor(8 * np.log(np.maximum(size[doc], 1))).astype(np.int64)
         for k in range(ORDERS):
             order = np.lexsort((mix64(ids[doc].view(_U) ^ _MULT[k]), grade, group))
             g, d = group[order], doc[order]
             near = np.flatnonzero(g[1:] == g[:-1])
-            pairs.append(np.minimum(d[near], d[near + 1]) * (1 << 32) + np.maximum(d[near], d[near + 1]))
-        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        a, b = pairs >> 32, pairs & 0xFFFFFFFF
-        fit = np.minimum(size[a], size[b]) * 100 >= percent * np.maximum(size[a], size[b])
-        a, b = a[fit], b[fit]
-        batch = _blobs(ids[a], ids[b], n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), *batch.columns], ["kind", "b", "blob"])
+            x, y = d[near], d[near + 1]
+            turn = (shares[y] > shares[x]) | ((shares[y] == shares[x]) & (y < x))
+            pairs.append((np.where(turn, y, x), np.where(turn, x, y)))
+        a, b = _unique_pairs(pairs)
+        fit = (a != b) & (np.minimum(size[a], size[b]) * 100 >= percent * np.maximum(size[a], size[b]))
+        if fit.any():
+            yield _pair_rows(ids[a[fit]], ids[b[fit]], n)
         # Larger groups, each distinct one once, may hold links that no neighbours show.
         _, first, count = np.unique(group, return_index=True, return_counts=True)
         large = count > 2
@@ -293,60 +339,64 @@ def _candidates(postings: DataFrame, n: int, percent: int) -> DataFrame:
             rows = np.concatenate([np.arange(starts[k], starts[k] + count[k]) for k in keep])
             label = np.repeat(sums.view(np.int64) ^ np.int64(bucket), count)
             d = doc[at]
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(label[rows], ids[d[rows]], size[d[rows]])], pa.binary())], ["kind", "b", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(label[rows], ids[d[rows]], size[d[rows]])], pa.binary())], ["kind", "b", "blob"])
 
     return postings.sortWithinPartitions("b").mapInArrow(run, "kind int, b int, blob binary")
 
 
 def _verify(store: DataFrame, n: int, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs that are similar, on whole shingle sets; pairs: (b, blob) for the bucket of a."""
+    """(a, b) of the pairs that are similar, on whole shingle sets; pairs: rows of _pair_rows.
+
+    A text travels once to each bucket where it has partners; pairs go to the bucket of b, so that a document with
+    very many partners gathers nothing but a list of buckets.
+    """
 
     def send(parts, messages):
         if not messages:
             return
-        a, b = (np.concatenate(x) for x in zip(*[unpack(m, np.int64, np.int64) for m in messages], strict=True))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b = a[new], b[new]
-        to = bucket_of(b, n)
+        a, to = _unique_pairs([unpack(m, np.int64, np.int64) for m in messages])
         for part in parts:
             ids, offs, data = read_blob(part)
+            place = {x: k for k, x in enumerate(ids.tolist())}
             mine = np.flatnonzero(np.isin(a, ids))
-            place = {int(x): k for k, x in enumerate(ids)}
             for bucket, at in groups_of(to[mine]):
-                at = mine[at]
-                need = np.unique(a[at])
-                o, d = take(offs, data, np.array([place[int(x)] for x in need]))
-                yield bucket, pack(need, o, d, a[at], b[at])
+                need = a[mine[at]]
+                o, d = take(offs, data, np.array([place[x] for x in need.tolist()]))
+                yield bucket, b"T" + pack(need, o, d)
 
     def check(parts, messages):
-        if not messages:
+        asked = [unpack(m[1:], np.int64, np.int64) for m in messages if m[:1] == b"P"]
+        if not asked:
             return
-        index: dict[int, tuple[int, int]] = {}
-        texts = [read_blob(p) for p in parts]
-        for k, (ids, _, _) in enumerate(texts):
-            for j, x in enumerate(ids.tolist()):
-                index[x] = (k, j)
-        mine: dict[int, np.ndarray] = {}
+        a, b = _unique_pairs(asked)
+        wanted, mine = np.unique(b), {}
+        for part in parts:
+            ids, offs, data = read_blob(part)
+            rows = np.flatnonzero(np.isin(ids, wanted))
+            for at in range(0, len(rows), 256):
+                k = rows[at : at + 256]
+                s, e = shingle_sets(*take(offs, data, k), size)
+                mine.update((x, s[e[j] : e[j + 1]]) for j, x in enumerate(ids[k].tolist()))
         for m in messages:
-            ids, offs, data, a, b = unpack(m, np.int64, np.int64, np.uint8, np.int64, np.int64)
-            sets, edge = shingle_sets(offs, data, size)
-            where = {int(x): k for k, x in enumerate(ids)}
-            fresh = [x for x in np.unique(b).tolist() if x not in mine]
-            for k, rows in groups_of(np.array([index[x][0] for x in fresh], np.int64)):
-                at = np.array([index[fresh[r]][1] for r in rows])
-                o, d = take(texts[k][1], texts[k][2], at)
-                s, e = shingle_sets(o, d, size)
-                for j, r in enumerate(rows):
-                    mine[fresh[r]] = s[e[j] : e[j + 1]]
-            ok = [similar(sets[edge[where[x]] : edge[where[x] + 1]], mine[y], percent) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            ok = np.array(ok, bool)
-            if ok.any():
-                yield 0, pack(a[ok], b[ok])
-
-    sent = with_messages(store, pairs.select("b", "blob"), send, "b int, blob binary")
-    links = with_messages(store, sent, check, "b int, blob binary")
+            if m[:1] != b"T":
+                continue
+            ids, offs, data = unpack(m[1:], np.int64, np.int64, np.uint8)
+            for at in range(0, len(ids), 256):
+                k = np.arange(at, min(len(ids), at + 256))
+                sets, edge = shingle_sets(*take(offs, data, k), size)
+                u, v = [], []
+                for j, x in enumerate(ids[k].tolist()):
+                    s = sets[edge[j] : edge[j + 1]]
+                    for y in b[np.searchsorted(a, x, side="left") : np.searchsorted(a, x, side="right")].tolist():
+                        if similar(s, mine[y], percent):
+                            u.append(x)
+                            v.append(y)
+                if u:
+                    yield 0, pack(np.array(u, np.int64), np.array(v, np.int64))
+
+    sent = with_messages(store, pairs.where("kind = 0").select("b", "blob"), send)
+    asked = pairs.where("kind = 1").select("b", F.concat(F.lit(b"P"), "blob").alias("blob"))
+    links = with_messages(store, sent.unionByName(asked), check)
 
     def spread(batches):
         for batch in batches:
@@ -357,8 +407,11 @@ def _verify(store: DataFrame, n: int, pairs: DataFrame, size: int, percent: int)
     return links.mapInArrow(spread, "a long, b long")
 
 
-def _across(groups: DataFrame, components: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs, packed for a's bucket, of documents of a group that lie in different components."""
+def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows of _pair_rows for documents of a group that lie in different components, unless their sketches are too far apart for them to be similar.
+
+    Larger groups are cut into blocks of about GROUP_BLOCK, and every two blocks meet apart. drawn: (doc_id, sketch).
+    """
 
     def spread(batches):
         for batch in batches:
@@ -367,25 +420,44 @@ def _across(groups: DataFrame, components: DataFrame, n: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(doc), pa.array(size)], ["label", "doc", "size"])
 
     rows = groups.select("blob").mapInArrow(spread, "label long, doc long, size long")
-    named = rows.join(components, F.col("doc") == F.col("node"), "left").select("label", F.struct(F.coalesce("component", "doc").alias("c"), "doc", "size").alias("m"))
-    spans = named.groupBy("label").agg(F.min("m.c").alias("low"), F.max("m.c").alias("high")).where("low <> high").select("label")
-    open_groups = named.join(spans, "label", "left_semi").groupBy("label").agg(F.collect_list("m").alias("m"))
+    named = checkpointed(rows.join(components, F.col("doc") == F.col("node"), "left").select("label", "doc", "size", F.coalesce("component", "doc").alias("c")))
+    spans = named.groupBy("label").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("g")).where("low <> high").select(F.col("label").alias("open"), F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("blocks"))
+    held = named.join(spans, F.col("label") == F.col("open")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
+    dealt = held.join(drawn, F.col("doc") == F.col("doc_id")).select("label", "c", "doc", "size", "sketch", "block", meets.alias("meet"))
+    open_groups = dealt.groupBy("label", "meet").agg(F.collect_list(F.struct("c", "doc", "size", "block", "sketch")).alias("m"))
 
     def pair(batches):
+        held, room = [], 0
         for batch in batches:
             for m in batch.column(0):
                 rows = pa.RecordBatch.from_struct_array(m.values)
-                c, doc, size = (x.to_numpy(zero_copy_only=False) for x in rows.columns)
+                c, doc, size, block = (x.to_numpy(zero_copy_only=False) for x in rows.columns[:4])
+                raw = rows.column(4).to_pylist()
+                width = min(map(len, raw))
+                bits = np.stack([fold_sketch(x, width) for x in raw])
                 order = np.argsort(size, kind="stable")
-                c, doc, size = c[order], doc[order], size[order]
+                c, doc, size, block, bits = (x[order] for x in (c, doc, size, block, bits))
                 reach = np.searchsorted(size, 100 * size // percent, side="right")
+                two = block.min() != block.max()
                 for k in range(len(doc)):
                     near = np.arange(k + 1, reach[k])
-                    near = near[c[near] != c[k]]
+                    near = near[(c[near] != c[k]) & ((block[near] != block[k]) | (not two))]
+                    apart = np.bitwise_count(bits[near] ^ bits[k]).sum(1, dtype=np.int64)
+                    near = near[apart * (100 + percent) <= (100 - percent) * (size[near] + size[k])]
                     if len(near):
-                        yield _blobs(np.minimum(doc[k], doc[near]), np.maximum(doc[k], doc[near]), n)
+                        held.append((np.minimum(doc[k], doc[near]), np.maximum(doc[k], doc[near])))
+                        room += len(near)
+                    if room > HELD_PAIRS:
+                        held = [_unique_pairs(held)]
+                        room = len(held[0][0])
+                        if room > HELD_PAIRS // 2:
+                            yield _pair_rows(*held[0], n)
+                            held, room = [], 0
+        if held:
+            yield _pair_rows(*_unique_pairs(held), n)
 
-    return open_groups.select("m").mapInArrow(pair, "b int, blob binary")
+    return open_groups.select("m").mapInArrow(pair, "kind int, b int, blob binary")
 
 
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -399,15 +471,15 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     candidates = checkpointed(_candidates(postings, n, percent))
     del postings
     release(spark)
-    links = checkpointed(_verify(store, n, candidates.where("kind = 0"), size, percent))
+    links = checkpointed(_verify(store, n, candidates.where("kind < 2"), size, percent))
     release(spark)
-    groups = candidates.where("kind = 1").select("blob")
+    groups = candidates.where("kind = 2").select("blob")
     components = connected_components(links)
     if not groups.isEmpty():
-        more = checkpointed(_verify(store, n, _across(groups, components, n, percent), size, percent))
+        more = checkpointed(_verify(store, n, checkpointed(_across(groups, components, found.select("doc_id", "sketch"), n, percent)), size, percent))
         if not more.isEmpty():
             components = connected_components(links.unionByName(more))
-    rows = found.join(classes.withColumnsRenamed({"n": "cn", "d1": "c1", "d2": "c2"}), (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
+    rows = found.drop("sketch").join(classes.withColumnsRenamed({"n": "cn", "d1": "c1", "d2": "c2"}), (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("first"))
     return rows.join(components, F.col("first") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
 
