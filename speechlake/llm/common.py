@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import struct
 import tempfile
 import uuid
@@ -23,7 +25,25 @@ def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch between the JVM and a Python worker holds; give the workers this package."""
     ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+
+
+def trim() -> None:
+    """Give memory that an idle worker would keep back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """run, a function of batches, with trim() at the end of each task."""
+
+    @functools.wraps(run)
+    def lean_run(batches):
+        yield from run(batches)
+        trim()
+
+    return lean_run
 
 
 def n_buckets(spark: SparkSession) -> int:

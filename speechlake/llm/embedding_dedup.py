@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import checkpointed, groups_of, mix64, pack, tune, unpack
+from speechlake.llm.common import checkpointed, groups_of, lean, mix64, pack, tune, unpack
 from speechlake.llm.components import connected_components, forest
 from speechlake.llm.hnsw import Index, unit
 
@@ -51,7 +51,7 @@ def _links(vectors: DataFrame, n_shards: int, cosine: float) -> DataFrame:
                     rows.append((s, int(ids[k[0]]), pack(ids[k], copies[k], x[k], level=None)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "at", "blob"])
 
-    dealt = checkpointed(blobs.mapInArrow(deal, "shard int, at long, blob binary"))
+    dealt = checkpointed(blobs.mapInArrow(lean(deal), "shard int, at long, blob binary"))
 
     def build(table: pa.Table) -> pa.Table:
         parts = [unpack(b, np.int64, np.int64, np.float64) for b in table.column("blob").to_pylist()]

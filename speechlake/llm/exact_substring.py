@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import RangeHash, bucket_of, checkpointed, groups_of, mix64, pack, ragged, release, unpack
+from speechlake.llm.common import RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, pack, ragged, release, unpack
 from speechlake.llm.suffix_sort import deep_shallow_sort
 from speechlake.llm.text_store import build_store, read_blob, with_messages
 
@@ -137,7 +137,7 @@ def _anchors(store: DataFrame, n: int) -> DataFrame:
         if held:
             yield out()
 
-    return store.mapInArrow(run, _KINDS).repartition(n, "b")
+    return store.mapInArrow(lean(run), _KINDS).repartition(n, "b")
 
 
 def _by_bucket(batches, meet):
@@ -185,7 +185,7 @@ def _fold_all(anchors: DataFrame, n: int) -> DataFrame:
         if rows:
             yield _rows(rows)
 
-    return anchors.sortWithinPartitions("b").mapInArrow(lambda batches: _by_bucket(batches, meet), _KINDS)
+    return anchors.sortWithinPartitions("b").mapInArrow(lean(lambda batches: _by_bucket(batches, meet)), _KINDS)
 
 
 def _fetch(store: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def _sort_edges(fetched: DataFrame, n: int) -> DataFrame:
         if rows:
             yield _rows(rows)
 
-    return fetched.repartition(n, "b").sortWithinPartitions("b").mapInArrow(lambda batches: _by_bucket(batches, meet), _KINDS)
+    return fetched.repartition(n, "b").sortWithinPartitions("b").mapInArrow(lean(lambda batches: _by_bucket(batches, meet)), _KINDS)
 
 
 def _covered(n_bytes: int, at: np.ndarray, windows: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import HashIndex, cut_pieces, text_chunks, tune
+from speechlake.llm.common import HashIndex, cut_pieces, lean, text_chunks, tune
 
 #: Bounds of the training sample: documents of each language, characters of one document, documents of all languages, languages (the most frequent ones); parts of a language that are ranked apart.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MOST_LANGS, SALTS = 768, 16_384, 16_384, 400, 16
@@ -258,7 +258,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("first_piece", pa.int32()), ("end_piece", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([names[f[0]] for f in found], pa.string()), pa.array([min(1.0, max(0.0, f[1])) for f in found], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, spans {_SPANS}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, spans {_SPANS}")
 
 
 def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import LOWER, RangeHash, mix64, runs, text_chunks, tune
+from speechlake.llm.common import LOWER, RangeHash, lean, mix64, runs, text_chunks, tune
 
 #: Least share of a template that must be aligned, and of the words between the first and last aligned one.
 COVERAGE, DENSITY = 0.8, 0.6
@@ -166,7 +166,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 rows = [[dict(zip(("license", "coverage", "first_word", "end_word"), x, strict=True)) for x in sorted(found.get(d, ()), key=lambda x: (x[2], x[3], x[0]))] for d in range(len(ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows, kind)], ["doc_id", "hits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, hits array<struct<license:string,coverage:double,first_word:bigint,end_word:bigint>>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, hits array<struct<license:string,coverage:double,first_word:bigint,end_word:bigint>>")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

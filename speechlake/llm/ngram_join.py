@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import LOWER, RangeHash, bucket_of, checkpointed, groups_of, mix64, n_buckets, pack, release, runs, unpack
+from speechlake.llm.common import LOWER, RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, n_buckets, pack, release, runs, unpack
 from speechlake.llm.components import connected_components
 from speechlake.llm.text_store import build_store, read_blob, take, with_messages
 
@@ -178,7 +178,7 @@ def _documents(store: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([pack(counts, level=1)], pa.binary())], names)
 
-    found = checkpointed(store.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, counts binary"))
+    found = checkpointed(store.mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, sketch binary, counts binary"))
 
     def add(batches):
         total = np.zeros((2, COUNTERS), np.uint64)
@@ -187,7 +187,7 @@ def _documents(store: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 total += unpack(blob, np.uint32)[0].reshape(2, COUNTERS)
         yield pa.RecordBatch.from_arrays([pa.array([pack(total, level=1)], pa.binary())], ["counts"])
 
-    parts = found.where(F.col("counts").isNotNull()).select("counts").coalesce(8).mapInArrow(add, "counts binary").collect()  # eight sketches
+    parts = found.where(F.col("counts").isNotNull()).select("counts").coalesce(8).mapInArrow(lean(add), "counts binary").collect()  # eight sketches
     total = np.zeros((2, COUNTERS), np.uint64)
     for r in parts:
         total += unpack(bytes(r.counts), np.uint64)[0].reshape(2, COUNTERS)
@@ -208,7 +208,7 @@ def _as_blobs(pairs: DataFrame, n: int, key: str, value: str) -> DataFrame:
         if k:
             yield _blobs(np.concatenate(k), np.concatenate(v), n)
 
-    return pairs.select(key, value).mapInArrow(run, "b int, blob binary")
+    return pairs.select(key, value).mapInArrow(lean(run), "b int, blob binary")
 
 
 def _blobs(k: np.ndarray, v: np.ndarray, n: int) -> pa.RecordBatch:
@@ -341,7 +341,7 @@ def _candidates(postings: DataFrame, n: int, percent: int) -> DataFrame:
             d = doc[at]
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(label[rows], ids[d[rows]], size[d[rows]])], pa.binary())], ["kind", "b", "blob"])
 
-    return postings.sortWithinPartitions("b").mapInArrow(run, "kind int, b int, blob binary")
+    return postings.sortWithinPartitions("b").mapInArrow(lean(run), "kind int, b int, blob binary")
 
 
 def _verify(store: DataFrame, n: int, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -404,7 +404,7 @@ def _verify(store: DataFrame, n: int, pairs: DataFrame, size: int, percent: int)
                 a, b = unpack(blob, np.int64, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return links.mapInArrow(spread, "a long, b long")
+    return links.mapInArrow(lean(spread), "a long, b long")
 
 
 def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int, percent: int) -> DataFrame:
@@ -419,7 +419,7 @@ def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int,
                 label, doc, size = unpack(blob, np.int64, np.int64, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(doc), pa.array(size)], ["label", "doc", "size"])
 
-    rows = groups.select("blob").mapInArrow(spread, "label long, doc long, size long")
+    rows = groups.select("blob").mapInArrow(lean(spread), "label long, doc long, size long")
     named = checkpointed(rows.join(components, F.col("doc") == F.col("node"), "left").select("label", "doc", "size", F.coalesce("component", "doc").alias("c")))
     spans = named.groupBy("label").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("g")).where("low <> high").select(F.col("label").alias("open"), F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("blocks"))
     held = named.join(spans, F.col("label") == F.col("open")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
@@ -457,7 +457,7 @@ def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int,
         if held:
             yield _pair_rows(*_unique_pairs(held), n)
 
-    return open_groups.select("m").mapInArrow(pair, "kind int, b int, blob binary")
+    return open_groups.select("m").mapInArrow(lean(pair), "kind int, b int, blob binary")
 
 
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

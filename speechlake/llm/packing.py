@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import RangeHash, runs, text_chunks, tune
+from speechlake.llm.common import RangeHash, lean, runs, text_chunks, tune
 
 #: Words of a sequence; most documents of a source in one; documents of a packing group, about.
 CAPACITY, PER_SOURCE, GROUP_DOCS = 2048, 4, 4096
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
                 at += len(ids)
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")]
-    measured = docs.where("doc_id is not null").select(*columns, *([F.coalesce(F.col("cluster").cast("long"), F.xxhash64("doc_id")).alias("cluster")] if given else [])).mapInArrow(measure, "doc_id long, source string, cluster long, words long")
+    measured = docs.where("doc_id is not null").select(*columns, *([F.coalesce(F.col("cluster").cast("long"), F.xxhash64("doc_id")).alias("cluster")] if given else [])).mapInArrow(lean(measure), "doc_id long, source string, cluster long, words long")
     dealt = measured.where("words > 0").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:

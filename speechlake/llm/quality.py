@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from speechlake.llm.common import text_chunks, tune
+from speechlake.llm.common import lean, text_chunks, tune
 
 #: Bounds of the labelled sample: documents of each class, characters of one document.
 TRAIN_DOCS, TRAIN_CHARS = 3000, 16_384
@@ -105,12 +105,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Q
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """(row, score): row is a struct of the columns in ``keep`` (doc_id alone by default)."""
+    """(row, text, score): row is a struct of the columns in ``keep`` (doc_id alone by default)."""
     spark = docs.sparkSession
     tune(spark)
     source = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), "text")
     if model is None:
-        return source.select("row", F.lit(0.5).alias("score"))
+        return source.select("row", "text", F.lit(0.5).alias("score"))
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
 
     def run(batches):
@@ -118,12 +118,12 @@ def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] |
         good, bad = m.compressors()
         for batch in batches:
             found = []
-            for offs, data in ((o, d) for _, o, d in text_chunks(batch, 1, 1)):
+            for _, offs, data in text_chunks(batch, 1, 1):
                 raw = data.tobytes()
                 found += [evidence(raw[a:z], good, bad) for a, z in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(np.array(found, float).reshape(-1, 5)))], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(np.array(found, float).reshape(-1, 5)))], ["row", "text", "score"])
 
-    return source.mapInArrow(run, StructType([source.schema["row"], StructField("score", DoubleType())]))
+    return source.mapInArrow(lean(run), StructType([source.schema["row"], source.schema["text"], StructField("score", DoubleType())]))
 
 
 def fold(column: str = "doc_id", n: int = 3):
@@ -147,4 +147,5 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Pipeline stage: documents that the classifier predicts as bad go; the columns stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), training_labels(labels))
-    return score_quality(docs, model, docs.columns).where(F.col("score") >= 0.5).select("row.*")
+    kept = score_quality(docs, model, [c for c in docs.columns if c != "text"]).where(F.col("score") >= 0.5)
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import bucket_of, checkpointed, groups_of, n_buckets, pack, ragged, text_chunks, tune, unpack, without_aqe
+from speechlake.llm.common import bucket_of, checkpointed, groups_of, lean, n_buckets, pack, ragged, text_chunks, trim, tune, unpack, without_aqe
 
 #: Text bytes that a mapper gathers before it writes one compressed part for each bucket.
 GATHER_BYTES = 1 << 23
@@ -53,7 +53,7 @@ def build_store(docs: DataFrame) -> tuple[DataFrame, int]:
         if held:
             yield out()
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "b int, blob binary")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(deal), "b int, blob binary")
     with without_aqe(spark):
         return checkpointed(rows.repartition(n, "b"), keep_partitioning=True), n
 
@@ -69,8 +69,11 @@ def with_messages(store: DataFrame, messages: DataFrame, function, schema: str =
     fields = fields or pa.schema([("b", pa.int32()), ("blob", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(function(left.column("blob").to_pylist(), right.column("blob").to_pylist()))
-        return pa.table([pa.array([x[k] for x in out], f.type) for k, f in enumerate(fields)], schema=fields)
+        rows = list(function(left.column("blob").to_pylist(), right.column("blob").to_pylist()))
+        out = pa.table([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(fields)], schema=fields)
+        del rows
+        trim()
+        return out
 
     with without_aqe(store.sparkSession):
         return store.groupBy("b").cogroup(messages.groupBy("b")).applyInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import HashIndex, cut_pieces, n_buckets, ragged, text_chunks, tune, work_path
+from speechlake.llm.common import HashIndex, cut_pieces, lean, n_buckets, ragged, text_chunks, tune, work_path
 
 #: Tokens that one image holds, about.
 IMAGE_TOKENS = 1 << 17
@@ -195,7 +195,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col:
                 ends = np.concatenate([[0], np.cumsum(lens + 1)]) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(tokens)]).cast(pa.binary())], ["doc_id", "ids"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, chunk_bits: int = 8, image_tokens: int = IMAGE_TOKENS) -> None:
@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
             small = [pa.scalar(np.frombuffer(x, "<u4").astype("<u2").tobytes() + b"\2" if len(x) and np.frombuffer(x, "<u4").max() < 65536 else x + b"\4").as_py() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), pa.array(small, pa.binary())], ["part", "doc_id", "ids"])
 
-    moved = encoded.mapInArrow(place, "part int, doc_id long, ids binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
+    moved = encoded.mapInArrow(lean(place), "part int, doc_id long, ids binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
 
     def build(batches):
         part, docs_, lens, held, count, start, seq = None, [], [], [], 0, 0, 0
@@ -243,7 +243,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         if docs_:
             yield image()
 
-    moved.mapInArrow(build, "part int, seq int, start_in_part long, n_tokens long, image binary").write.parquet(path)
+    moved.mapInArrow(lean(build), "part int, seq int, start_in_part long, n_tokens long, image binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -264,7 +264,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(image.doc_ids), pa.array(at[:-1] + start + base), pa.array(np.diff(at)), pa.array(np.array(crc, np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return images.join(F.broadcast(bases), "part").select("start_in_part", "base", "image").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return images.join(F.broadcast(bases), "part").select("start_in_part", "base", "image").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
