@@ -103,8 +103,10 @@ def release(spark: SparkSession) -> None:
 
 
 def text_chunks(batch: pa.RecordBatch, id_col: int = 0, text_col: int = 1, limit: int = CHUNK_BYTES):
-    """(ids, offsets, bytes) of slices of a batch with about ``limit`` bytes of text each; a null text is empty."""
-    ids = batch.column(id_col).to_numpy(zero_copy_only=False) if id_col != text_col else np.arange(batch.num_rows)
+    """(ids, offsets, bytes) of slices of a batch with about ``limit`` bytes of text each; a null text is empty. ids are an Arrow array where some are null."""
+    ids = np.arange(batch.num_rows) if id_col == text_col else batch.column(id_col)
+    if isinstance(ids, pa.Array) and not ids.null_count:
+        ids = ids.to_numpy(zero_copy_only=False)
     col = batch.column(text_col)
     if col.null_count:
         col = col.fill_null("")

@@ -8,9 +8,10 @@ deep-shallow sorting. A window has been seen before if an earlier block agrees w
 common prefixes of neighbours in both orders tell for all windows at once. So work grows with the text and not
 with the square of a group of repeats.
 
-Defined results: null and empty texts have no bytes; texts shorter than a window keep all; repeated rows count as
-later documents; ties cannot occur (a start is a doc_id and a place); an empty table gives no rows; extra columns
-are ignored (kept where documents are cleaned). doc_id identifies a document.
+Defined results: null and empty texts have no bytes; texts shorter than a window keep all; ties cannot
+occur (a start is a doc_id and a place); rows that repeat a doc_id are one document, of the text that sorts first, and
+get its result each; rows without a doc_id give none; an empty table gives no rows; extra columns are ignored (kept
+where documents are cleaned).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from speechlake.llm.common import RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, pack, ragged, release, unpack
 from speechlake.llm.suffix_sort import deep_shallow_sort
-from speechlake.llm.text_store import build_store, read_blob, with_messages
+from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, with_messages
 
 #: Bytes of a window and of the strings that anchors are chosen from (a power of two).
 WIDTH, GRAM = 100, 32
@@ -313,7 +314,8 @@ def _covered(n_bytes: int, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def _without_repeats(docs: DataFrame, each, schema: str, fields: pa.Schema) -> DataFrame:
     """each(doc_id, bytes, mask of bytes that are removed) -> row, for every document; docs: (doc_id, text)."""
     spark = docs.sparkSession
-    store, n = build_store(docs)
+    unique, repeated = distinct_documents(docs)
+    store, n = build_store(unique)
     release(spark)
     folded = checkpointed(_fold_all(_anchors(store, n), n))
     release(spark)
@@ -332,7 +334,7 @@ def _without_repeats(docs: DataFrame, each, schema: str, fields: pa.Schema) -> D
                 text = data[offs[k] : offs[k + 1]]
                 yield each(x, text, _covered(len(text), at[low[k] : high[k]], windows[low[k] : high[k]]))
 
-    return with_messages(store, spans, write, schema, fields)
+    return for_each_row(with_messages(store, spans, write, schema, fields), docs, repeated)
 
 
 def removed_bytes(docs: DataFrame) -> DataFrame:
@@ -354,7 +356,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     fields = pa.schema([("doc_id", pa.int64()), ("_text", pa.string()), ("_cut", pa.bool_())])
     cut = _without_repeats(docs.select("doc_id", "text"), each, "doc_id long, _text string, _cut boolean", fields)
-    cut = cut.where("_cut").select(F.col("doc_id").alias("_id"), "_text")
+    cut = cut.where("_cut").select(F.col("doc_id").alias("_id"), "_text").distinct()
     joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left").where(cut["_id"].isNull() | (cut["_text"] != ""))
     new = {"text": F.coalesce(cut["_text"], docs["text"])}
     if "n_chars" in docs.columns:

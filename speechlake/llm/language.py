@@ -281,4 +281,4 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     model = train(training_rows(docs.where(rest != 2)))
     found = identify_languages(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -13,8 +13,9 @@ pairs with its likely origin and neighbours in a few orders are verified; of wha
 sketches give, and verified if it passes, so no link between components is lost.
 
 Defined results: null texts and texts without words have no shingles, size 0 and themselves as component; a text
-with fewer words than a shingle is one shingle; copies and repeated rows share a component; an empty table gives
-no rows; extra columns are ignored (kept where documents are filtered). doc_id identifies a document.
+with fewer words than a shingle is one shingle; copies share a component; rows that repeat a doc_id are one document,
+of the text that sorts first, and get its result each; rows without a doc_id give none; an empty table gives no
+rows; extra columns are ignored (kept where documents are filtered).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from speechlake.llm.common import LOWER, RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, n_buckets, pack, release, runs, unpack
 from speechlake.llm.components import connected_components
-from speechlake.llm.text_store import build_store, read_blob, take, with_messages
+from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, take, with_messages
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -463,7 +464,8 @@ def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int,
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: components of the graph of similar documents."""
     spark = docs.sparkSession
-    store, n = build_store(docs)
+    unique, repeated = distinct_documents(docs)
+    store, n = build_store(unique)
     release(spark)
     found, counts = _documents(store, size)
     classes = checkpointed(found.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first")))
@@ -481,11 +483,12 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             components = connected_components(links.unionByName(more))
     rows = found.drop("sketch").join(classes.withColumnsRenamed({"n": "cn", "d1": "c1", "d2": "c2"}), (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("first"))
-    return rows.join(components, F.col("first") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
+    out = rows.join(components, F.col("first") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
+    return for_each_row(out, docs, repeated)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are similar, by links, to one with a smaller doc_id."""
+    """docs without the documents that are similar, by links, to one with a smaller doc_id; rows that repeat a doc_id are all kept or all go."""
     kept = shingle_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
 

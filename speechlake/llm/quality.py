@@ -140,7 +140,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = score_quality(docs.select("doc_id", "text"), model)
     out = out.select("row.doc_id", "score")
-    return out.select("doc_id", (fold() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

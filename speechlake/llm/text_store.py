@@ -23,8 +23,24 @@ def take(offs: np.ndarray, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
     return np.concatenate([[0], np.cumsum(lens)]), data[ragged(offs[:-1][rows], lens)]
 
 
+def distinct_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """((doc_id, text) with one row for each doc_id, whether any was repeated).
+
+    Ids alone are counted; only where some repeat are texts grouped, to the one that sorts first. Rows without a
+    doc_id are no documents.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return (docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else docs), repeated
+
+
+def for_each_row(result: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """result, with a row for each row of docs where doc_ids are repeated."""
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).join(result, "doc_id") if repeated else result
+
+
 def build_store(docs: DataFrame) -> tuple[DataFrame, int]:
-    """((b, blob), buckets): checkpointed, hash partitioned by b. docs: (doc_id, text)."""
+    """((b, blob), buckets): checkpointed, hash partitioned by b. docs: (doc_id, text), each doc_id once."""
     spark = docs.sparkSession
     tune(spark)
     n = n_buckets(spark)
@@ -53,7 +69,7 @@ def build_store(docs: DataFrame) -> tuple[DataFrame, int]:
         if held:
             yield out()
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(deal), "b int, blob binary")
+    rows = docs.select("doc_id", "text").mapInArrow(lean(deal), "b int, blob binary")
     with without_aqe(spark):
         return checkpointed(rows.repartition(n, "b"), keep_partitioning=True), n
 

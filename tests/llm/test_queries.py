@@ -1,0 +1,137 @@
+"""Registered queries at the small scale: SQL twins, held-out accuracy, odd tables, the pipeline."""
+
+import duckdb
+import pytest
+
+DATA = "/root/testdata/sf0.01"
+
+
+def _same(spark, frame, sql, tables):
+    con = duckdb.connect()
+    for name, source in tables.items():
+        con.register(name, source) if not isinstance(source, str) else con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{source}'")
+    columns = sorted(frame.columns)
+    got = sorted(tuple(str(r[c]) for c in columns) for r in frame.collect())
+    want = con.sql(sql)
+    assert sorted(want.columns) == columns
+    at = [want.columns.index(c) for c in columns]
+    assert got == sorted(tuple(str(r[k]) for k in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op5_url_filter"])
+def test_sql_twins(spark, name):
+    from speechlake.llm import registry
+
+    _same(spark, registry.QUERIES[name](spark, DATA), registry.ORACLE[name], {t: f"{DATA}/{t}.parquet" for t in ("documents", "benchmark", "pages")})
+
+
+def test_shuffled_paths_give_the_same(spark, monkeypatch):
+    from speechlake.llm import decontaminate, url_filter
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    test_sql_twins(spark, "op4_decontaminate")
+    test_sql_twins(spark, "op5_url_filter")
+
+
+def test_short_items_and_odd_texts(spark):
+    import pandas as pd
+
+    from speechlake.llm.decontaminate import OP4_SQL, contamination, remove_contaminated
+
+    docs = [(1, "x One, TWO three! four"), (2, None), (3, ""), (4, "!!"), (5, "one two"), (5, "one two"), (6, "é È ñ " * 20), (7, "a b c d e f g h i j k l m"), (8, "two three four five")]
+    items = [(1, "one two three"), (2, ""), (3, None), (4, "é È ñ é È ñ é È ñ é È ñ"), (5, "b c d e f g h i j k l"), (6, "b c d e f g h i j k l"), (10, "x")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    names = {"documents": pd.DataFrame(docs, columns=["doc_id", "text"]), "benchmark": pd.DataFrame(items, columns=["item_id", "text"])}
+    _same(spark, contamination(d, b), OP4_SQL, names)
+    wide = d.selectExpr("*", "1 as n_hit", "'q' as _row", "2 as spans")
+    assert remove_contaminated(wide, b).columns == wide.columns
+    assert {r.doc_id for r in remove_contaminated(wide, b).collect()} == {2, 3, 4, 5, 8}
+    assert {(r.doc_id, r.text) for r in remove_contaminated(wide, b, "spans").collect() if r.doc_id in (1, 7, 8)} == {(1, "four"), (7, "a m"), (8, "two three four five")}
+    none = contamination(d, b.limit(0)).collect()
+    assert len(none) == len(docs) and not any(r.contaminated for r in none)
+
+
+def test_held_out_accuracy(spark):
+    from speechlake.llm.language import op2_language
+    from speechlake.llm.quality import op3_quality
+
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id", "left").collect()}
+    found = op2_language(spark, DATA).collect()
+    held = [r for r in found if r.held_out and truth[r.doc_id].lang]
+    assert len(found) == len(truth) and sum(r.lang_pred == truth[r.doc_id].lang for r in held) >= 0.97 * len(held)
+    found = op3_quality(spark, DATA).collect()
+    held = [r for r in found if r.held_out and truth[r.doc_id].quality is not None]
+    assert len(found) == len(truth) and sum(r.predicted == truth[r.doc_id].quality for r in held) >= 0.93 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+
+
+ODD = [(1, None, None, None), (2, "", "en", "s"), (3, "Hello there world. " * 9, "en", None), (3, "Hello there world. " * 9, "en", None), (4, "!?", None, "s"), (None, "no id", "en", "s"), (5, "word " * 60_000, "en", "s"), (6, "\0 \x01 é", "fr", "s")]
+
+
+@pytest.fixture(scope="module", params=["odd", "empty"])
+def folder(request, spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp(request.param))
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) as n_chars", "1 as b", "'x' as blob", "2 as score")
+    tables = {
+        "documents": docs,
+        "labels": spark.createDataFrame([(1, 1, 0), (2, None, 0), (3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, "hello there"), (2, None)], "item_id long, text string"),
+        "pages": spark.createDataFrame([(1, None, None), (2, "no url", ""), (3, "https://a.Casino-Win.example.com:80/x?y", ""), (3, "https://a.casino-win.example.com/", "")], "page_id long, url string, html string"),
+        "embeddings": spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 0), (4, [0.0, 0.0], 0)], "vec_id long, embedding array<float>, label int"),
+    }
+    for name, df in tables.items():
+        (df if request.param == "odd" else df.limit(0)).write.parquet(f"{d}/{name}.parquet")
+    return request.param, d
+
+
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_language", "op3_quality", "op4_decontaminate", "op5_url_filter", "op6_token_ids", "op7_embedding_dedup", "op8_best_fit_packing", "op9_suffix_dedup", "op10_ngram_join"])
+def test_odd_and_empty_tables(spark, folder, name):
+    from speechlake.llm import registry
+
+    kind, d = folder
+    rows = registry.QUERIES[name](spark, d).collect()
+    if kind == "empty":
+        assert rows == []
+        return
+    got = {}
+    for r in rows:
+        got.setdefault(r[0], []).append(r)
+    if name == "op5_url_filter":
+        assert len(rows) == 4 and [r.blocked for r in got[1]] == [False]
+    elif name == "op7_embedding_dedup":
+        assert len(rows) == 5 and got[3][0].n_links == got[4][0].n_links == 0 and got[1][0].n_links == 2
+    elif name == "op8_best_fit_packing":
+        assert sum(r.n_words for r in got[5]) == 60_000 and 2 not in got and len(got[3]) == 2
+    elif name == "op2_language":
+        assert got[1][0].lang_pred == got[4][0].lang_pred == "und" and len(got[3]) == 2
+    elif name == "op9_suffix_dedup":
+        assert got[1][0].n_bytes == 0 and got[5][0].n_removed == 300_000 - 5 and len(got[3]) == 2
+    elif name == "op10_ngram_join":
+        assert got[1][0].n_shingles == got[2][0].n_shingles == 0 and got[5][0].n_shingles == 1 and len(got[3]) == 2
+    else:
+        assert len(got[1]) == 1 and len(got[3]) == 2
+
+
+def test_pipeline_stages(spark, folder, tmp_path):
+    import corpus_pipeline as p
+
+    kind, d = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(p.STAGES):
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/{kind}-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{kind}-{name}")
+        assert k == len(p.STAGES) - 1 or docs.columns == columns
+    assert kind != "empty" or docs.count() == 0
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline as p
+
+    rows = p.run(spark, DATA).collect()
+    kept = {r.doc_id for r in rows}
+    truth = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").collect()
+    bad = [r.doc_id for r in truth if r.quality == 0]
+    assert sum(i in kept for i in bad) <= 0.1 * len(bad)
+    assert len(kept) >= 700
