@@ -30,11 +30,11 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "rn") -> DataFra
 
 def group_row_numbers(df: DataFrame, group: list[str], order: list[Column], name: str = "rn", size: str = "n_group") -> DataFrame:
     """df with the row number in its group and the group's size. Null is a group."""
-    ranked = row_numbers(df, [F.col(g) for g in group] + order, "_g").cache()
-    starts = ranked.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min("_g").alias("_first"), F.count("*").alias(size))
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-    joined = ranked.join(starts, same)
-    return joined.withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first", *[f"_{g}" for g in group])
+    ranked = row_numbers(df, [F.col(g) for g in group] + order, "_at").cache()
+    keys = [f"_group{k}" for k in range(len(group))]
+    starts = ranked.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.min("_at").alias("_first"), F.count("*").alias(size))
+    joined = ranked.join(starts, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *keys)
 
 
 def running_sums(df: DataFrame, order: list[Column], value: Column, name: str = "before") -> DataFrame:

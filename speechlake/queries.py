@@ -261,7 +261,8 @@ _CATEGORY = r"CASE WHEN regexp_full_match(t, '[+-]?\d+[\d\s,.]*') THEN 'number'
 def token_category(spark, d):
     docs = harness.table(spark, d, "documents").select(F.explode(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("t"))
     extra = spark.createDataFrame([(x,) for x in ("12", "+7", "3,5", "NASA.", "nasa", "covid19", "дом", "США")], "t string")
-    return docs.union(extra).withColumn("category", text.token_category(F.col("t"))).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("t").alias("distinct_tokens"))
+    distinct = docs.union(extra).groupBy("t").agg(F.count("*").alias("n"))  # patterns are matched once for each distinct token
+    return distinct.withColumn("category", text.token_category(F.col("t"))).groupBy("category").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
 
 
 @query(S.with_(*_ALL, _CLASSED) + "SELECT utt_id, model_id, wer, sim, class FROM classed")
