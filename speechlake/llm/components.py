@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import checkpointed, tune
+from speechlake.llm.common import checkpointed, lean, tune
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,10 +40,10 @@ def _contract(links: DataFrame) -> DataFrame:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["hi", "lo"])
 
-    return links.mapInArrow(run, "hi long, lo long")
+    return links.mapInArrow(lean(run), "hi long, lo long")
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link to a smaller one in its component; links: (a, b) long.
 
     Each round hooks every node to the smallest node it is linked with and replaces links by those between what
@@ -52,9 +52,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     tune(links.sparkSession)
     edges = checkpointed(_contract(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))))
     mapped = None
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         hooks = checkpointed(edges.groupBy("hi").agg(F.min("lo").alias("to")))
         fresh = hooks.select(F.col("hi").alias("node"), F.col("to").alias("component"))
         h1, h2 = hooks.select(F.col("hi").alias("h1"), F.col("to").alias("t1")), hooks.select(F.col("hi").alias("h2"), F.col("to").alias("t2"))

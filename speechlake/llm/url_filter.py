@@ -86,18 +86,17 @@ ENTRIES = [
     ("review", "domain", "example.org", "add", "2024-10-01"),
     ("review", "domain", "example.org", "remove", "2024-10-08"),
 ]
-_COLUMNS = ["list", "kind", "pattern", "action", "dated"]
+_VALUES = ",\n  ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in ENTRIES)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures are pages fetched on a day of 2024 that page_id gives."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")).alias("fetched"))
-    entries = spark.createDataFrame(ENTRIES, _COLUMNS).withColumn("dated", F.col("dated").cast("date"))
+    entries = spark.sql(f"SELECT list, kind, pattern, action, CAST(dated AS DATE) AS dated FROM VALUES {_VALUES} AS entries(list, kind, pattern, action, dated)")
     out = filter_urls(pages, entries)
     return out.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), F.array_join("lists", ",").alias("lists"), "blocked")
 
 
-_VALUES = ",\n  ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in ENTRIES)
 OP5_SQL = rf"""
 WITH entries(list, kind, pattern, action, dated) AS (VALUES
   {_VALUES}),
