@@ -182,20 +182,25 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def _encode(batches, vocabulary: str, end_id: int):
+    """(doc_id, ids) batches of (doc_id, text) batches."""
+    encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary))
+    for batch in batches:
+        for ids, offs, data in text_chunks(batch, limit=ENCODE_BYTES):
+            tokens, lens = encoder(offs, data)
+            tokens = np.insert(tokens, np.cumsum(lens), end_id).astype("<u4")
+            ends = np.concatenate([[0], np.cumsum(lens + 1)]) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(tokens)]).cast(pa.binary())], ["doc_id", "ids"])
+
+
+def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): each whole text's token ids as little-endian unsigned 32-bit integers, the end id last."""
     tune(docs.sparkSession)
-
-    def run(batches):
-        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary))
-        for batch in batches:
-            for ids, offs, data in text_chunks(batch, limit=ENCODE_BYTES):
-                tokens, lens = encoder(offs, data)
-                tokens = np.insert(tokens, np.cumsum(lens), end_id).astype("<u4")
-                ends = np.concatenate([[0], np.cumsum(lens + 1)]) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(tokens)]).cast(pa.binary())], ["doc_id", "ids"])
-
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, ids binary")
+    return _texts(docs, id_col, text_col).mapInArrow(lean(lambda batches: _encode(batches, vocabulary, end_id)), "doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, chunk_bits: int = 8, image_tokens: int = IMAGE_TOKENS) -> None:
@@ -207,16 +212,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     spark = docs.sparkSession
     n = n_buckets(spark)
     borders = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    encoded = encode_documents(docs, vocabulary, end_id)
     edges = np.array(borders, np.int64)
+    tune(spark)
 
-    def place(batches):
-        for b in batches:
+    def place(batches):  # in the worker that encodes
+        for b in _encode(batches, vocabulary, end_id):
             part = np.searchsorted(edges, b.column(0).to_numpy(), side="left").astype(np.int32)
             small = [pa.scalar(np.frombuffer(x, "<u4").astype("<u2").tobytes() + b"\2" if len(x) and np.frombuffer(x, "<u4").max() < 65536 else x + b"\4").as_py() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), pa.array(small, pa.binary())], ["part", "doc_id", "ids"])
 
-    moved = encoded.mapInArrow(lean(place), "part int, doc_id long, ids binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
+    moved = _texts(docs).mapInArrow(lean(place), "part int, doc_id long, ids binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
 
     def build(batches):
         part, docs_, lens, held, count, start, seq = None, [], [], [], 0, 0, 0
