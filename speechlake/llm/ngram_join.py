@@ -367,8 +367,9 @@ def _verify(store: DataFrame, n: int, pairs: DataFrame, size: int, percent: int)
 
     def check(parts, messages):
         asked = [unpack(m[1:], np.int64, np.int64) for m in messages if m[:1] == b"P"]
+        u, v = [], []
         if not asked:
-            return
+            return u, v
         a, b = _unique_pairs(asked)
         wanted, mine = np.unique(b), {}
         for part in parts:
@@ -385,27 +386,18 @@ def _verify(store: DataFrame, n: int, pairs: DataFrame, size: int, percent: int)
             for at in range(0, len(ids), 256):
                 k = np.arange(at, min(len(ids), at + 256))
                 sets, edge = shingle_sets(*take(offs, data, k), size)
-                u, v = [], []
                 for j, x in enumerate(ids[k].tolist()):
                     s = sets[edge[j] : edge[j + 1]]
                     for y in b[np.searchsorted(a, x, side="left") : np.searchsorted(a, x, side="right")].tolist():
                         if similar(s, mine[y], percent):
                             u.append(x)
                             v.append(y)
-                if u:
-                    yield 0, pack(np.array(u, np.int64), np.array(v, np.int64))
+        return u, v
 
     sent = with_messages(store, pairs.where("kind = 0").select("b", "blob"), send)
     asked = pairs.where("kind = 1").select("b", F.concat(F.lit(b"P"), "blob").alias("blob"))
-    links = with_messages(store, sent.unionByName(asked), check)
-
-    def spread(batches):
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                a, b = unpack(blob, np.int64, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return links.mapInArrow(lean(spread), "a long, b long")
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return with_messages(store, sent.unionByName(asked), check, "a long, b long", fields, columns=True)
 
 
 def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int, percent: int) -> DataFrame:

@@ -80,13 +80,14 @@ def read_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(lens.astype(np.int64))]), data
 
 
-def with_messages(store: DataFrame, messages: DataFrame, function, schema: str = "b int, blob binary", fields: pa.Schema | None = None) -> DataFrame:
-    """function(list of the store's blobs, list of message blobs) -> rows, for each bucket; messages: (b, blob). fields: of the rows, where they aren't (b, blob)."""
+def with_messages(store: DataFrame, messages: DataFrame, function, schema: str = "b int, blob binary", fields: pa.Schema | None = None, columns: bool = False) -> DataFrame:
+    """function(list of the store's blobs, list of message blobs) -> rows, for each bucket; messages: (b, blob). fields: of the rows, where they aren't (b, blob). columns: function returns whole columns instead."""
     fields = fields or pa.schema([("b", pa.int32()), ("blob", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list(function(left.column("blob").to_pylist(), right.column("blob").to_pylist()))
-        out = pa.table([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(fields)], schema=fields)
+        rows = function(left.column("blob").to_pylist(), right.column("blob").to_pylist())
+        rows = rows if columns else list(rows)
+        out = pa.table([pa.array(rows[k] if columns else [x[k] for x in rows], f.type) for k, f in enumerate(fields)], schema=fields)
         del rows
         trim()
         return out
