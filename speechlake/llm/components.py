@@ -68,3 +68,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     if mapped is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     return mapped
+
+
+#: The same in SQL, behind both_ways (x, y) and nodes (id).
+COMPONENTS_SQL = """reach(node, c) AS (SELECT id, id FROM nodes UNION SELECT l.y, r.c FROM reach r JOIN both_ways l ON l.x = r.node),
+component AS (SELECT node, min(c) AS c FROM reach GROUP BY node)"""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.llm.common import checkpointed, groups_of, lean, mix64, pack, tune, unpack
-from speechlake.llm.components import connected_components, forest
+from speechlake.llm.components import COMPONENTS_SQL, connected_components, forest
 from speechlake.llm.hnsw import Index, unit
 
 COSINE = 0.9
@@ -128,3 +128,16 @@ def embedding_components(table: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+OP7_SQL = (
+    """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0),
+both_ways AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+"""
+    + COMPONENTS_SQL
+    + """
+SELECT e.vec_id, count(b.y) AS n_links, any_value(c.c) AS component_id, any_value(c.c) = e.vec_id AS kept
+FROM embeddings e JOIN component c ON c.node = e.vec_id LEFT JOIN both_ways b ON b.x = e.vec_id GROUP BY e.vec_id"""
+)

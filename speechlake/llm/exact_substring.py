@@ -366,3 +366,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP9_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS content FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM t WHERE n >= 100)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1),
+islands AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM islands GROUP BY doc_id, island),
+edges AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_here FROM (SELECT * FROM spans UNION ALL SELECT doc_id, n, n FROM t)),
+kept AS (SELECT e.doc_id, sha256(unhex(string_agg(substr(t.h, 2 * e.from_here + 1, 2 * (e.a - e.from_here)), '' ORDER BY e.a))) AS sha FROM edges e JOIN t ON t.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.spans, 0) AS BIGINT) AS n_spans, kept.sha AS kept_sha256
+FROM t JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id) s ON s.doc_id = t.doc_id
+"""

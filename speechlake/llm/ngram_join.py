@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.llm.common import LOWER, RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, n_buckets, pack, release, runs, unpack
-from speechlake.llm.components import connected_components
+from speechlake.llm.components import COMPONENTS_SQL, connected_components
 from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, take, with_messages
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -487,3 +487,18 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP10_SQL = (
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+both_ways AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_have >= 80 * (a.n + b.n - both_have)),
+nodes AS (SELECT doc_id AS id FROM documents),
+"""
+    + COMPONENTS_SQL
+    + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id FROM documents d JOIN component c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
-from speechlake.llm.embedding_dedup import op7_embedding_dedup
-from speechlake.llm.exact_substring import op9_suffix_dedup
+from speechlake.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
+from speechlake.llm.exact_substring import OP9_SQL, op9_suffix_dedup
 from speechlake.llm.language import op2_language
 from speechlake.llm.licenses import op1_license_scan
-from speechlake.llm.ngram_join import op10_ngram_join
+from speechlake.llm.ngram_join import OP10_SQL, op10_ngram_join
 from speechlake.llm.packing import op8_best_fit_packing
 from speechlake.llm.quality import op3_quality
 from speechlake.llm.token_ids import op6_token_ids
@@ -31,4 +31,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op5_url_filter": OP5_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op10_ngram_join": OP10_SQL,
 }

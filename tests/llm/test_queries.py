@@ -18,11 +18,11 @@ def _same(spark, frame, sql, tables):
     assert got == sorted(tuple(str(r[k]) for k in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op4_decontaminate", "op5_url_filter"])
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op5_url_filter", "op7_embedding_dedup", "op9_suffix_dedup", "op10_ngram_join"])
 def test_sql_twins(spark, name):
     from speechlake.llm import registry
 
-    _same(spark, registry.QUERIES[name](spark, DATA), registry.ORACLE[name], {t: f"{DATA}/{t}.parquet" for t in ("documents", "benchmark", "pages")})
+    _same(spark, registry.QUERIES[name](spark, DATA), registry.ORACLE[name], {t: f"{DATA}/{t}.parquet" for t in ("documents", "benchmark", "pages", "embeddings")})
 
 
 def test_shuffled_paths_give_the_same(spark, monkeypatch):
