@@ -264,9 +264,11 @@ def _postings(store: DataFrame, n: int, representatives: DataFrame, counts: np.n
         keys = np.concatenate([h[0] for h in held])
         docs = np.concatenate([h[1] + b for h, b in zip(held, base[:-1], strict=True)])
         ids, sizes = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        order = np.argsort(ids, kind="stable")  # ascending ids are small steps, which compress
+        ids, sizes, docs = ids[order], sizes[order], np.argsort(order, kind="stable")[docs]
         for b, at in groups_of((keys % _U(n)).astype(np.int64)):
             used, slot = np.unique(docs[at], return_inverse=True)
-            yield b, pack(pack((keys[at] >> _U(32)).astype("<u4"), slot.astype("<u2" if len(used) < 1 << 16 else "<u4"), level=None), pack(ids[used], sizes[used].astype("<u4")), bytes([2 if len(used) < 1 << 16 else 4]), level=None)
+            yield b, pack(pack((keys[at] >> _U(32)).astype("<u4"), slot.astype("<u2" if len(used) < 1 << 16 else "<u4"), level=None), pack(np.diff(ids[used], prepend=0), sizes[used].astype("<u4"), level=3), bytes([2 if len(used) < 1 << 16 else 4]), level=None)
 
     return with_messages(store, _as_blobs(representatives, n, "doc_id", "doc_id"), post, "b int, blob binary").repartition(n, "b")
 
@@ -291,6 +293,7 @@ def _candidates(postings: DataFrame, n: int, percent: int) -> DataFrame:
             post, docs, width = unpack(blob, bytes, bytes, bytes)
             k, s = unpack(post, "<u4", f"<u{width[0]}")
             i, z = unpack(docs, np.int64, "<u4")
+            i = np.cumsum(i)
             keys.append(k)
             slots.append(s.astype(np.uint32) + np.uint32(base))
             ids.append(i)
