@@ -9,7 +9,7 @@ together whole crowds, are used last. Agreeing chunks bring candidates together;
 shingle sets.
 
 Copies (equal sets) are represented by the smallest doc_id. Within a group that shares a chunk value, first only
-pairs with its likely origin and neighbours in a few orders are verified; of what that leaves in different components every pair is held against the bound that
+pairs with its likely origin are verified; of what that leaves in different components every pair is held against the bound that
 sketches give, and verified if it passes, so no link between components is lost.
 
 Defined results: null texts and texts without words have no shingles, size 0 and themselves as component; a text
@@ -33,8 +33,8 @@ from speechlake.llm.text_store import build_store, distinct_documents, for_each_
 SHINGLE, PERCENT = 5, 80
 #: Counters of each of two rows of the count sketch that rules the order of chunks.
 COUNTERS = 1 << 18
-#: Orders in which neighbours of a group are verified first; most pairs that a task holds before it lets them go; documents of a group that are compared in one place.
-ORDERS, HELD_PAIRS, GROUP_BLOCK = 2, 1_000_000, 2048
+#: Most pairs that a task holds before it lets them go; documents of a group that are compared in one place.
+HELD_PAIRS, GROUP_BLOCK = 1_000_000, 2048
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -318,30 +318,21 @@ def _candidates(postings: DataFrame, n: int, percent: int) -> DataFrame:
         order = np.lexsort((doc, -shares[doc], group))
         g, d = group[order], doc[order]
         hub = np.repeat(d[np.concatenate([[True], g[1:] != g[:-1]])], count) if len(g) else d
-        pairs = [(hub, d)]
-        grade = np.floor(8 * np.log(np.maximum(size[doc], 1))).astype(np.int64)
-        for k in range(ORDERS):
-            order = np.lexsort((mix64(ids[doc].view(_U) ^ _MULT[k]), grade, group))
-            g, d = group[order], doc[order]
-            near = np.flatnonzero(g[1:] == g[:-1])
-            x, y = d[near], d[near + 1]
-            turn = (shares[y] > shares[x]) | ((shares[y] == shares[x]) & (y < x))
-            pairs.append((np.where(turn, y, x), np.where(turn, x, y)))
-        a, b = _unique_pairs(pairs)
+        a, b = _unique_pairs([(hub, d)])
         fit = (a != b) & (np.minimum(size[a], size[b]) * 100 >= percent * np.maximum(size[a], size[b]))
         if fit.any():
             yield _pair_rows(ids[a[fit]], ids[b[fit]], n)
-        # Larger groups, each distinct one once, may hold links that no neighbours show.
+        # Larger groups, each distinct one once, may hold links that their origin does not show.
         _, first, count = np.unique(group, return_index=True, return_counts=True)
         large = count > 2
         first, count = first[large], count[large]
         if len(first):
             at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
             starts = np.cumsum(count) - count
-            sums = np.add.reduceat(mix64(doc[at].astype(_U)), starts)
+            sums = np.add.reduceat(mix64(ids[doc[at]].view(_U)), starts)
             _, keep = np.unique(sums, return_index=True)
             rows = np.concatenate([np.arange(starts[k], starts[k] + count[k]) for k in keep])
-            label = np.repeat(sums.view(np.int64) ^ np.int64(bucket), count)
+            label = np.repeat(sums.view(np.int64), count)  # the same group, from whatever bucket, has the same label
             d = doc[at]
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(label[rows], ids[d[rows]], size[d[rows]])], pa.binary())], ["kind", "b", "blob"])
 
@@ -415,7 +406,7 @@ def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int,
                 label, doc, size = unpack(blob, np.int64, np.int64, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(doc), pa.array(size)], ["label", "doc", "size"])
 
-    rows = groups.select("blob").mapInArrow(lean(spread), "label long, doc long, size long")
+    rows = groups.select("blob").mapInArrow(lean(spread), "label long, doc long, size long").distinct()
     named = checkpointed(rows.join(components, F.col("doc") == F.col("node"), "left").select("label", "doc", "size", F.coalesce("component", "doc").alias("c")))
     spans = named.groupBy("label").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("g")).where("low <> high").select(F.col("label").alias("open"), F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("blocks"))
     held = named.join(spans, F.col("label") == F.col("open")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))

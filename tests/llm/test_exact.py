@@ -102,7 +102,6 @@ def test_similar_documents_against_brute_force(docs, texts, monkeypatch):
     kept = m.keep_one_of_each(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i}
     monkeypatch.setattr(m, "GROUP_BLOCK", 3)
-    monkeypatch.setattr(m, "ORDERS", 0)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in m.shingle_components(docs).collect()} == want
 
 
