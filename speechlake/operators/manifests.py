@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from speechlake.functions import alignment, text
+from speechlake.operators.ranking import group_row_numbers, row_numbers
 from speechlake.session import ship_code
 
 #: Columns that may hold the audio path and the transcript, in order of preference.
@@ -145,8 +146,8 @@ def missing_audio(manifest: DataFrame, files: DataFrame) -> DataFrame:
 def pack_rename(manifest: DataFrame, order: str) -> DataFrame:
     """manifest with ``packed_name``: the file's own name for its first row, stem_0001.ext and so on for later ones; a name that so arises and stands for itself elsewhere is moved on by numbering it anew."""
     named = manifest.withColumns({"_stem": text.file_stem(F.col("audio_filepath")), "_ext": text.file_suffix(F.col("audio_filepath"))})
-    n = F.row_number().over(Window.partitionBy("_stem", "_ext").orderBy(order)) - 1
-    named = named.withColumn("packed_name", F.when(n == 0, F.concat("_stem", "_ext")).otherwise(F.format_string("%s_%04d%s", "_stem", n, "_ext"))).withColumn("_n", n)
+    ranked = group_row_numbers(named, ["_stem", "_ext"], [F.col(order).asc()], "_n", "_size").drop("_size")  # one name may be a third of all
+    named = ranked.withColumn("_n", F.col("_n") - 1).withColumn("packed_name", F.when(F.col("_n") == 0, F.concat("_stem", "_ext")).otherwise(F.format_string("%s_%04d%s", "_stem", "_n", "_ext")))
     # A generated name may equal a natural one: the natural one keeps it.
     again = F.row_number().over(Window.partitionBy("packed_name").orderBy((F.col("_n") > 0).cast("int"), order)) - 1
     return named.withColumn("_again", again).withColumn("packed_name", F.when(F.col("_again") == 0, F.col("packed_name")).otherwise(F.format_string("%s_%04d_%04d%s", "_stem", "_n", "_again", "_ext"))).drop("_stem", "_ext", "_n", "_again")
@@ -154,8 +155,6 @@ def pack_rename(manifest: DataFrame, order: str) -> DataFrame:
 
 def cut_manifest(manifest: DataFrame, order: str, base: str = "") -> DataFrame:
     """One cut for each row with a known duration: recording r%08d from 1 on, one supervision."""
-    from speechlake.operators.ranking import row_numbers
-
     fill = lambda c, v: F.coalesce(F.col(c), F.lit(v)) if c in manifest.columns else F.lit(v)
     rows = row_numbers(manifest, [F.col(order)])
     rec = F.format_string("r%08d", "rn")
