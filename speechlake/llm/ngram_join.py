@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import LOWER, RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, n_buckets, pack, release, runs, unpack
+from speechlake.llm.common import LOWER, RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, pack, release, runs, unpack
 from speechlake.llm.components import COMPONENTS_SQL, connected_components
 from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, take, with_messages
 
