@@ -54,9 +54,10 @@ class TestWindows:
 
     def __init__(self, benchmark: DataFrame, window: int = WINDOW):
         items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-        per = [items.where(F.size("w") < window).select("item", F.size("w").alias("len"), F.array_join("w", " ").alias("words"), *[F.when(F.size("w") == k, _probe(F.col("w"), F.lit(0), k)).alias(f"p{k}") for k in range(1, window)])]
-        short = per[0].select("item", "len", "words", F.coalesce(*[F.col(f"p{k}") for k in range(1, window)]).alias("probe"))
-        full = items.select("item", F.lit(window).alias("len"), F.explode(F.transform(_starts(F.col("w"), window), lambda i: F.struct(window_text(F.col("w"), i, window).alias("words"), _probe(F.col("w"), i, window).alias("probe")))).alias("x")).select("item", "len", "x.words", "x.probe")
+        own = F.coalesce(*[F.when(F.size("w") == k, _probe(F.col("w"), F.lit(0), k)) for k in range(1, window)], F.lit(0).cast("long"))
+        short = items.where(F.size("w") < window).select("item", F.size("w").alias("len"), F.array_join("w", " ").alias("words"), own.alias("probe"))
+        each = F.transform(_starts(F.col("w"), window), lambda i: F.struct(window_text(F.col("w"), i, window).alias("words"), _probe(F.col("w"), i, window).alias("probe")))
+        full = items.select("item", F.lit(window).alias("len"), F.explode(each).alias("x")).select("item", "len", "x.words", "x.probe")
         every = checkpointed(short.unionByName(full).distinct())
         # Windows that occur in the same items share a set; a document's items are its sets' items.
         sets = every.groupBy("len", "words", "probe").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set_id", F.md5(F.array_join("items", ",")))
