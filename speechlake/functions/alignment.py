@@ -1,8 +1,8 @@
-"""Word alignment by edit distance, vectorized over the rows of an Arrow batch.
+"""Word alignment by edit distance over the rows of an Arrow batch.
 
-Ties prefer a substitution or match, then a deletion, then an insertion. Counts need no backtrace: every cell
-carries cost, substitutions, deletions and insertions in 16-bit lanes of one integer, so a step is one addition;
-rows are sorted by length first so that little is padded.
+Ties prefer a substitution or match, then a deletion, then an insertion. A column of the table is two bit vectors (Python
+integers, a bit for each word of the reference), so a step takes a few operations on whole columns and texts may have any
+length. The way back reads the columns; of long rows only some are kept and the ones between are computed again.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_COST, _SUB, _DEL, _INS = 1 << 48, (1 << 48) + (1 << 32), (1 << 48) + (1 << 16), (1 << 48) + 1
-#: Cells of the pointer table that a backtrace holds at once.
-_CELLS = 1 << 25
+#: Bits of the columns of one row that are held for its way back.
+_BITS = 1 << 28
 COUNTS = "struct<sub:bigint,ins:bigint,del:bigint,correct:bigint,n_ref:bigint,n_hyp:bigint>"
 OPS = "array<struct<op:string,ref:string,hyp:string>>"
 
@@ -31,94 +30,121 @@ def _encode(ref: pa.Array, hyp: pa.Array):
     return sides[0], sides[1], both.dictionary
 
 
-def _pad(side, rows: np.ndarray, fill: int) -> tuple[np.ndarray, np.ndarray]:
-    codes, offs = side
-    lens = (offs[1:] - offs[:-1])[rows]
-    out = np.full((len(rows), int(lens.max(initial=0))), fill, np.int64)
-    r = np.repeat(np.arange(len(rows)), lens)
-    c = np.arange(len(r)) - np.repeat(np.cumsum(lens) - lens, lens)
-    out[r, c] = codes[np.repeat(offs[:-1][rows], lens) + c]
-    return out, lens
-
-
-def _chunks(n: np.ndarray, m: np.ndarray, cells: int | None):
-    """Rows of about equal lengths together."""
-    order = np.lexsort((m, n))
-    at = 0
-    while at < len(order):
-        to = min(len(order), at + 1024)
-        if cells:
-            while to > at + 1 and (to - at) * (n[order[to - 1]] + 1) * (m[order[at:to]].max() + 1) > cells:
-                to = at + (to - at) // 2
-        yield order[at:to]
-        at = to
-
-
-def _fill(r: np.ndarray, h: np.ndarray, n: np.ndarray, m: np.ndarray, pointers: np.ndarray | None) -> np.ndarray:
-    """The packed counts at each row's own corner; pointers gets 0 diagonal, 1 deletion, 2 insertion."""
-    width = h.shape[1]
-    row = np.arange(width + 1, dtype=np.int64)[:, None] * _INS + np.zeros((1, len(r)), np.int64)
-    out = row[m, np.arange(len(r))].copy()
-    for i in range(1, r.shape[1] + 1):
-        old, row = row, np.empty_like(row)
-        row[0] = old[0] + _DEL
-        token = r[:, i - 1]
-        for j in range(1, width + 1):
-            best = old[j - 1] + np.where(token == h[:, j - 1], 0, _SUB)
-            dele, ins = old[j] + _DEL, row[j - 1] + _INS
-            take = dele >> 48 < best >> 48
-            best = np.where(take, dele, best)
-            last = ins >> 48 < best >> 48
-            row[j] = np.where(last, ins, best)
-            if pointers is not None:
-                pointers[:, i, j] = np.where(last, 2, take)
-        done = n == i
-        if done.any():
-            k = np.flatnonzero(done)
-            out[k] = row[m[k], k]
+def _places(ref) -> dict:
+    """Of each item of the reference the bits where it stands."""
+    found: dict = {}
+    for i, w in enumerate(ref):
+        found.setdefault(w, []).append(i)
+    size, out = len(ref) // 8 + 1, {}
+    for w, at in found.items():
+        if len(at) < 16:
+            out[w] = sum(1 << i for i in at)
+        else:
+            bits = np.zeros(size * 8, np.uint8)
+            bits[at] = 1
+            out[w] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
     return out
 
 
+def _columns(bits: dict, n: int, hyp, up: int, down: int, keep: list | None = None) -> tuple[int, int]:
+    """The last column's (up, down): where a cell is one more or one less than the cell above; keep gets each column's (diagonal, up), diagonal: where a cell is as the one diagonally above."""
+    mask = (1 << n) - 1
+    for w in hyp:
+        here = bits.get(w, 0)
+        diagonal = ((((here & up) + up) ^ up) | here | down) & mask
+        more, less = ((down | (mask & ~(diagonal | up))) << 1) | 1, (diagonal & up) << 1
+        up, down = (less | ~(diagonal | more)) & mask, more & diagonal
+        if keep is not None:
+            keep.append((diagonal, up))
+    return up, down
+
+
+def distance(ref, hyp) -> int:
+    if ref == hyp:
+        return 0
+    up, down = _columns(_places(ref), len(ref), hyp, (1 << len(ref)) - 1, 0)
+    return len(hyp) + up.bit_count() - down.bit_count()
+
+
+def _edits(ref: list, hyp: list) -> list[tuple[int, int, int]]:
+    """(0 substitution 1 deletion 2 insertion, ref place, hyp place) from the last to the first."""
+    if ref == hyp:
+        return []
+    n, m, bits, out = len(ref), len(hyp), _places(ref), []
+    span = m if 2 * n * m <= _BITS else max(1, min(int(m**0.5) + 1, _BITS // (2 * n)))
+    starts, state = [], ((1 << n) - 1, 0)
+    for at in range(0, m, max(1, span)):
+        starts.append(state)
+        if at + span < m:
+            state = _columns(bits, n, hyp[at : at + span], *state)
+    i, j, low, kept = n, m, m, []
+    while i and j:
+        if j - 1 < low:
+            low, kept = (j - 1) // span * span, []
+            _columns(bits, n, hyp[low:j], *starts[low // span], kept)
+        if ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+            continue
+        diagonal, up = kept[j - 1 - low]
+        if not diagonal >> (i - 1) & 1:
+            i, j = i - 1, j - 1
+            out.append((0, i, j))
+        elif up >> (i - 1) & 1:
+            i -= 1
+            out.append((1, i, j))
+        else:
+            j -= 1
+            out.append((2, i, j))
+    return out + [(1, k, 0) for k in range(i - 1, -1, -1)] + [(2, 0, k) for k in range(j - 1, -1, -1)]
+
+
+def _rows(a, b):
+    for k in range(len(a[1]) - 1):
+        yield a[0][a[1][k] : a[1][k + 1]].tolist(), b[0][b[1][k] : b[1][k + 1]].tolist()
+
+
 def count_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """COUNTS of each row; a null list is empty."""
     a, b, _ = _encode(ref, hyp)
     n, m = np.diff(a[1]), np.diff(b[1])
-    packed = np.zeros(len(n), np.int64)
-    for rows in _chunks(n, m, None):
-        (r, ln), (h, lm) = _pad(a, rows, -1), _pad(b, rows, -2)
-        packed[rows] = _fill(r, h, ln, lm, None)
-    sub, dele, ins = (packed >> 32) & 0xFFFF, (packed >> 16) & 0xFFFF, packed & 0xFFFF
+    totals = np.zeros((len(n), 3), np.int64)
+    for k, (left, right) in enumerate(_rows(a, b)):
+        for op, _, _ in _edits(left, right):
+            totals[k, op] += 1
+    sub, dele, ins = totals.T
     return pa.StructArray.from_arrays([pa.array(x) for x in (sub, ins, dele, n - sub - dele, n, m)], ["sub", "ins", "del", "correct", "n_ref", "n_hyp"])
 
 
 def align_ops(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """OPS of each row, in order."""
     a, b, words = _encode(ref, hyp)
-    n, m, words = np.diff(a[1]), np.diff(b[1]), words.to_pylist()
-    found: list = [None] * len(n)
-    for rows in _chunks(n, m, _CELLS):
-        (r, ln), (h, lm) = _pad(a, rows, -1), _pad(b, rows, -2)
-        pointers = np.zeros((len(rows), r.shape[1] + 1, h.shape[1] + 1), np.int8)
-        pointers[:, 0, 1:], pointers[:, 1:, 0] = 2, 1
-        _fill(r, h, ln, lm, pointers)
-        for k, row in enumerate(rows.tolist()):
-            i, j, ops, p = int(ln[k]), int(lm[k]), [], pointers[k]
-            while i or j:
-                step = p[i, j]
-                if step == 0:
-                    i, j = i - 1, j - 1
-                    x, y = words[r[k, i]], words[h[k, j]]
-                    ops.append(("correct" if x == y else "sub", x, y))
-                elif step == 1:
-                    i -= 1
-                    ops.append(("del", words[r[k, i]], None))
-                else:
-                    j -= 1
-                    ops.append(("ins", None, words[h[k, j]]))
-            found[row] = [{"op": o, "ref": x, "hyp": y} for o, x, y in reversed(ops)]
+    words, found = words.to_pylist(), []
+    for left, right in _rows(a, b):
+        ops, i = [], 0
+        for op, p, q in reversed(_edits(left, right)):
+            ops += [("correct", words[w], words[w]) for w in left[i:p]]
+            ops.append(("sub", words[left[p]], words[right[q]]) if op == 0 else ("del", words[left[p]], None) if op == 1 else ("ins", None, words[right[q]]))
+            i = p + (op != 2)
+        ops += [("correct", words[w], words[w]) for w in left[i:]]
+        found.append([{"op": o, "ref": x, "hyp": y} for o, x, y in ops])
     return pa.array(found, pa.list_(pa.struct([("op", pa.string()), ("ref", pa.string()), ("hyp", pa.string())])))
 
 
+def count_chars(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """The edit distance of each row's two texts in characters; null where one is null."""
+    return pa.array([None if r is None or h is None else distance(r, h) for r, h in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int64())
+
+
+def char_distance(ref: Column, hyp: Column) -> Column:
+    """The edit distance of two texts in characters, as F.levenshtein gives it, for long texts too."""
+
+    @F.arrow_udf("bigint")
+    def run(r: pa.Array, h: pa.Array) -> pa.Array:
+        return count_chars(r, h)
+
+    return run(ref, hyp)
+
+
 def edit_counts(ref: Column, hyp: Column) -> Column:
     """COUNTS of two arrays of words."""
 

@@ -32,7 +32,7 @@ def metrics(counts: Column, ref: Column, hyp: Column) -> dict[str, Column]:
     edits = counts["sub"] + counts["ins"] + counts["del"]
     return {
         "wer": F.round(edits / F.greatest(F.lit(1), counts["n_ref"]), 6),
-        "cer": F.round(F.levenshtein(ref, hyp) / F.greatest(F.lit(1), F.length(ref)), 6),
+        "cer": F.round(alignment.char_distance(ref, hyp) / F.greatest(F.lit(1), F.length(ref)), 6),
         "ser": F.when(F.trim(ref) == F.trim(hyp), 0.0).otherwise(1.0),
     }
 
@@ -128,11 +128,11 @@ def corpus_scores(pairs: DataFrame, normalize=text.normalize_basic) -> DataFrame
     """Micro-averaged rates of each model and its S, I and D totals. pairs: (model_id, ref, hyp)."""
     ship_code(pairs.sparkSession)
     x = pairs.select("model_id", normalize(F.col("ref")).alias("r"), normalize(F.col("hyp")).alias("h"))
-    x = x.withColumn("c", alignment.edit_counts(text.tokens(F.col("r")), text.tokens(F.col("h"))))
+    x = x.withColumn("c", alignment.edit_counts(text.tokens(F.col("r")), text.tokens(F.col("h")))).withColumn("wrong", alignment.char_distance(F.col("r"), F.col("h")))
     total = lambda e: F.sum(e).cast("long")
     sums = x.groupBy("model_id").agg(
         total(F.col("c.sub")).alias("substitutions"), total(F.col("c.ins")).alias("insertions"), total(F.col("c.del")).alias("deletions"),
-        total(F.col("c.n_ref")).alias("n_ref"), total(F.levenshtein("r", "h")).alias("chars_wrong"), total(F.length("r")).alias("chars"),
+        total(F.col("c.n_ref")).alias("n_ref"), total(F.col("wrong")).alias("chars_wrong"), total(F.length("r")).alias("chars"),
         F.round(F.avg(F.when(F.col("r") != F.col("h"), 1.0).otherwise(0.0)), 6).alias("ser"), F.count("*").alias("pairs"),
     )
     return sums.withColumn("wer", F.round((F.col("substitutions") + F.col("insertions") + F.col("deletions")) / F.greatest("n_ref", F.lit(1)), 6)).withColumn("cer", F.round(F.col("chars_wrong") / F.greatest("chars", F.lit(1)), 6))
