@@ -9,7 +9,6 @@ from speechlake.functions.vectors import cosine
 
 #: Which token positions a model deletes, alters, and follows with a filler.
 MODELS = {"m1": (11, 13, 17), "m2": (7, 9, 12), "m3": (19, 23, 29)}
-WORDS = 24
 WEIGHTS = {"the": 0.5, "and": 0.5, "uh": 0.25, "de": 2.0}
 
 
@@ -18,12 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(utt_id, ref, dataset, lang, duration): the first words of each document.
+    """(utt_id, ref, dataset, lang, duration): all words of each document.
 
-    Splitting stops behind the words that are kept (the first part may be empty, the last is the rest of the text).
-    The narrow rows are dealt by utterance, so that what follows runs on all cores however few row groups a file has.
+    The rows are dealt by utterance, so that what follows runs on all cores however few row groups a file has.
     """
-    words = F.slice(F.filter(F.split("text", r"\s+", WORDS + 2), lambda t: t != ""), 1, WORDS)
+    words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt_id"), F.array_join(words, " ").alias("ref"), F.col("source").alias("dataset"), "lang", (F.col("n_chars") / 15.0).alias("duration"))
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "utt_id")
 
