@@ -109,7 +109,7 @@ class LicenseScanner:
     templates: list[tuple[str, str]]
 
     def __post_init__(self):
-        self.names, self.words, seeds, owner = [], [], [], []
+        self.names, self.words, seeds, owner, offset = [], [], [], [], []
         for k, (name, text) in enumerate(self.templates):
             raw = text.encode()
             h, _ = words_of(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
@@ -120,9 +120,10 @@ class LicenseScanner:
             s = _seeds(h)
             seeds.append(s)
             owner.append(np.full(len(s), k))
-        seeds, owner = np.concatenate(seeds), np.concatenate(owner)
+            offset.append(np.arange(len(s)))
+        seeds, owner, offset = np.concatenate(seeds), np.concatenate(owner), np.concatenate(offset)
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
+        self.seeds, self.owner, self.offset = seeds[order], owner[order], offset[order]
 
     def __call__(self, offs: np.ndarray, data: np.ndarray) -> dict[int, list[tuple[str, float, int, int]]]:
         """Of each document with licenses: (license, coverage, first word, behind last word)."""
@@ -133,22 +134,60 @@ class LicenseScanner:
         doc = np.searchsorted(edge, at, side="right") - 1
         inside = at + 2 < edge[doc + 1]
         at, doc = at[inside], doc[inside]
-        places: dict[tuple[int, int], list[int]] = {}
+        places: dict[tuple[int, int], list[tuple[int, list[int]]]] = {}
         for p, d in zip(at.tolist(), doc.tolist(), strict=True):
-            for k in self.owner[low[p] : high[p]].tolist():
-                places.setdefault((d, k), []).append(p)
+            here: dict[int, list[int]] = {}
+            for k, q in zip(self.owner[low[p] : high[p]].tolist(), self.offset[low[p] : high[p]].tolist(), strict=True):
+                here.setdefault(k, []).append(q)
+            for k, qs in here.items():
+                places.setdefault((d, k), []).append((p, sorted(qs)))
         out: dict[int, list] = {}
         for (d, k), found in places.items():
-            size, begin = len(self.words[k]), 0
-            for n in range(1, len(found) + 1):
-                if n < len(found) and found[n] - found[n - 1] <= size:
-                    continue
-                a, z = max(int(edge[d]), found[begin] - size), min(int(edge[d + 1]), found[n - 1] + 3 + size)
-                begin = n
-                pairs = patience(h[a:z].tolist(), self.words[k], a)
-                coverage = len(pairs) / size
-                if pairs and coverage >= COVERAGE and len(pairs) >= DENSITY * (pairs[-1][0] + 1 - pairs[0][0]):
-                    out.setdefault(d, []).append((self.names[k], coverage, pairs[0][0] - int(edge[d]), pairs[-1][0] + 1 - int(edge[d])))
+            name, begin, end = self.names[k], int(edge[d]), int(edge[d + 1])
+            for coverage, first, behind in self._hits(h, self.words[k], begin, end, self._windows(found, len(self.words[k]))):
+                out.setdefault(d, []).append((name, coverage, first - begin, behind - begin))
+        return out
+
+    @staticmethod
+    def _hits(h: np.ndarray, words: list, begin: int, end: int, windows: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+        """(coverage, first word, behind last word). Each window alone, up to its neighbours' seeds; then those in a row that gave nothing, together."""
+        size, hits = len(words), []
+
+        def align(n: int, m: int) -> bool:
+            a = max(begin, windows[n][0] - size, windows[n - 1][1] + 3 if n else begin)
+            z = min(end, windows[m][1] + 3 + size, windows[m + 1][0] if m + 1 < len(windows) else end)
+            pairs = patience(h[a:z].tolist(), words, a)
+            if not pairs or len(pairs) < COVERAGE * size or len(pairs) < DENSITY * (pairs[-1][0] + 1 - pairs[0][0]):
+                return False
+            hits.append((len(pairs) / size, pairs[0][0], pairs[-1][0] + 1))
+            return True
+
+        free = [not align(n, n) for n in range(len(windows))]
+        n = 0
+        while n < len(windows):
+            m = n + 1
+            # no hit is longer than size / DENSITY words
+            while free[n] and m < len(windows) and free[m] and windows[m][0] - windows[n][1] - 3 <= size / DENSITY:
+                if align(n, m):
+                    n = m
+                    break
+                m += 1
+            n += 1
+        return hits
+
+    @staticmethod
+    def _windows(found: list[tuple[int, list[int]]], size: int) -> list[tuple[int, int]]:
+        """(first seed, last seed) of each place: a new one begins behind a gap, and where the template's words begin again."""
+        out, last, at = [], -1, -1
+        for p, offsets in found:
+            onward = [q for q in offsets if q > at]
+            if not out or p - last > size or not onward:
+                out.append((p, p))
+                at = offsets[0]
+            else:
+                out[-1] = (out[-1][0], p)
+                at = min(onward)
+            last = p
         return out
 
 
