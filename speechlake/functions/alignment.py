@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the columns of one row that are held for its way back.
 _BITS = 1 << 28
+#: Cells of the table of two texts up to which the JVM's plain distance is taken.
+SHORT = 1 << 18
 COUNTS = "struct<sub:bigint,ins:bigint,del:bigint,correct:bigint,n_ref:bigint,n_hyp:bigint>"
 OPS = "array<struct<op:string,ref:string,hyp:string>>"
 
@@ -136,13 +138,15 @@ def count_chars(ref: pa.Array, hyp: pa.Array) -> pa.Array:
 
 
 def char_distance(ref: Column, hyp: Column) -> Column:
-    """The edit distance of two texts in characters, as F.levenshtein gives it, for long texts too."""
+    """The edit distance of two texts in characters: in the JVM, but for pairs with over SHORT cells, where bit vectors are faster."""
 
     @F.arrow_udf("bigint")
     def run(r: pa.Array, h: pa.Array) -> pa.Array:
         return count_chars(r, h)
 
-    return run(ref, hyp)
+    short = F.length(ref).cast("bigint") * F.length(hyp) <= SHORT
+    long_ref, long_hyp = (F.when(~short, x) for x in (ref, hyp))
+    return F.coalesce(run(long_ref, long_hyp), F.when(short, F.levenshtein(ref, hyp)).cast("bigint"))
 
 
 def edit_counts(ref: Column, hyp: Column) -> Column:
@@ -171,10 +175,13 @@ def substitutions(ops: Column) -> Column:
 
 
 def native_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two arrays of words inside the JVM: each distinct word is one character. For fewer than 20,000 distinct words a row."""
+    """Edit distance of two arrays of words inside the JVM: each distinct word of a row is one character; null where a row has more distinct words than there are letters in a block of them."""
     book = F.array_distinct(F.concat(ref, hyp))
+    places = F.map_from_arrays(book, F.sequence(F.lit(1), F.size(book)))
 
-    def word(x: Column) -> Column:
-        return F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(book, t)), 4, "0")), "UTF-16BE")), "")
+    def word(x: Column, place: Column) -> Column:
+        return F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(19967) + F.try_element_at(place, t)), 4, "0")), "UTF-16BE")), "")
 
-    return F.levenshtein(word(ref), word(hyp)).cast("long")
+    fits = F.when(F.size(book).between(1, 20_000), F.array(places))  # a list of one, so that the map is made once a row
+    found = F.transform(fits, lambda place: F.levenshtein(word(ref, place), word(hyp, place)))
+    return F.when(F.size(book) == 0, F.lit(0)).otherwise(F.get(found, F.lit(0))).cast("long")

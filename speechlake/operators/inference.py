@@ -24,7 +24,7 @@ def batch_size(model: str) -> int:
     return next(n for name, n in BATCH.items() if name in model)
 
 
-def transcribe(audio: DataFrame, load: Callable[[], Callable[[list], list[str]]], key: str = "audio_filepath", content: str = "content", size: int = 16) -> DataFrame:
+def recognize_speech(audio: DataFrame, load: Callable[[], Callable[[list], list[str]]], key: str = "audio_filepath", content: str = "content", size: int = 16) -> DataFrame:
     """(key, hyp) of every row. load() gives a function from a list of contents to as many texts; it is called once for each task."""
     ship_code(audio.sparkSession)
 

@@ -9,6 +9,8 @@ from speechlake.functions.vectors import cosine
 
 #: Which token positions a model deletes, alters, and follows with a filler.
 MODELS = {"m1": (11, 13, 17), "m2": (7, 9, 12), "m3": (19, 23, 29)}
+#: Words of an utterance, and utterances that a document's numbers leave room for.
+WORDS, PLACES = 24, 1 << 20
 WEIGHTS = {"the": 0.5, "and": 0.5, "uh": 0.25, "de": 2.0}
 
 
@@ -16,14 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(utt_id, ref, dataset, lang, duration): each document as one recording, all its words in one text."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt_id"), F.array_join(words, " ").alias("ref"), F.col("source").alias("dataset"), "lang", (F.col("n_chars") / 15.0).alias("duration"))
+    return spread(rows, "utt_id")
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(utt_id, ref, dataset, lang, duration): all words of each document.
+    """(utt_id, ref, dataset, lang, duration): each document's words in utterances of WORDS, the last one shorter; none is lost.
 
-    The rows are dealt by utterance, so that what follows runs on all cores however few row groups a file has.
+    Utterance k of document d is d * PLACES + k; a document without words is one empty utterance. Durations are
+    sixteenths of a second, which doubles add up exactly in any order.
     """
-    words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt_id"), F.array_join(words, " ").alias("ref"), F.col("source").alias("dataset"), "lang", (F.col("n_chars") / 15.0).alias("duration"))
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "utt_id")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / WORDS)).cast("int"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("dataset"), "lang"), "doc_id").withColumn("w", words)
+    each = rows.select("doc_id", "dataset", "lang", F.posexplode(F.transform(cuts, lambda k: F.array_join(F.slice("w", k * WORDS + 1, WORDS), " "))).alias("k", "ref"))
+    return each.select((F.col("doc_id") * PLACES + F.col("k")).alias("utt_id"), "ref", "dataset", "lang", (F.length("ref") / 16.0).alias("duration"))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows on as many tasks as a shuffle has; dealt anew only where the files give fewer."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n, key)
 
 
 def predictions(utt: DataFrame) -> DataFrame:
@@ -45,10 +63,10 @@ def predictions(utt: DataFrame) -> DataFrame:
 
 
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(utt_id, sim): the cosine of vector k with vector k + 1."""
+    """(utt_id, sim): the cosine of vector k with vector k + 1, for the first utterance of document k."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return v.join(nxt, "vec_id").select(F.col("vec_id").alias("utt_id"), F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("sim"))
+    return v.join(nxt, "vec_id").select((F.col("vec_id") * PLACES).alias("utt_id"), F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("sim"))
 
 
 def manifest(utt: DataFrame) -> DataFrame:

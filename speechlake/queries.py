@@ -317,7 +317,7 @@ def per_utt_flat(spark, d):
 
 
 _N1 = f"n1 AS (SELECT p.model_id, u.utt_id, {S.basic('u.ref')} AS rn, {S.basic('p.hyp')} AS hn FROM utt u JOIN preds p ON p.utt_id = u.utt_id)"
-_C1 = f"c1 AS (SELECT *, CASE WHEN r = h THEN 0 ELSE {S.edits('r', 'h')} END AS e, {S.char_distance('rn', 'hn')} AS cd FROM (SELECT *, {S.tokens('rn')} AS r, {S.tokens('hn')} AS h FROM n1))"
+_C1 = f"c1 AS MATERIALIZED (SELECT *, CASE WHEN r = h THEN 0 ELSE {S.edits('r', 'h')} END AS e, {S.char_distance('rn', 'hn')} AS cd FROM (SELECT *, {S.tokens('rn')} AS r, {S.tokens('hn')} AS h FROM n1))"
 _CORPUS = (S.UTT, S.PREDS, _N1, _C1)
 
 
@@ -334,6 +334,35 @@ def pair_cosine(spark, d):
     return harness.similarity(spark, d)
 
 
+# ------------------------------------------------------------------ whole recordings: alignment of long texts, too slow in SQL, tested by brute force
+
+
+def _recordings(spark: SparkSession, d: str) -> DataFrame:
+    whole = harness.recordings(spark, d)
+    return errors.pair_with_models(whole, harness.predictions(whole), MODELS)
+
+
+@query()
+def recording_view(spark, d):
+    return harness.recordings(spark, d).withColumn("duration", F.round("duration", 6))
+
+
+@query()
+def recording_align_counts(spark, d):
+    return errors.per_utterance(_recordings(spark, d)).select("utt_id", "model_id", "ops_sub", "ops_ins", "ops_del", "ops_correct", "n_ref")
+
+
+@query()
+def recording_metrics(spark, d):
+    return errors.per_utterance(_recordings(spark, d)).select("utt_id", "model_id", "wer", "cer", "ser")
+
+
+@query()
+def recording_corpus_scores(spark, d):
+    whole = harness.recordings(spark, d)
+    return errors.corpus_scores(errors.matched_pairs(whole, harness.predictions(whole)))
+
+
 # ------------------------------------------------------------------ corpus scores
 
 
@@ -358,7 +387,7 @@ def corpus_sid(spark, d):
 
 
 _WEIGHT = "CASE coalesce(ref, hyp) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in harness.WEIGHTS.items()) + " ELSE 1.0 END"
-_PATH1 = f"path1 AS (SELECT model_id, utt_id, r, h, CASE WHEN r = h THEN repeat('c', len(r)) ELSE substr({S.path('r', 'h')}, 5) END AS p FROM (SELECT *, {S.tokens('rn')} AS r, {S.tokens('hn')} AS h FROM n1))"
+_PATH1 = f"path1 AS MATERIALIZED (SELECT model_id, utt_id, r, h, CASE WHEN r = h THEN repeat('c', len(r)) ELSE substr({S.path('r', 'h')}, 5) END AS p FROM (SELECT *, {S.tokens('rn')} AS r, {S.tokens('hn')} AS h FROM n1))"
 
 
 @query(S.with_(S.UTT, S.PREDS, _N1, _PATH1, S.ops("path1")) + f"SELECT model_id, round(sum(CASE WHEN op <> 'c' THEN {_WEIGHT} ELSE 0.0 END) / greatest(sum(CASE WHEN op <> 'i' THEN {_WEIGHT} ELSE 0.0 END), 1.0), 6) AS werd FROM ops GROUP BY model_id")
@@ -599,10 +628,10 @@ def cut_manifest(spark, d):
 
 
 @query(S.with_(S.UTT) + "SELECT CAST(utt_id AS VARCHAR) AS audio_filepath, reverse(ref) AS hyp FROM utt")
-def transcribe_contract(spark, d):
+def speech_contract(spark, d):
     """A stand-in model (backwards) through the batch contract."""
     audio = _utt(spark, d).select(F.col("utt_id").cast("string").alias("audio_filepath"), F.col("ref").alias("content"))
-    return inference.transcribe(audio, lambda: lambda batch: [x[::-1] for x in batch])
+    return inference.recognize_speech(audio, lambda: lambda batch: [x[::-1] for x in batch])
 
 
 @query(S.with_(S.UTT) + f"SELECT min(utt_id) AS utt_id, {S.advanced('ref')} AS norm FROM utt GROUP BY norm")

@@ -9,14 +9,16 @@ _PUNCT = string.punctuation.replace("'", "''")
 _ACCENTS = "àâäáçéèêëíîïñóôöùúûüß"
 _CAPITALS = string.ascii_uppercase[: len(_ACCENTS)]
 
-UTT = r"""utt AS (SELECT utt_id, array_to_string(toks, ' ') AS ref, dataset, lang, duration FROM (
-  SELECT doc_id AS utt_id, list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> ''), 1, 24) AS toks, source AS dataset, lang, n_chars / 15.0 AS duration FROM documents))"""
+UTT = r"""utt AS (SELECT utt_id, ref, dataset, lang, length(ref) / 16.0 AS duration FROM (
+  SELECT doc_id * 1048576 + k AS utt_id, array_to_string(list_slice(toks, k * 24 + 1, k * 24 + 24), ' ') AS ref, dataset, lang FROM (
+    SELECT doc_id, toks, dataset, lang, unnest(range(0, greatest(1, CAST(ceil(len(toks) / 24) AS BIGINT)))) AS k FROM (
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '') AS toks, source AS dataset, lang FROM documents))))"""
 PREDS = r"""rules(model_id, a, b, c) AS (VALUES ('m1', 11, 13, 17), ('m2', 7, 9, 12), ('m3', 19, 23, 29)),
 preds AS (SELECT model_id, utt_id, array_to_string(flatten(list_transform(list_filter(string_split(ref, ' '), lambda t: t <> ''), lambda t, i: list_concat(
     CASE WHEN (utt_id + i) % a = 0 THEN CAST([] AS VARCHAR[]) WHEN (3 * utt_id + i) % b = 0 THEN [t || 'x'] ELSE [t] END,
     CASE WHEN (utt_id + 2 * i) % c = 0 THEN ['uh'] ELSE CAST([] AS VARCHAR[]) END))), ' ') AS hyp
   FROM utt CROSS JOIN rules WHERE NOT (model_id = 'm3' AND utt_id % 10 = 0))"""
-SIM = """sims AS (SELECT a.vec_id AS utt_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-8), 6) AS sim
+SIM = """sims AS (SELECT a.vec_id * 1048576 AS utt_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-8), 6) AS sim
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
 MANIFEST = """manifest AS (SELECT utt_id, 'data/' || dataset || '/clip' || CAST(utt_id % 50 AS VARCHAR) || CASE utt_id % 3 WHEN 0 THEN '.wav' WHEN 1 THEN '.flac' ELSE '.mp3' END AS audio_filepath,
   CASE WHEN utt_id % 17 = 0 THEN ' ' ELSE ref END AS text, dataset, lang, CASE WHEN utt_id % 13 = 0 THEN NULL ELSE duration / 10 END AS duration FROM utt)"""
@@ -63,14 +65,14 @@ PAIRS = "pairs AS (SELECT u.*, m.model_id, coalesce(p.hyp, '') AS hyp FROM utt u
 CLASS = "CASE WHEN wer >= 0.4 AND (sim IS NULL OR sim <= 0.6) THEN 'full_misunderstanding' WHEN wer >= 0.15 THEN 'partial' ELSE 'local' END"
 SCORES = f"""nrm AS (SELECT *, {advanced('ref')} AS ref_norm, {advanced('hyp')} AS hyp_norm FROM pairs),
 toks AS (SELECT *, {tokens('ref_norm')} AS r, {tokens('hyp_norm')} AS h FROM nrm),
-packed AS (SELECT *, CASE WHEN r = h THEN 0 ELSE {edits('r', 'h')} END AS e FROM toks),
+packed AS MATERIALIZED (SELECT *, CASE WHEN r = h THEN 0 ELSE {edits('r', 'h')} END AS e FROM toks),
 counted AS (SELECT *, CAST((e // 100000000) % 10000 AS BIGINT) AS ops_sub, CAST((e // 10000) % 10000 AS BIGINT) AS ops_del, CAST(e % 10000 AS BIGINT) AS ops_ins, CAST(len(r) AS BIGINT) AS n_ref FROM packed),
 scores AS (SELECT c.*, n_ref - ops_sub - ops_del AS ops_correct, round((ops_sub + ops_ins + ops_del) / greatest(1, n_ref), 6) AS wer,
   round({char_distance('ref_norm', 'hyp_norm')} / greatest(1, length(ref_norm)), 6) AS cer, CASE WHEN trim(ref_norm) = trim(hyp_norm) THEN 0.0 ELSE 1.0 END AS ser, s.sim
   FROM counted c LEFT JOIN sims s ON s.utt_id = c.utt_id)"""
 OPS = f"""nrm AS (SELECT *, {advanced('ref')} AS ref_norm, {advanced('hyp')} AS hyp_norm FROM pairs),
 toks AS (SELECT *, {tokens('ref_norm')} AS r, {tokens('hyp_norm')} AS h FROM nrm),
-paths AS (SELECT *, CASE WHEN r = h THEN repeat('c', len(r)) ELSE substr({path('r', 'h')}, 5) END AS p FROM toks)"""
+paths AS MATERIALIZED (SELECT *, CASE WHEN r = h THEN repeat('c', len(r)) ELSE substr({path('r', 'h')}, 5) END AS p FROM toks)"""
 
 
 def ops(of: str = "paths", keep: str = "model_id, utt_id") -> str:

@@ -105,7 +105,7 @@ def test_models_are_plugged_in(spark):
 
         return inference.with_fallback(short, lambda batch: [x[::-1] for x in batch])
 
-    got = {r.audio_filepath: r.hyp for r in inference.transcribe(audio.coalesce(1), load, size=4).collect()}
+    got = {r.audio_filepath: r.hyp for r in inference.recognize_speech(audio.coalesce(1), load, size=4).collect()}
     assert got["0"] == "0 pilc" and len(got) == 7
     assert inference.batch_size("whisper-large-v3") == 24 and inference.batch_size("other") == 16
 
