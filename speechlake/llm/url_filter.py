@@ -1,10 +1,16 @@
 """URL filters over dated lists, with DataFrame expressions only.
 
 Dated list entries (added, removed, added again) become validity intervals; every capture is expanded to the few
-keys that an entry could name (its host, each parent domain, its address and each parent folder) and joined as
-of its fetch time. Intervals are broadcast while their counted rows stay under BROADCAST_ROWS; beyond that the
-join is shuffled, captures dealt over SALTS copies of each interval so that a host with a third of all captures
-is spread out.
+keys that an entry could name (its host, its parent domains, its address and its parent folders) and joined as
+of its fetch time. Only depths that occur in the lists make keys, so an address of any depth has as many keys as
+the lists have depths. Intervals are broadcast while their counted rows and bytes stay under BROADCAST_ROWS and
+BROADCAST_BYTES; beyond that the join is shuffled, captures dealt over SALTS copies of each interval so that a host
+with a third of all captures is spread out.
+
+Entries: ``domain`` names a host and all below it, however many labels either has; ``prefix`` names host and path, the
+folder with all below it where it ends in a slash, else that address alone. Hosts match in any case, paths as they
+stand; an address without a path is not its root folder's; ports, user names, queries and fragments don't count; a host
+may be an IPv6 address in brackets.
 
 Defined results: a capture without a host or fetch time is kept; events of one key, list and day apply removals
 first; an addition of what is on the list, or a removal of what is not, changes nothing; repeated captures are
@@ -16,53 +22,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Most intervals that are broadcast; copies of each interval where they aren't.
-BROADCAST_ROWS, SALTS = 200_000, 16
-#: Labels of a host and folders of a path that make keys.
-MOST_LABELS, MOST_FOLDERS = 12, 12
+from speechlake.llm.common import checkpointed
+
+#: Most intervals that are broadcast, and most bytes of their keys; copies of each interval where they aren't.
+BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 200_000, 32 << 20, 16
+#: What stands before the path: scheme, user, then host or bracketed address.
+_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:\[]+)"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an address, null where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(url, _PATH, 1)
+
+
+def depth_of(kind: Column, pattern: Column) -> Column:
+    """How deep an entry is: labels of a domain, slashes of a folder; null for a single address."""
+    slashes = F.length(pattern) - F.length(F.replace(pattern, F.lit("/"), F.lit("")))
+    return F.when(kind == "domain", F.size(F.split(pattern, r"\."))).when(pattern.endswith("/"), slashes)
 
 
-def keys_of(url: Column) -> Column:
-    """Keys of an address: ``domain:`` for its host and each parent with two labels or more, ``prefix:`` for host and path, and host and each parent folder."""
-    labels, parts = F.split(host_of(url), r"\."), F.split(path_of(url), "/")
-    n, m = F.least(F.size(labels), F.lit(MOST_LABELS)), F.least(F.size(parts), F.lit(MOST_FOLDERS))
-    domains = F.when(n >= 2, F.transform(F.sequence(F.lit(2), n), lambda k: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")))).otherwise(F.array().cast("array<string>"))
-    folders = F.transform(F.sequence(F.lit(1), m), lambda k: F.concat(F.lit("prefix:"), host_of(url), F.array_join(F.slice(parts, 1, k), "/"), F.when(k < F.size(parts), "/").otherwise("")))
-    return F.array_distinct(F.concat(domains, folders, F.array(F.concat(F.lit("prefix:"), host_of(url), path_of(url)))))
+def keys_of(host: Column, path: Column, labels: list[int], folders: list[int]) -> Column:
+    """Keys of an address: ``domain:`` with its last labels for each number in ``labels``, ``prefix:`` with its host and path up to each number of slashes in ``folders``, and whole."""
+    parts, whole = F.split(host, r"\."), F.concat(host, path)
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    keys = [F.when(F.size(parts) >= k, F.concat(F.lit("domain:"), F.substring_index(host, ".", -k))) for k in labels]
+    keys += [F.when(slashes >= k, F.concat(F.lit("prefix:"), F.substring_index(whole, "/", k), F.lit("/"))) for k in folders]
+    return F.array_distinct(F.array_compact(F.array(*keys, F.concat(F.lit("prefix:"), whole))))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(key, list, valid_from, valid_to) from events (list, kind, pattern, action add or remove, dated); valid_to is null while an entry holds."""
-    events = entries.where(F.col("dated").isNotNull() & F.col("pattern").isNotNull()).select(F.concat_ws(":", "kind", F.lower("pattern")).alias("key"), F.col("list"), "dated", (F.col("action") == "add").alias("on"))
-    daily = events.groupBy("key", "list", "dated").agg(F.max("on").alias("on"))  # removals of a day come before its additions
-    w = Window.partitionBy("key", "list").orderBy("dated")
+    """(key, depth, list, valid_from, valid_to) from events (list, kind, pattern, action add or remove, dated); valid_to is null while an entry holds. Host names lose their case, paths keep it."""
+    host = F.lower(F.substring_index("pattern", "/", 1))
+    pattern = F.when(F.col("kind") == "domain", F.lower("pattern")).otherwise(F.concat(host, F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)")))
+    known = entries.where(F.col("dated").isNotNull() & F.col("pattern").isNotNull()).withColumn("pattern", pattern)
+    events = known.select(F.concat_ws(":", "kind", "pattern").alias("key"), depth_of(F.col("kind"), F.col("pattern")).alias("depth"), F.col("list"), "dated", (F.col("action") == "add").alias("on"))
+    daily = events.groupBy("key", "depth", "list", "dated").agg(F.max("on").alias("on"))  # removals of a day come before its additions
+    w = Window.partitionBy("key", "depth", "list").orderBy("dated")
     changes = daily.withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where(F.col("was") != F.col("on"))
-    return changes.withColumn("valid_to", F.lead("dated").over(w)).where("on").select("key", "list", F.col("dated").alias("valid_from"), "valid_to")
+    return changes.withColumn("valid_to", F.lead("dated").over(w)).where("on").select("key", "depth", "list", F.col("dated").alias("valid_from"), "valid_to")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, host, fetched, lists, blocked) of every capture (id, url, fetched): the lists with an entry active when it was fetched."""
-    held = intervals(entries).cache()
-    n = held.count()
-    rows = captures.select(F.monotonically_increasing_id().alias("_at"), F.col(id_col), host_of(F.col("url")).alias("host"), "fetched", F.when(host_of(F.col("url")).isNotNull(), keys_of(F.col("url"))).alias("keys"))
-    rows = rows.select("_at", id_col, "host", "fetched", F.explode_outer("keys").alias("key"))
-    if n <= BROADCAST_ROWS:
-        right, on = F.broadcast(held), F.lit(True)
+    held = checkpointed(intervals(entries))
+    # a row for each depth that the lists name
+    known = held.groupBy(F.col("key").startswith("domain:").alias("domain"), "depth").agg(F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("bytes")).collect()
+    labels = sorted(r["depth"] for r in known if r["domain"])
+    folders = sorted(r["depth"] for r in known if not r["domain"] and r["depth"] is not None)
+    small = sum(r["n"] for r in known) <= BROADCAST_ROWS and sum(r["bytes"] for r in known) <= BROADCAST_BYTES
+    rows = captures.select(F.monotonically_increasing_id().alias("_at"), F.col(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "fetched")
+    rows = rows.select("_at", id_col, "host", "fetched", F.when(F.col("host").isNotNull(), keys_of(F.col("host"), F.col("path"), labels, folders)).alias("keys"))
+    # a capture without keys gets one that nothing has, so that such rows don't meet in one task
+    rows = rows.select("_at", id_col, "host", "fetched", F.explode_outer("keys").alias("key")).withColumn("key", F.coalesce("key", F.col("_at").cast("string")))
+    right = held.select(F.col("key").alias("_key"), "list", "valid_from", "valid_to")
+    match = (F.col("key") == F.col("_key")) & (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
+    if small:
+        right = F.broadcast(right)
     else:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS)))
-        right, on = held.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), F.col("_salt") == F.col("_copy")
-    right = right.withColumnRenamed("key", "_key")
-    as_of = (F.col("key") == F.col("_key")) & (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    found = rows.join(right, as_of & on if n > BROADCAST_ROWS else as_of, "left")
+        right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        match = match & (F.col("_salt") == F.col("_copy"))
+    found = rows.join(right, match, "left")
     whole = found.groupBy("_at").agg(F.first(id_col).alias(id_col), F.first("host").alias("host"), F.first("fetched").alias("fetched"), F.array_sort(F.collect_set("list")).alias("lists"))
     return whole.select(id_col, "host", "fetched", "lists", (F.size("lists") > 0).alias("blocked"))
 
@@ -101,8 +126,8 @@ OP5_SQL = rf"""
 WITH entries(list, kind, pattern, action, dated) AS (VALUES
   {_VALUES}),
 captures AS (SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched,
-  nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  nullif(lower(regexp_extract(url, '{_HOST}', 1)), '') AS host,
+  regexp_extract(url, '{_PATH}', 1) AS path FROM pages),
 last_event AS (
   SELECT c.page_id, e.list, e.pattern, arg_max(e.action, e.dated || CASE e.action WHEN 'add' THEN '2' ELSE '1' END) AS state
   FROM captures c JOIN entries e ON CAST(e.dated AS DATE) <= c.fetched AND CASE e.kind
