@@ -1,13 +1,18 @@
 """Benchmark decontamination with DataFrame expressions only.
 
-Test windows become a fixed-size bitmap of hashes (it goes to every task, at most BITMAP_BITS bits whatever the
-size of the benchmark) and a table of exact windows. Each document's windows are tested against the bitmap where
-the document is read; only windows that pass, a few more than the true hits, are joined with the table on their
-words, which verifies them. Texts are read once and never shuffled.
+Test windows become a bitmap of hashes, BITS_EACH bits for each window up to BITMAP_BITS in all, which goes to every
+task, and a table of exact windows. Each document's windows are tested against the bitmap where the document is read;
+only windows that pass, a few more than the true hits, are joined with the table on their words, which verifies them.
+Texts are read and never shuffled: what is found is written as a small table, and documents or spans are removed by a
+second read that is joined with the digests of the texts that are hit. Windows, sets of items and digests are broadcast
+while their counted rows and bytes are within bounds; beyond them windows are shuffled, each in SALTS copies, so that a
+window that very many documents hold is spread.
 
 Defined results: null texts and texts without words have no words and no hits; repeated rows are judged each;
 items with fewer than the window's words, but not none, are one window; an empty benchmark hits nothing; an
-empty table gives no rows; extra columns are ignored (or kept, where documents are filtered).
+empty table gives no rows; rows without a doc_id are judged like others; extra columns are ignored (or kept, where
+documents are filtered). Above BITMAP_BITS / 8 windows more than one window in twenty passes the bitmap without a hit,
+which costs time but no result.
 """
 
 from __future__ import annotations
@@ -20,8 +25,10 @@ from pyspark.sql import functions as F
 from speechlake.llm.common import checkpointed
 
 WINDOW = 10
-#: Most bits of the bitmap, and most test windows that are broadcast for the exact join; more are shuffled.
-BITMAP_BITS, BROADCAST_WINDOWS = 1 << 18, 200_000
+#: Bits of the bitmap for each test window, and in all; longs of a row in which the bitmap reaches the driver.
+BITS_EACH, BITMAP_BITS, PAGE = 32, 1 << 25, 4096
+#: Most rows and bytes of a table that is broadcast (windows, sets of items, digests of hit texts); copies of a window that is shuffled.
+BROADCAST_WINDOWS, BROADCAST_BYTES, SALTS = 200_000, 32 << 20, 8
 #: What lies between words.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,17 +69,27 @@ class TestWindows:
         # Windows that occur in the same items share a set; a document's items are its sets' items.
         sets = every.groupBy("len", "words", "probe").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set_id", F.md5(F.array_join("items", ",")))
         self.table = checkpointed(sets.select("len", "words", "probe", "set_id"))
-        self.sets = sets.select("set_id", F.explode("items").alias("item")).distinct()
-        self.lengths = {r["len"]: r["count"] for r in self.table.groupBy("len").count().collect()}  # at most ``window`` rows
+        self.sets = checkpointed(sets.select("set_id", F.explode("items").alias("item")).distinct())
+        known = self.table.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.octet_length("words") + F.octet_length("set_id")).alias("bytes")).collect()  # at most ``window`` rows
+        self.lengths = {r["len"]: r["n"] for r in known}
         self.n = sum(self.lengths.values())
+        self.small = self.n <= BROADCAST_WINDOWS and sum(r["bytes"] for r in known) <= BROADCAST_BYTES
         self.bits = 1 << 12
-        while self.bits < min(BITMAP_BITS, 32 * self.n):
+        while self.bits < min(BITMAP_BITS, BITS_EACH * self.n):
             self.bits *= 2
+        self.bitmap = F.split(F.lit(",".join(map(str, self._longs()))), ",").cast("array<bigint>")
+
+    def _longs(self) -> list[int]:
+        """The bitmap: at most BITMAP_BITS / 64 longs, a PAGE of them in a row."""
         slots = self.table.select(F.explode(F.array(*self._slots(F.col("probe")))).alias("slot")).select((F.col("slot") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+        words = slots.groupBy("at").agg(F.bit_or("bit").alias("bits"))
+        pages = words.groupBy(F.floor(F.col("at") / PAGE).alias("page")).agg(F.array_join(F.collect_list(F.concat_ws(":", "at", "bits")), ",").alias("longs"))
         longs = [0] * (self.bits // 64)
-        for r in slots.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most BITMAP_BITS / 64 rows
-            longs[r["at"]] = r["bits"]
-        self.bitmap = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+        for r in pages.collect():
+            for x in r["longs"].split(","):
+                at, bits = x.split(":")
+                longs[int(at)] = int(bits)
+        return longs
 
     def _slots(self, probe: Column) -> list[Column]:
         mask = F.lit(self.bits - 1).cast("long")
@@ -86,10 +103,19 @@ class TestWindows:
         return tests[0] & tests[1]
 
 
-def find_hits(docs: DataFrame, tests: TestWindows, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: row (struct of its columns in ``keep``), n_words, n_hit, spans (array of word ranges hit) and set_ids."""
-    keep = keep or ["doc_id"]
-    split = docs.select(F.struct(*keep).alias("_row"), F.monotonically_increasing_id().alias("_at"), words(F.col("text")).alias("_w"))
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _if_small(df: DataFrame, size: Column) -> DataFrame:
+    """df, a written table, to be broadcast if its rows and the sum of ``size`` are within bounds."""
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if r["n"] <= BROADCAST_WINDOWS and r["bytes"] <= BROADCAST_BYTES else df
+
+
+def scan(docs: DataFrame, tests: TestWindows, keep: list[str]) -> DataFrame:
+    """(_at, the columns in ``keep``, n_words, _digest, _hits) of every row: windows that pass the bitmap, and a digest of the text where there are some. A written table without texts, the one pass over them."""
+    split = docs.select(*keep, F.monotonically_increasing_id().alias("_at"), _digest(F.col("text")).alias("_digest"), words(F.col("text")).alias("_w"))
 
     def candidates(k: int) -> Column:
         starts = F.filter(_starts(F.col("_w"), k), lambda i: tests.may_hold(_probe(F.col("_w"), i, k)))
@@ -97,42 +123,55 @@ def find_hits(docs: DataFrame, tests: TestWindows, keep: list[str] | None = None
 
     found = [candidates(k) for k in sorted(tests.lengths)]
     hits = F.concat(*found) if found else F.array().cast("array<struct<len:int,pos:int,words:string>>")
-    rows = split.select("_row", "_at", F.size("_w").cast("long").alias("n_words"), hits.alias("_hits"))
-    each = rows.select("_row", "_at", "n_words", F.explode_outer("_hits").alias("h")).select("_row", "_at", "n_words", "h.len", "h.pos", "h.words")
-    table = tests.table.select("len", "words", "set_id")
-    each = each.join(F.broadcast(table) if tests.n <= BROADCAST_WINDOWS else table, ["len", "words"], "left")
-    hit = F.when(F.col("set_id").isNotNull(), F.struct(F.col("pos").alias("begin"), (F.col("pos") + F.col("len")).alias("end")))
-    whole = each.groupBy("_at").agg(F.first("_row").alias("_row"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("spans"), F.collect_set("set_id").alias("set_ids"))
+    rows = split.select("_at", *keep, F.size("_w").cast("long").alias("n_words"), "_digest", hits.alias("_hits"))
+    return checkpointed(rows.withColumn("_digest", F.when(F.size("_hits") > 0, F.col("_digest"))))
+
+
+def find_hits(scanned: DataFrame, tests: TestWindows) -> DataFrame:
+    """(_at, digest, spans, set_ids, n_hit) of the rows that hold a test window: sorted word ranges, the items' sets and how many words are hit."""
+    each = scanned.where(F.size("_hits") > 0).select("_at", F.col("_digest").alias("digest"), F.explode("_hits").alias("h")).select("_at", "digest", "h.len", "h.pos", "h.words")
+    table, on = tests.table.select("len", "words", "set_id"), ["len", "words"]
+    if tests.small:
+        table = F.broadcast(table)
+    else:  # a window of a third of all documents is many keys
+        each = each.withColumn("_salt", F.pmod(F.xxhash64("_at", "pos"), F.lit(SALTS)).cast("int"))
+        table, on = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]
+    true = each.join(table, on)
+    span = F.struct(F.col("pos").alias("begin"), (F.col("pos") + F.col("len")).alias("end"))
+    whole = true.groupBy("_at").agg(F.first("digest").alias("digest"), F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("set_id").alias("set_ids"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["begin"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach")),
         lambda a: a["n"],
     )
-    return whole.select("_at", F.col("_row").alias("row"), "n_words", covered.alias("n_hit"), "spans", "set_ids")
+    return whole.withColumn("n_hit", covered)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
     tests = TestWindows(benchmark, window)
-    hits = find_hits(docs, tests)
-    sets = F.broadcast(tests.sets) if tests.n <= BROADCAST_WINDOWS else tests.sets
-    items = hits.select("_at", "row.doc_id", "n_words", "n_hit", F.explode_outer("set_ids").alias("set_id")).join(sets, "set_id", "left")
-    return (
-        items.groupBy("_at")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-        .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-    )
+    scanned = scan(docs, tests, ["doc_id"])
+    hits = checkpointed(find_hits(scanned, tests).select("_at", "n_hit", "set_ids"))
+    each = hits.select("_at", F.explode("set_ids").alias("set_id")).join(_if_small(tests.sets, F.octet_length("item") + 32), "set_id")
+    items = each.groupBy("_at").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.col("_at").alias("_item_at"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    known = hits.select(F.col("_at").alias("_hit_at"), "n_hit").join(items, F.col("_hit_at") == F.col("_item_at"))
+    rows = scanned.select("_at", "doc_id", "n_words").join(known, F.col("_at") == F.col("_hit_at"), "left")
+    n = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, what: str = "documents", window: int = WINDOW) -> DataFrame:
     """docs without what the benchmark hits: whole ``documents``, or ``spans`` (the text is then its other words, joined by spaces; untouched texts stay as they are)."""
-    hits = find_hits(docs, TestWindows(benchmark, window), docs.columns)
+    tests = TestWindows(benchmark, window)
+    hits = find_hits(scan(docs.select("text"), tests, []), tests)
+    hit = checkpointed(hits.groupBy(F.col("digest").alias("_hit_digest")).agg(F.first("spans").alias("_hit_spans")))  # equal texts have equal spans
     if what == "documents":
-        return hits.where(F.col("n_hit") == 0).select("row.*")
-    left = F.array_join(F.filter(words(F.col("row.text")), lambda w, i: ~F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"]))), " ")
-    text = F.when(F.col("n_hit") > 0, left).otherwise(F.col("row.text")).alias("text")
-    return hits.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+        return docs.join(_if_small(hit.select("_hit_digest"), F.lit(16)), _digest(docs["text"]) == hit["_hit_digest"], "left_anti")
+    both = docs.select(F.struct(*docs.columns).alias("_row")).join(_if_small(hit, F.lit(16) + 8 * F.size("_hit_spans")), _digest(F.col("_row.text")) == F.col("_hit_digest"), "left")
+    left = F.array_join(F.filter(words(F.col("_row.text")), lambda w, i: ~F.exists("_hit_spans", lambda s: (s["begin"] <= i) & (i < s["end"]))), " ")
+    text = F.when(F.col("_hit_digest").isNotNull(), left).otherwise(F.col("_row.text")).alias("text")
+    return both.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
