@@ -1,13 +1,16 @@
 """Near-duplicate embeddings: a navigable small-world graph per shard, every vector asked of every shard.
 
 Equal vectors are one representative with a count. Representatives are dealt to shards by hash; each shard's
-graph is built in a task and audited: beams widen until turned copies of its own vectors are found. Every link is
-verified by cosine in double precision; links of a task are reduced to a forest before they leave it, and
-components are joined by contraction.
+graph is built in a task and audited: beams widen until turned copies of its own vectors are found, and a shard whose
+audit fails at the widest beam is searched exactly, in blocks. Every link is verified by cosine in double precision; a
+link that either vector's search finds counts for both. Links of a vector with over DENSE of them in a shard leave the
+task as a number, others as pairs; what joins them is reduced to a forest before it leaves, and components are joined by
+contraction. Shards and the parts of the queries that meet one are bounded in rows and bytes.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components have no links and
-themselves as component; vectors of different lengths aren't compared; equal vectors link; an empty table gives
-no rows; extra columns are ignored. vec_id identifies a vector.
+themselves as component; vectors of different lengths aren't compared; equal vectors link; rows without a vec_id link
+with nothing, have no component and aren't kept; an empty table gives no rows; extra columns are ignored. vec_id
+identifies a vector.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from speechlake.llm.components import COMPONENTS_SQL, connected_components, fore
 from speechlake.llm.hnsw import Index, unit
 
 COSINE = 0.9
-#: Shards: SHARDS, or more so that none holds over SHARD_ROWS vectors on average; queries of a block; parts of the queries that meet a shard apart.
-SHARDS, SHARD_ROWS, BLOCK, PARTS = 6, 50_000, 1024, 4
-#: Beam to begin with, share of turned copies that must be found, widest beam tried.
+#: Least number of shards; most vectors and bytes of one on average; queries of a block; most bytes of the queries that meet a shard in one task, and least parts of them.
+SHARDS, SHARD_ROWS, SHARD_BYTES, BLOCK, PART_BYTES, PARTS = 6, 50_000, 64 << 20, 1024, 32 << 20, 4
+#: Beam to begin with, share of turned copies that must be found, widest beam tried before a shard is searched exactly.
 BEAM, RECALL, WIDEST = 32, 0.99, 2048
+#: Links of a vector in a shard up to which they are pairs; copies of a vector from which it is joined by broadcast, as a share of all.
+DENSE, HOT = 32, 1000
 
 
 def _matrix(column) -> np.ndarray:
@@ -37,8 +42,16 @@ def _shard(ids: np.ndarray, n: int) -> np.ndarray:
     return (mix64(ids.view(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
-def _links(vectors: DataFrame, n_shards: int, cosine: float) -> DataFrame:
-    """kind 0: (a: representative, b: how many vectors link with it in a shard); kind 1: links (a, b) that join what is linked. vectors: (vec_id, copies, embedding)."""
+def _exact(vectors: np.ndarray, q: np.ndarray, least: float):
+    """As Index.within, by comparing a block of queries with all vectors."""
+    for at in range(0, len(q), 128):
+        close = q[at : at + 128] @ vectors.T >= least
+        for k in np.flatnonzero(close.any(1)):
+            yield at + int(k), np.flatnonzero(close[k])
+
+
+def _links(vectors: DataFrame, n_shards: int, n_parts: int, cosine: float, recall: float) -> DataFrame:
+    """(kind, a, b, shard, n). kind 0: vectors a and b link, b lies in the shard and stands for n copies; kind 1: links that join what is linked; kind 2: a links with n vectors of the shard. vectors: (vec_id, copies, embedding)."""
     blobs = vectors.select("vec_id", "copies", "embedding")
 
     def deal(batches):
@@ -59,71 +72,89 @@ def _links(vectors: DataFrame, n_shards: int, cosine: float) -> DataFrame:
         x = np.concatenate([p[2].reshape(len(p[0]), -1) for p in parts])
         order = np.argsort(ids)
         index, beam = Index(np.ascontiguousarray(x[order])), BEAM
-        while beam < WIDEST and index.audit(cosine, beam) < RECALL:
-            beam *= 2
+        while beam and index.audit(cosine, beam) < recall:
+            beam = 2 * beam if beam < WIDEST else 0  # 0: no beam is wide enough
         return pa.table({"shard": table.column("shard").slice(0, 1), "index": pa.array([pack(ids[order], copies[order], np.array([beam]), index.dumps(), level=None)], pa.binary())})
 
     indexes = checkpointed(dealt.select("shard", "blob").groupBy("shard").applyInArrow(build, "shard int, index binary"))
-    parts = indexes.select("shard", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "index")
-    asked = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.pmod(F.xxhash64("at", "shard"), F.lit(PARTS)).cast("int").alias("part"), "blob")
+    parts = indexes.select("shard", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "index")
+    asked = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.pmod(F.xxhash64("at", "shard"), F.lit(n_parts)).cast("int").alias("part"), "blob")
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, kinds = [], [], []
+        shard = left.column("shard")[0].as_py() if left.num_rows else 0
+        rows: list[tuple] = []  # kind, a, b, shard, n
         for raw in left.column("index").to_pylist():
             ids, copies, beam, dumped = unpack(raw, np.int64, np.int64, np.int64, bytes)
             index = Index.loads(dumped)
             u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for blob in right.column("blob").to_pylist():
-                q_ids, _, q = unpack(blob, np.int64, np.int64, np.float64)
-                count, x, y = np.zeros(len(q_ids), np.int64), [u], [v]
-                for k, hit in index.within(q.reshape(len(q_ids), -1), cosine, int(beam[0])):
+                q_ids, q_copies, q = unpack(blob, np.int64, np.int64, np.float64)
+                q, own, x, y = q.reshape(len(q_ids), -1), _shard(q_ids, n_shards), [u], [v]
+                for k, hit in index.within(q, cosine, int(beam[0])) if beam[0] else _exact(index.vectors, q, cosine):
                     hit = hit[ids[hit] != q_ids[k]]
-                    count[k] = copies[hit].sum()
-                    x.append(np.full(len(hit), q_ids[k]))
+                    me = np.full(len(hit), q_ids[k])
+                    x.append(me)
                     y.append(ids[hit])
+                    if 0 < len(hit) <= DENSE:
+                        rows.append((0, me, ids[hit], shard, copies[hit]))
+                        rows.append((0, ids[hit], me, int(own[k]), np.full(len(hit), q_copies[k])))
+                    elif len(hit):
+                        rows.append((2, me[:1], me[:1], shard, copies[hit].sum(keepdims=True)))
                     if sum(map(len, x)) > 500_000:
                         u, v = forest(np.concatenate(x), np.concatenate(y))
                         x, y = [u], [v]
                 u, v = forest(np.concatenate(x), np.concatenate(y))
-                some = count > 0
-                a.append(q_ids[some])
-                b.append(count[some])
-                kinds.append(np.zeros(int(some.sum()), np.int32))
-            a.append(u)
-            b.append(v)
-            kinds.append(np.ones(len(u), np.int32))
-        cat = lambda z, t: pa.array(np.concatenate(z) if z else np.zeros(0, t), pa.from_numpy_dtype(t))
-        return pa.table({"kind": cat(kinds, np.int32), "a": cat(a, np.int64), "b": cat(b, np.int64)})
+            rows.append((1, u, v, shard, np.zeros(len(u), np.int64)))
+        each = lambda k, t: pa.array(np.concatenate([np.full(len(r[1]), r[k], t) for r in rows]) if rows else np.zeros(0, t))
+        flat = lambda k: pa.array(np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64))
+        return pa.table({"kind": each(0, np.int32), "a": flat(1), "b": flat(2), "shard": each(3, np.int32), "n": flat(4)})
+
+    return parts.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(ask, "kind int, a long, b long, shard int, n long")
+
 
-    return parts.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(ask, "kind int, a long, b long")
+def _counts(found: DataFrame) -> DataFrame:
+    """(counted, others): how many vectors each representative links with, those of its own class apart."""
+    pairs = found.where("kind = 0").select("a", "b", "shard", "n").distinct().select("a", "shard", "n", F.lit(None).cast("long").alias("whole"))
+    dense = found.where("kind = 2").select("a", "shard", F.lit(0).cast("long").alias("n"), F.col("n").alias("whole"))
+    shards = pairs.unionByName(dense).groupBy("a", "shard").agg(F.coalesce(F.max("whole"), F.sum("n")).alias("n"))
+    return shards.groupBy(F.col("a").alias("counted")).agg(F.sum("n").alias("others"))
 
 
-def embedding_components(table: DataFrame, cosine: float = COSINE) -> DataFrame:
+def embedding_components(table: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; table: (vec_id, embedding)."""
     spark = table.sparkSession
     tune(spark)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"))
     big = F.lit(float("inf"))
     usable = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("embedding", lambda x: x != 0)
+    digest = [F.when(usable & F.col("vec_id").isNotNull(), F.xxhash64(F.lit(k), "embedding")).alias(f"h{k}") for k in (1, 2)]
     good = rows.where(F.col("vec_id").isNotNull() & usable)
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    representatives = checkpointed(classes.select(F.col("first").alias("vec_id"), "copies", "embedding"))
-    found = []
-    for r in representatives.groupBy(F.size("embedding").alias("dim")).count().collect():  # a row for each length
-        shards = max(SHARDS, -(-r["count"] // SHARD_ROWS))
-        found.append(_links(representatives.where(F.size("embedding") == r["dim"]), shards, cosine))
+    representatives = checkpointed(classes.select(F.col("first").alias("vec_id"), "copies", "embedding", *[F.xxhash64(F.lit(k), "embedding").alias(f"c{k}") for k in (1, 2)]))
+    found, total = [], 0
+    for r in representatives.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.sum("copies").alias("all")).collect():  # a row for each length
+        size, total = 8 * r["dim"], total + r["all"]
+        shards = max(SHARDS, -(-r["n"] // SHARD_ROWS), -(-r["n"] * size // SHARD_BYTES))
+        found.append(_links(representatives.where(F.size("embedding") == r["dim"]), shards, max(PARTS, -(-r["n"] * size // PART_BYTES)), cosine, recall))
     if not found:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     every = checkpointed(every)
-    counts = every.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "counted")
     components = connected_components(every.where("kind = 1").select("a", "b"))
-    known = representatives.select("vec_id", "copies", F.col("embedding").alias("_e")).join(counts, F.col("vec_id") == F.col("counted"), "left").join(components, F.col("vec_id") == F.col("node"), "left")
-    known = known.select("_e", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("c"))
-    out = rows.join(known, (F.col("embedding") == F.col("_e")) & F.col("vec_id").isNotNull(), "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), (F.coalesce("c", "vec_id") == F.col("vec_id")).alias("kept"))
+    known = representatives.select("vec_id", "copies", "c1", "c2").join(_counts(every), F.col("vec_id") == F.col("counted"), "left").join(components, F.col("vec_id") == F.col("node"), "left")
+    known = checkpointed(known.select("c1", "c2", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("c")))
+    # Rows find their class by its digest; classes with over a thousandth of all rows, so under a thousand classes, are broadcast.
+    hot = F.col("copies") * HOT > total
+    common = known.where(hot).select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.col("n").alias("xn"), F.col("c").alias("xc"))
+    out = rows.select("vec_id", *digest).join(F.broadcast(common), (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")), "left")
+    here = F.when(F.col("xc").isNull() & F.col("h1").isNotNull(), F.col("h1")).otherwise(F.xxhash64("vec_id"))  # what needs no class is spread
+    there = F.when(F.col("xc").isNull(), F.col("h2"))
+    rest = known.where(~hot).select("c1", "c2", "n", "c")
+    out = out.withColumns({"k1": here, "k2": there}).join(rest, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    component = F.coalesce("xc", "c", "vec_id")
+    return out.select("vec_id", F.coalesce("xn", "n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
