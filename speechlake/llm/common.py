@@ -12,7 +12,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from speechlake.session import ship_code
 
@@ -91,6 +92,32 @@ def without_aqe(spark: SparkSession):
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+#: Most ids that are broadcast (8 bytes each); share of all rows from which a class is frequent, so that there are fewer frequent classes than this.
+BROADCAST_IDS, FREQUENT = 1_000_000, 1000
+
+
+def ids_if_small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if their number allows it."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], values: list[str], spread: Column) -> DataFrame:
+    """rows with the ``values`` of their class, null where they have none. classes, a written table: keys (longs, as in rows), copies, values.
+
+    Classes with over one in FREQUENT of all copies are broadcast; other rows meet their classes in a shuffle, where rows
+    without a class, by a null first key or an unknown one, are dealt by ``spread``.
+    """
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    often = F.col("copies") * FREQUENT > total
+    few = classes.where(often).select(*[F.col(k).alias(f"_few_{k}") for k in keys], *[F.col(v).alias(f"_few_of_{v}") for v in values], F.lit(True).alias("_few"))
+    out = rows.join(F.broadcast(few), [F.col(k) == F.col(f"_few_{k}") for k in keys], "left")
+    done = F.col("_few").isNotNull() | F.col(keys[0]).isNull()
+    asks = [F.when(done, spread if i == 0 else None).otherwise(F.col(k)).alias(f"_ask_{k}") for i, k in enumerate(keys)]
+    rest = classes.where(~often).select(*[F.col(k).alias(f"_rest_{k}") for k in keys], *[F.col(v).alias(f"_rest_of_{v}") for v in values])
+    both = out.select("*", *asks).join(rest, [F.col(f"_ask_{k}") == F.col(f"_rest_{k}") for k in keys], "left")
+    return both.select(*rows.columns, *[F.coalesce(f"_few_of_{v}", F.when(~done, F.col(f"_rest_of_{v}"))).alias(v) for v in values])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
     import gc

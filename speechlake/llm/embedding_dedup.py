@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import checkpointed, groups_of, lean, mix64, pack, tune, unpack
+from speechlake.llm.common import checkpointed, groups_of, join_classes, lean, mix64, pack, tune, unpack
 from speechlake.llm.components import COMPONENTS_SQL, connected_components, forest
 from speechlake.llm.hnsw import Index, unit
 
@@ -29,8 +29,8 @@ COSINE = 0.9
 SHARDS, SHARD_ROWS, SHARD_BYTES, BLOCK, PART_BYTES, PARTS = 6, 50_000, 64 << 20, 1024, 32 << 20, 4
 #: Beam to begin with, share of turned copies that must be found, widest beam tried before a shard is searched exactly.
 BEAM, RECALL, WIDEST = 32, 0.99, 2048
-#: Links of a vector in a shard up to which they are pairs; copies of a vector from which it is joined by broadcast, as a share of all.
-DENSE, HOT = 32, 1000
+#: Links of a vector in a shard up to which they are pairs.
+DENSE = 32
 
 
 def _matrix(column) -> np.ndarray:
@@ -131,9 +131,9 @@ def embedding_components(table: DataFrame, cosine: float = COSINE, recall: float
     good = rows.where(F.col("vec_id").isNotNull() & usable)
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     representatives = checkpointed(classes.select(F.col("first").alias("vec_id"), "copies", "embedding", *[F.xxhash64(F.lit(k), "embedding").alias(f"c{k}") for k in (1, 2)]))
-    found, total = [], 0
-    for r in representatives.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.sum("copies").alias("all")).collect():  # a row for each length
-        size, total = 8 * r["dim"], total + r["all"]
+    found = []
+    for r in representatives.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect():  # a row for each length
+        size = 8 * r["dim"]
         shards = max(SHARDS, -(-r["n"] // SHARD_ROWS), -(-r["n"] * size // SHARD_BYTES))
         found.append(_links(representatives.where(F.size("embedding") == r["dim"]), shards, max(PARTS, -(-r["n"] * size // PART_BYTES)), cosine, recall))
     if not found:
@@ -144,17 +144,10 @@ def embedding_components(table: DataFrame, cosine: float = COSINE, recall: float
     every = checkpointed(every)
     components = connected_components(every.where("kind = 1").select("a", "b"))
     known = representatives.select("vec_id", "copies", "c1", "c2").join(_counts(every), F.col("vec_id") == F.col("counted"), "left").join(components, F.col("vec_id") == F.col("node"), "left")
-    known = checkpointed(known.select("c1", "c2", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("c")))
-    # Rows find their class by its digest; classes with over a thousandth of all rows, so under a thousand classes, are broadcast.
-    hot = F.col("copies") * HOT > total
-    common = known.where(hot).select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    out = rows.select("vec_id", *digest).join(F.broadcast(common), (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")), "left")
-    here = F.when(F.col("xc").isNull() & F.col("h1").isNotNull(), F.col("h1")).otherwise(F.xxhash64("vec_id"))  # what needs no class is spread
-    there = F.when(F.col("xc").isNull(), F.col("h2"))
-    rest = known.where(~hot).select("c1", "c2", "n", "c")
-    out = out.withColumns({"k1": here, "k2": there}).join(rest, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    component = F.coalesce("xc", "c", "vec_id")
-    return out.select("vec_id", F.coalesce("xn", "n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    known = checkpointed(known.select(F.col("c1").alias("h1"), F.col("c2").alias("h2"), "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("c")))
+    out = join_classes(rows.select("vec_id", *digest), known, ["h1", "h2"], ["n", "c"], F.xxhash64("vec_id"))
+    component = F.coalesce("c", "vec_id")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

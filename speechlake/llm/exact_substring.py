@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, pack, ragged, release, unpack
+from speechlake.llm.common import RangeHash, bucket_of, checkpointed, groups_of, ids_if_small, lean, mix64, pack, ragged, release, unpack
 from speechlake.llm.suffix_sort import deep_shallow_sort
-from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, with_messages
+from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, with_keys, with_messages
 
 #: Bytes of a window and of the strings that anchors are chosen from (a power of two).
 WIDTH, GRAM = 100, 32
@@ -349,19 +349,24 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeats cut out of their texts and n_chars, where there is one, counted anew; characters that a cut splits go too. A document of which nothing is left goes."""
+    """docs with repeats cut out of their texts and n_chars, where there is one, counted anew; characters that a cut splits go too. A document of which nothing is left goes.
 
-    def each(doc_id, text, gone):
-        return doc_id, text[~gone].tobytes().decode("utf-8", errors="ignore"), bool(gone.any())
+    Earlier means a smaller doc_id, and of rows that share one, the text that sorts first; rows without one come last.
+    """
 
-    fields = pa.schema([("doc_id", pa.int64()), ("_text", pa.string()), ("_cut", pa.bool_())])
-    cut = _without_repeats(docs.select("doc_id", "text"), each, "doc_id long, _text string, _cut boolean", fields)
-    cut = cut.where("_cut").select(F.col("doc_id").alias("_id"), "_text").distinct()
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left").where(cut["_id"].isNull() | (cut["_text"] != ""))
-    new = {"text": F.coalesce(cut["_text"], docs["text"])}
+    def each(doc_id, text, gone):
+        return doc_id, text[~gone].tobytes().decode("utf-8", errors="ignore") if gone.any() else None
+
+    rows, key = with_keys(docs)
+    fields = pa.schema([("doc_id", pa.int64()), ("_text", pa.string())])
+    cut = _without_repeats(rows.select(F.col(key).alias("doc_id"), "text"), each, "doc_id long, _text string", fields)
+    cut = checkpointed(cut.where("_text is not null").select(F.col("doc_id").alias("_cut"), F.col("_text").alias("_left")))
+    whole = rows.join(ids_if_small(cut.select("_cut")), rows[key] == cut["_cut"], "left_anti").select(*[rows[c] for c in docs.columns])  # texts stay where they are
+    rest = rows.drop("text").join(cut.where("_left <> ''"), rows[key] == cut["_cut"])
+    new = {"text": cut["_left"]}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut["_id"].isNotNull(), F.length(cut["_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.length(cut["_left"]).cast(docs.schema["n_chars"].dataType)
+    return whole.unionByName(rest.select(*[(new[c] if c in new else rows[c]).alias(c) for c in docs.columns]))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import LOWER, RangeHash, bucket_of, checkpointed, groups_of, lean, mix64, pack, release, runs, unpack
+from speechlake.llm.common import BROADCAST_IDS, LOWER, RangeHash, bucket_of, checkpointed, groups_of, ids_if_small, join_classes, lean, mix64, pack, release, runs, unpack
 from speechlake.llm.components import COMPONENTS_SQL, connected_components
-from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, take, with_messages
+from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, take, with_keys, with_messages
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -35,6 +35,8 @@ SHINGLE, PERCENT = 5, 80
 COUNTERS = 1 << 18
 #: Most pairs that a task holds before it lets them go; documents of a group that are compared in one place.
 HELD_PAIRS, GROUP_BLOCK = 1_000_000, 2048
+#: Copies of a group's entry where groups of several blocks are too many to be broadcast.
+SALTS = 32
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -408,8 +410,19 @@ def _across(groups: DataFrame, components: DataFrame, drawn: DataFrame, n: int,
 
     rows = groups.select("blob").mapInArrow(lean(spread), "label long, doc long, size long").distinct()
     named = checkpointed(rows.join(components, F.col("doc") == F.col("node"), "left").select("label", "doc", "size", F.coalesce("component", "doc").alias("c")))
-    spans = named.groupBy("label").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("g")).where("low <> high").select(F.col("label").alias("open"), F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("blocks"))
-    held = named.join(spans, F.col("label") == F.col("open")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    spans = named.groupBy("label").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("g")).where("low <> high")
+    spans = checkpointed(spans.select(F.col("label").alias("open"), F.ceil(F.col("g") / GROUP_BLOCK).cast("int").alias("blocks")))
+    # Groups of several blocks are few and meet their rows by broadcast, or in salted copies; no other label has over a block of rows.
+    wide, narrow = spans.where("blocks > 1"), spans.where("blocks = 1")
+    if wide.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        marked = named.join(F.broadcast(wide.select(F.col("open").alias("wide"), F.col("blocks").alias("n_blocks"))), F.col("label") == F.col("wide"), "left")
+        key = F.when(F.col("wide").isNull(), F.col("label")).otherwise(F.xxhash64("doc", "label"))
+        held = marked.withColumn("_ask", key).join(narrow, F.col("_ask") == F.col("open"), "left")
+        held = held.select("label", "doc", "size", "c", F.coalesce("n_blocks", F.when(F.col("_ask") == F.col("label"), F.col("blocks"))).alias("blocks")).where("blocks is not null")
+    else:
+        copies = spans.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = named.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(copies, (F.col("label") == F.col("open")) & (F.col("_salt") == F.col("_copy"))).select("label", "doc", "size", "c", "blocks")
+    held = held.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
     dealt = held.join(drawn, F.col("doc") == F.col("doc_id")).select("label", "c", "doc", "size", "sketch", "block", meets.alias("meet"))
     open_groups = dealt.groupBy("label", "meet").agg(F.collect_list(F.struct("c", "doc", "size", "block", "sketch")).alias("m"))
@@ -454,7 +467,7 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     store, n = build_store(unique)
     release(spark)
     found, counts = _documents(store, size)
-    classes = checkpointed(found.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first")))
+    classes = checkpointed(found.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     postings = _postings(store, n, classes.select(F.col("first").alias("doc_id")), counts, size, percent)
     candidates = checkpointed(_candidates(postings, n, percent))
     del postings
@@ -467,16 +480,19 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         more = checkpointed(_verify(store, n, checkpointed(_across(groups, components, found.select("doc_id", "sketch"), n, percent)), size, percent))
         if not more.isEmpty():
             components = connected_components(links.unionByName(more))
-    rows = found.drop("sketch").join(classes.withColumnsRenamed({"n": "cn", "d1": "c1", "d2": "c2"}), (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("first"))
-    out = rows.join(components, F.col("first") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
+    known = classes.join(components, F.col("first") == F.col("node"), "left").select("d1", "d2", "n", "copies", F.coalesce("component", "first").alias("component_id"))
+    filled = lambda c: F.when(F.col("n") > 0, F.col(c)).alias(c)  # noqa: E731  empty sets are no class
+    rows = join_classes(found.select("doc_id", filled("d1"), filled("d2"), "n"), checkpointed(known), ["d1", "d2", "n"], ["component_id"], F.xxhash64("doc_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return for_each_row(out, docs, repeated)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are similar, by links, to one with a smaller doc_id; rows that repeat a doc_id are all kept or all go."""
-    kept = shingle_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """docs without the documents that are similar, by links, to an earlier one: of a smaller doc_id, and of rows that share one, of the text that sorts first. Rows without a doc_id come last and are judged too; repeated rows leave one."""
+    rows, key = with_keys(docs)
+    found = shingle_components(rows.select(F.col(key).alias("doc_id"), "text"))
+    gone = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    return rows.join(ids_if_small(gone), rows[key] == gone["_gone"], "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

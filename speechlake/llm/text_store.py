@@ -34,6 +34,16 @@ def distinct_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
     return (docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else docs), repeated
 
 
+def with_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs with a key of its own for each row, the key's name): doc_id where no row lacks or repeats it; else a number by doc_id, rows without one last, then text, in a written table."""
+    ids = docs.select("doc_id")
+    if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, "doc_id"
+    key = "_key" + "_" * max((len(c) for c in docs.columns), default=0)
+    ordered = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), F.col("text").asc_nulls_first())
+    return checkpointed(ordered.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def for_each_row(result: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """result, with a row for each row of docs where doc_ids are repeated."""
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).join(result, "doc_id") if repeated else result
