@@ -1,18 +1,23 @@
 """License scans by patience alignment.
 
-Where three words in a row also stand in a template, the text around is aligned with it: words that occur once in
-both are anchors, the longest increasing run of them is kept, and the gaps between are aligned the same way.
-Coverage is the share of the template's words that are aligned.
-
-Defined results: null and empty texts have no licenses; several places of one license count each; equal coverage
-goes to the license that sorts first; repeated rows get the same result each; an empty table gives no rows;
-extra columns are ignored.
+Words that occur once in a text's window and in a template are anchors, the longest increasing run of them is kept, and
+the gaps between are aligned the same way. A hit is a window whose alignment covers COVERAGE of the template's words and
+is DENSITY of the window's. Places are found in two ways: first where three words in a row also stand in a template,
+which finds plain notices at once; then, of what that leaves, wherever as many of the template's words as a hit needs
+lie as close together as a hit allows, every window is aligned, so that no altered, swapped or interrupted notice within
+the bounds is missed. A place that is within the bounds of several licenses is a hit of each, with its coverage.
+
+Defined results: null and empty texts have no licenses; several places of one license count each; of windows that begin
+alike the best covered counts, then the shortest; repeated rows get the same result each; an empty table gives no rows;
+a null doc_id stays null; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,15 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("reserved", "All rights reserved."),
 ]
 
@@ -124,6 +132,8 @@ class LicenseScanner:
         seeds, owner, offset = np.concatenate(seeds), np.concatenate(owner), np.concatenate(offset)
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner, self.offset = seeds[order], owner[order], offset[order]
+        self.known = np.unique(np.concatenate([np.array(w, np.uint64) for w in self.words]))
+        self.member = np.stack([np.isin(self.known, np.array(w, np.uint64)) for w in self.words])
 
     def __call__(self, offs: np.ndarray, data: np.ndarray) -> dict[int, list[tuple[str, float, int, int]]]:
         """Of each document with licenses: (license, coverage, first word, behind last word)."""
@@ -143,10 +153,83 @@ class LicenseScanner:
                 places.setdefault((d, k), []).append((p, sorted(qs)))
         out: dict[int, list] = {}
         for (d, k), found in places.items():
-            name, begin, end = self.names[k], int(edge[d]), int(edge[d + 1])
+            begin, end = int(edge[d]), int(edge[d + 1])
             for coverage, first, behind in self._hits(h, self.words[k], begin, end, self._windows(found, len(self.words[k]))):
-                out.setdefault(d, []).append((name, coverage, first - begin, behind - begin))
-        return out
+                out.setdefault(d, []).append((k, coverage, first, behind))
+        for d, k, part in self._crowds(h, edge):
+            taken = sorted((x[2], x[3]) for x in out.get(d, ()) if x[0] == k)
+            for positions in self._between(part, taken):
+                out.setdefault(d, []).extend((k, *hit) for hit in self._search(h, self.words[k], positions))
+        return {d: [(self.names[k], c, first - int(edge[d]), behind - int(edge[d])) for k, c, first, behind in sorted(hits, key=lambda x: x[2:])] for d, hits in out.items() if hits}
+
+    def _crowds(self, h: np.ndarray, edge: np.ndarray):
+        """(document, template, places of its words) wherever as many of them as a hit needs lie within the longest window of a hit."""
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        place = np.flatnonzero(self.known[at] == h)
+        word = at[place]
+        for k, words in enumerate(self.words):
+            need, reach = ceil(COVERAGE * len(words) - 1e-9), int(len(words) / DENSITY + 1e-9)
+            mine = place[self.member[k][word]]
+            if len(mine) < need:
+                continue
+            start = np.flatnonzero(mine[need - 1 :] - mine[: len(mine) - need + 1] < reach)
+            start = start[np.searchsorted(edge, mine[start], side="right") == np.searchsorted(edge, mine[start + need - 1], side="right")]
+            if not len(start):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], np.diff(start) >= need]))
+            doc = np.searchsorted(edge, mine[start], side="right") - 1
+            first = np.union1d(first, np.flatnonzero(np.diff(doc)) + 1)
+            for a, z in zip(first, np.append(first[1:], len(start)) - 1, strict=True):
+                yield int(doc[a]), k, mine[start[a] : start[z] + need].tolist()
+
+    @staticmethod
+    def _between(positions: list[int], taken: list[tuple[int, int]]) -> list[list[int]]:
+        """The positions outside what is taken, cut where something taken lies between."""
+        parts: list[list[int]] = [[]]
+        k = 0
+        for p in positions:
+            while k < len(taken) and taken[k][1] <= p:
+                k += 1
+                parts.append([])
+            if k == len(taken) or p < taken[k][0]:
+                parts[-1].append(p)
+        return [x for x in parts if x]
+
+    @staticmethod
+    def _search(h: np.ndarray, words: list, positions: list[int]) -> list[tuple[float, int, int]]:
+        """(coverage, first word, behind last word) of hits among these places of the template's words: of the windows that begin at the first place where one is a hit the best covered, the shortest of those; then behind it."""
+        size, need, reach = len(words), ceil(COVERAGE * len(words) - 1e-9), int(len(words) / DENSITY + 1e-9)
+        room, hits, own = Counter(words), [], [int(h[p]) for p in positions]
+        held: Counter = Counter()
+        common, end, s = 0, 0, 0
+        while s < len(positions):
+            while end < len(positions) and positions[end] - positions[s] < reach:
+                held[own[end]] += 1
+                common += held[own[end]] <= room[own[end]]
+                end += 1
+            best = None
+            if common >= need:
+                seen: Counter = Counter()
+                got = 0
+                for e in range(s, end):
+                    seen[own[e]] += 1
+                    got += seen[own[e]] <= room[own[e]]
+                    if got < need:
+                        continue
+                    a = positions[s]
+                    pairs = patience(h[a : positions[e] + 1].tolist(), words, a)
+                    if len(pairs) >= need and len(pairs) >= DENSITY * (pairs[-1][0] + 1 - pairs[0][0]) and (best is None or len(pairs) > best[0]):
+                        best = (len(pairs), pairs[0][0], pairs[-1][0] + 1)
+            if best:
+                hits.append((best[0] / size, best[1], best[2]))
+                while s < len(positions) and positions[s] < best[2]:
+                    s += 1
+                held, common, end = Counter(), 0, s
+                continue
+            common -= held[own[s]] <= room[own[s]]
+            held[own[s]] -= 1
+            s += 1
+        return hits
 
     @staticmethod
     def _hits(h: np.ndarray, words: list, begin: int, end: int, windows: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
