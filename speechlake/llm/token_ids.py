@@ -5,7 +5,9 @@ bitmaps, rank directories; any token is read without decoding a block), ``write_
 ascending id order and ``read_token_files`` reads them back.
 
 Defined results: a null text is an empty text; an empty text has the end id only; repeated rows are kept, each
-with its own place; an empty table gives no files and no rows; extra columns are ignored.
+with its own place, and rows that share a doc_id lie in the order of their ids' bytes, so that a second run writes the
+same; rows without a doc_id have no place in the order and aren't written; an empty table gives no files and no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ IMAGE_TOKENS = 1 << 17
 RANK_BITS = 512
 _MAGIC = b"DACT"
 #: Bytes of text encoded at once.
-ENCODE_BYTES = 1 << 21
+ENCODE_BYTES = 1 << 20
 
 
 class DacImage:
@@ -129,7 +131,7 @@ class PieceEncoder:
     #: Pieces given to the tokenizer at once.
     STEP = 8192
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -207,7 +209,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     """Write images of all documents in ascending doc_id order, with their place, as the table at ``path``.
 
     Texts are encoded where they are read; ids (two bytes each, as 16-bit halves where they fit) move once, to the
-    range of doc_id they belong to. Range borders come from approximate quantiles of doc_id alone.
+    range of doc_id they belong to, a task for each. Range borders come from approximate quantiles of doc_id alone.
     """
     spark = docs.sparkSession
     n = n_buckets(spark)
@@ -221,7 +223,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
             small = [pa.scalar(np.frombuffer(x, "<u4").astype("<u2").tobytes() + b"\2" if len(x) and np.frombuffer(x, "<u4").max() < 65536 else x + b"\4").as_py() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), pa.array(small, pa.binary())], ["part", "doc_id", "ids"])
 
-    moved = _texts(docs).mapInArrow(lean(place), "part int, doc_id long, ids binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
+    moved = _texts(docs).mapInArrow(lean(place), "part int, doc_id long, ids binary").repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
 
     def build(batches):
         part, docs_, lens, held, count, start, seq = None, [], [], [], 0, 0, 0
