@@ -6,7 +6,9 @@ spans. The prediction is the language with most letters.
 
 Defined results: a null text and one without letters are ``und`` with score 0; equal scores go to the language
 that sorts first; repeated rows get the same result each; an empty table gives no rows; without training rows
-every text is ``und``; extra columns are ignored.
+every text is ``und``; rows without a doc_id are labelled like others and never held out; extra columns are ignored.
+Memory follows the longest text, not the number of languages: the table of known words is bounded in bytes, and the more
+languages there are the less text is labelled at once.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import HashIndex, cut_pieces, lean, text_chunks, tune
+from speechlake.llm.common import CHUNK_BYTES, HashIndex, cut_pieces, lean, text_chunks, tune
 
 #: Bounds of the training sample: documents of each language, characters of one document, documents of all languages, languages (the most frequent ones); parts of a language that are ranked apart.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MOST_LANGS, SALTS = 768, 16_384, 16_384, 400, 16
 #: Cost of a change of language, in nats; most that one word can say for or against a language.
 SWITCH, WORD_CAP = 12.0, 6.0
+#: Bytes of the table of known words' scores in a worker; bytes of text labelled at once, times languages.
+TABLE_BYTES, LABEL_BYTES = 64 << 20, 16 << 20
 
 #: First code points of Unicode script ranges, with the script that starts there.
 SCRIPT_STARTS = [
@@ -181,12 +185,13 @@ class SpanLabeller:
     """Labels the words of many documents at once; scores of words seen before are looked up."""
 
     def __init__(self, model: LanguageModel, most: int = 1_000_000):
-        self.model, self.most = model, most
+        self.model, self.most = model, min(most, TABLE_BYTES // (4 * max(1, len(model.langs))))
         self._reset()
 
     def _reset(self):
         self.known = HashIndex()
-        self.table, self.size = np.zeros((1 << 16, len(self.model.langs)), np.float32), np.zeros(1 << 16, np.int32)
+        room = min(1 << 16, self.most)
+        self.table, self.size = np.zeros((room, len(self.model.langs)), np.float32), np.zeros(room, np.int32)
 
     def _slots(self, words: pa.Array, keys: np.ndarray) -> np.ndarray:
         if self.known.size + len(words) > self.most:
@@ -219,9 +224,13 @@ class SpanLabeller:
         doc_of = np.repeat(np.arange(docs), np.diff(edge))
         gain = s - s[np.arange(len(s)), best[doc_of]][:, None]
         after = np.cumsum(gain, axis=0)
-        apart = doc_of[:, None] * (2.0 * WORD_CAP * (len(s) + 1))  # each document's sums lie below all before it
-        lowest = np.minimum.accumulate(after - gain - apart, axis=0)
-        mixed_word = ((after - apart - lowest).max(1) > SWITCH - 1e-6) if len(s) else np.zeros(0, bool)
+        lens = np.diff(edge)
+        # Sums begin anew with each document, shifted by what words can add, so that they lie below all before it.
+        shift = np.concatenate([[0], np.cumsum(2 * WORD_CAP * (lens[:-1] + lens[1:] + 2))]) if docs else np.zeros(0)
+        before = np.concatenate([np.zeros((1, s.shape[1])), after])[edge[:-1]] + shift[:, None]
+        after -= before[doc_of]
+        lowest = np.minimum.accumulate(after - gain, axis=0)
+        mixed_word = ((after - lowest).max(1) > SWITCH - 1e-6) if len(s) else np.zeros(0, bool)
         mixed = np.bincount(doc_of[mixed_word], minlength=docs) > 0
         out = []
         for d in range(docs):
@@ -249,10 +258,12 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     names = [*model.langs, "und"]
 
+    chunk = min(CHUNK_BYTES, LABEL_BYTES // max(1, len(model.langs)))
+
     def run(batches):
         label = SpanLabeller(shared.value)
         for batch in batches:
-            for ids, offs, data in text_chunks(batch):
+            for ids, offs, data in text_chunks(batch, limit=chunk):
                 found = label(offs, data)
                 spans = [[{"lang": names[k], "first_piece": a, "end_piece": z} for k, a, z in f[2]] for f in found]
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("first_piece", pa.int32()), ("end_piece", pa.int32())]))

@@ -9,7 +9,9 @@ the clusters that the group holds several times).
 
 Defined results: null texts and texts without words take no room and get no row; equal residuals go to the bin
 opened first, equal lengths by cluster, source and doc_id; repeated rows are packed each (copies conflict, as one
-cluster); a null source is a source of its own; an empty table gives no rows; extra columns are ignored.
+cluster); a null source is a source of its own; rows without a doc_id are packed like others, behind those of equal
+length, and come out without one; an empty table gives no rows; extra columns are ignored. Clusters are equal whole
+texts unless a column says otherwise: near copies are no conflict.
 """
 
 from __future__ import annotations
@@ -139,16 +141,19 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
             at = 0
             for ids, offs, data in text_chunks(batch):
                 _, _, words = runs(~_GAP[data], offs)
-                cluster = batch.column(3).slice(at, len(ids)) if given else pa.array(RangeHash(data)(offs[:-1], offs[1:]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2).slice(at, len(ids)), cluster, pa.array(words)], ["doc_id", "source", "cluster", "words"])
+                cluster = batch.column(4).slice(at, len(ids)) if given else pa.array(RangeHash(data)(offs[:-1], offs[1:]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2).slice(at, len(ids)), batch.column(3).slice(at, len(ids)), cluster, pa.array(words)], ["doc_id", "source", "g", "cluster", "words"])
                 at += len(ids)
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")]
-    measured = docs.where("doc_id is not null").select(*columns, *([F.coalesce(F.col("cluster").cast("long"), F.xxhash64("doc_id")).alias("cluster")] if given else [])).mapInArrow(lean(measure), "doc_id long, source string, cluster long, words long")
-    dealt = measured.where("words > 0").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int"))
+    by = F.xxhash64(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.pmod(by, F.lit(n_groups)).cast("int").alias("g")]
+    measured = docs.select(*columns, *([F.coalesce(F.col("cluster").cast("long"), by).alias("cluster")] if given else [])).mapInArrow(lean(measure), "doc_id long, source string, g int, cluster long, words long")
+    dealt = measured.where("words > 0")
 
     def pack(table: pa.Table) -> pa.Table:
-        ids, cluster, words = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "words"))
+        nameless = table.column("doc_id").is_null().to_numpy()
+        ids = table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
+        cluster, words = (table.column(c).to_numpy() for c in ("cluster", "words"))
         source = [x or "" if x is not None else None for x in table.column("source").to_pylist()]
         names = {s: k for k, s in enumerate(sorted({s for s in source if s is not None}), 1)}
         code = np.array([names.get(s, 0) for s in source])
@@ -170,7 +175,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
         row = np.concatenate([who, item])
         piece = np.concatenate([piece, full[item]])
         return pa.table({
-            "doc_id": ids[row], "piece": piece.astype(np.int32), "first_word": piece * capacity,
+            "doc_id": pa.array(ids[row], mask=nameless[row]), "piece": piece.astype(np.int32), "first_word": piece * capacity,
             "n_words": np.concatenate([np.full(len(who), capacity), fill]).astype(np.int64), "pack_group": pa.array(np.full(len(row), table.column("g")[0].as_py()), pa.int32()),
             "bin": np.concatenate([np.arange(len(who)), bins + len(who)]).astype(np.int32), "bin_start": np.concatenate([np.zeros(len(who), np.int64), start]),
         })

@@ -5,7 +5,8 @@ compressed under both dictionaries, and the normalised difference of the sizes,
 goes through a logistic curve. Dictionaries come from one half of a bounded labelled sample, the curve from the other half.
 
 Defined results: null and empty texts score as the curve where all sizes are 0; repeated rows and ties get the same
-score each; an empty table gives no rows; no usable labels of either class: every score is 0.5; extra columns
+score each; rows without a doc_id are scored and never held out or learned from; every label of an id with several
+counts in training; an empty table gives no rows; no usable labels of either class: every score is 0.5; extra columns
 are ignored.
 """
 
@@ -104,13 +105,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Q
     return QualityModel(dicts[1], dicts[0], mean, scale, _curve((x - mean) / scale, y))
 
 
-def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """(row, text, score): row is a struct of the columns in ``keep`` (doc_id alone by default)."""
+def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """(row, score), with_text: (row, text, score); row is a struct of the columns in ``keep`` (doc_id alone by default)."""
     spark = docs.sparkSession
     tune(spark)
     source = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), "text")
     if model is None:
-        return source.select("row", "text", F.lit(0.5).alias("score"))
+        return source.select("row", *["text"] * with_text, F.lit(0.5).alias("score"))
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
 
     def run(batches):
@@ -121,9 +122,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] |
             for _, offs, data in text_chunks(batch, 1, 1):
                 raw = data.tobytes()
                 found += [evidence(raw[a:z], good, bad) for a, z in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(np.array(found, float).reshape(-1, 5)))], ["row", "text", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + with_text], pa.array(m.score(np.array(found, float).reshape(-1, 5)))], names)
 
-    return source.mapInArrow(lean(run), StructType([source.schema["row"], source.schema["text"], StructField("score", DoubleType())]))
+    fields = [source.schema["row"], *[source.schema["text"]] * with_text, StructField("score", DoubleType())]
+    names = [f.name for f in fields]
+    return source.mapInArrow(lean(run), StructType(fields))
 
 
 def fold(column: str = "doc_id", n: int = 3):
@@ -147,5 +150,5 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Pipeline stage: documents that the classifier predicts as bad go; the columns stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), training_labels(labels))
-    kept = score_quality(docs, model, [c for c in docs.columns if c != "text"]).where(F.col("score") >= 0.5)
+    kept = score_quality(docs, model, [c for c in docs.columns if c != "text"], with_text=True).where(F.col("score") >= 0.5)
     return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
