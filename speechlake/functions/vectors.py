@@ -40,3 +40,23 @@ def text_similarity(df: DataFrame, left: str, right: str, encoder: Callable[[pd.
     a, b = texts.select(F.col("_t").alias("_lt"), F.col("_v").alias("_lv")), texts.select(F.col("_t").alias("_rt"), F.col("_v").alias("_rv"))
     joined = df.join(a, df[left] == F.col("_lt"), "left").join(b, df[right] == F.col("_rt"), "left")
     return joined.withColumn(name, cosine(F.col("_lv"), F.col("_rv"))).drop("_lt", "_lv", "_rt", "_rv")
+
+
+def pair_scores(df: DataFrame, left: str, right: str, scorer: Callable[[list[str], list[str]], list[float | None]] | None, name: str = "bert_score", size: int = 64) -> DataFrame:
+    """df with the score that the plugged model gives two texts (a token-matching F1, say), in batches; null without a model, and for a batch that it refuses."""
+    if scorer is None:
+        return df.withColumn(name, F.lit(None).cast("double"))
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out: list[float | None] = []
+        for at in range(0, len(a), size):
+            x, y = a.iloc[at : at + size].fillna("").tolist(), b.iloc[at : at + size].fillna("").tolist()
+            try:
+                out += scorer(x, y)
+            except Exception:  # noqa: BLE001  a model's own errors
+                out += [None] * len(x)
+        return pd.Series(out, dtype="float64")
+
+    scored = run(F.col(left), F.col(right))
+    return df.withColumn("_score", scored).withColumn(name, F.when(~F.isnan("_score"), F.col("_score"))).drop("_score")

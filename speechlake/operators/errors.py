@@ -69,9 +69,10 @@ def _count_equal(column: str, value: str) -> Column:
 
 
 def leaderboard(scores: DataFrame, null_aware: bool = False) -> DataFrame:
-    """Means of each model over its utterances, lowest wer first; a null counts as 0 unless null_aware."""
+    """Means of each model over its utterances, lowest wer first, of bert_score too where there is one; a null counts as 0 unless null_aware."""
     mean = lambda c: F.round(F.avg(c) if null_aware else F.sum(F.coalesce(F.col(c), F.lit(0.0))) / F.count("*"), 6).alias(c)
-    return scores.groupBy("model_id").agg(F.count("*").alias("count"), mean("wer"), mean("cer"), mean("ser"), mean("sim")).orderBy("wer", "model_id")
+    names = ["wer", "cer", "ser", "sim"] + ["bert_score"] * ("bert_score" in scores.columns)
+    return scores.groupBy("model_id").agg(F.count("*").alias("count"), *map(mean, names)).orderBy("wer", "model_id")
 
 
 def baseline_deltas(models: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import io
 import wave
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,11 @@ def batch_size(model: str) -> int:
     return next(n for name, n in BATCH.items() if name in model)
 
 
-def recognize_speech(audio: DataFrame, load: Callable[[], Callable[[list], list[str]]], key: str = "audio_filepath", content: str = "content", size: int = 16) -> DataFrame:
-    """(key, hyp) of every row. load() gives a function from a list of contents to as many texts; it is called once for each task."""
+def recognize_speech(audio: DataFrame, load: Callable[[], Callable[..., list[str]]], key: str = "audio_filepath", content: str = "content", size: int = 16, arguments: tuple[str, ...] = ()) -> DataFrame:
+    """(key, hyp) of every row. load() gives a function from a list of contents to as many texts; it is called once for each task.
+
+    arguments: columns (languages, task, punctuation) whose values the function gets too, as a list of dictionaries.
+    """
     ship_code(audio.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,12 +37,53 @@ def recognize_speech(audio: DataFrame, load: Callable[[], Callable[[list], list[
         for batch in batches:
             texts: list[str] = []
             for at in range(0, len(batch), size):
-                texts += model(batch[content].iloc[at : at + size].tolist())
+                part = batch.iloc[at : at + size]
+                more = [part[list(arguments)].to_dict("records")] if arguments else []
+                texts += model(part[content].tolist(), *more)
+            yield pd.DataFrame({key: batch[key], "hyp": texts})
+
+    return audio.select(key, content, *arguments).mapInPandas(run, f"{key} string, hyp string")
+
+
+def recognize_long(audio: DataFrame, load: Callable[[], Callable[[list], list[str]]], key: str = "audio_filepath", content: str = "content", window: float = 15.0, hop: float = 14.0) -> DataFrame:
+    """(key, hyp) of WAV recordings of any length: mixed down to one channel, cut into windows, each recognized as a clip of its own, the texts joined in their order. Audio that can't be read has an empty text.
+
+    Windows of a recording are recognized where it was read, so nothing is shuffled.
+    """
+    ship_code(audio.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            texts = [" ".join(t for clip in wav_windows(x, window, hop) if (t := model([clip])[0])).strip() for x in batch[content]]
             yield pd.DataFrame({key: batch[key], "hyp": texts})
 
     return audio.select(key, content).mapInPandas(run, f"{key} string, hyp string")
 
 
+def wav_windows(content: bytes | None, window: float = 15.0, hop: float = 14.0) -> Iterator[bytes]:
+    """WAV clips of ``window`` seconds, one each ``hop`` seconds up to the end, mixed down to the mean of the channels."""
+    try:
+        with wave.open(io.BytesIO(content or b"")) as w:
+            channels, width, rate, raw = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())
+    except (wave.Error, EOFError):
+        return
+    if width == 3:  # 24 bits: the low byte of 32
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        samples, width = wide.view("<i4").ravel(), 4
+    else:
+        samples = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width])
+    mono = samples.reshape(-1, channels).mean(axis=1).round().astype(samples.dtype)
+    size, step = max(1, int(window * rate)), max(1, int(hop * rate))
+    for at in range(0, len(mono), step):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, width, rate, 0, "NONE", ""))
+            w.writeframes(mono[at : at + size].tobytes())
+        yield out.getvalue()
+
+
 def with_fallback(first: Callable[[list], list[str]], second: Callable[[list], list[str]]) -> Callable[[list], list[str]]:
     """Long audio: what the first model refuses goes to the second, clip by clip."""
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
 
 from speechlake.operators import manifests
 from speechlake.operators.mixing import dedup_last
@@ -18,8 +18,9 @@ SCORES = "utt_id string, model_id string, ref_norm string, hyp_norm string, wer
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line_no) of a text file's lines that aren't blank."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """(value, line_no) of a text file's lines, or of those of a folder's files by name, that aren't blank. line_no (file, block, place) sorts as the lines stand, however Spark packs files into tasks."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    lines = spark.read.text(path).select("value", place.alias("line_no"))
     return lines.withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.trim("value") != "")
 
 
@@ -138,16 +139,36 @@ def read_arrow_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
-    """(audio_filepath, content) of .wav, .flac and .mp3 files below a folder, or of one file, by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(manifests.is_audio(F.col("path"))).select(F.col("path").alias("audio_filepath"), "content").orderBy("audio_filepath")
+    """(audio_filepath, content) of .wav, .flac and .mp3 files below a folder, of one file, or of those that a manifest (.jsonl), a JSON object (its keys) or a JSON list names. Contents are not sorted: order the paths where order has meaning."""
+    if path.endswith(".jsonl"):
+        rows = read_jsonl(spark, path)
+        named = rows.select(manifests.manifest_key(rows).alias("path"))
+    elif path.endswith(".json"):
+        named = read_references(spark, path).select(F.col("utt_id").alias("path"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return files.where(manifests.is_audio(F.col("path"))).select(F.col("path").alias("audio_filepath"), "content")
+    return read_named_audio(named)
+
+
+def read_named_audio(named: DataFrame) -> DataFrame:
+    """(audio_filepath, content) of the files that the rows (path) name, read where the rows are; a file that can't be read has no content."""
+    ship_code(named.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                try:
+                    with pa.fs.FileSystem.from_uri(p)[0].open_input_stream(pa.fs.FileSystem.from_uri(p)[1]) if "://" in p else open(p, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([content], pa.binary())], ["audio_filepath", "content"])
+
+    return named.where("path is not null").select("path").mapInArrow(run, "audio_filepath string, content binary")
 
 
 def open_fields(df: DataFrame, known: list[str]) -> Column:
     """All other columns as one VARIANT, for manifests with fields of their own."""
     rest = [c for c in df.columns if c not in known]
     return F.parse_json(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})) if rest else F.lit(None).cast("variant")
-
-
-def string_columns(schema: StructType) -> list[str]:
-    return [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
