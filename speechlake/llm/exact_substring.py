@@ -29,6 +29,8 @@ from speechlake.llm.text_store import build_store, distinct_documents, for_each_
 
 #: Bytes of a window and of the strings that anchors are chosen from (a power of two).
 WIDTH, GRAM = 100, 32
+#: Bytes of two strings that cover a window together (a power of two).
+HALF = 64
 #: Different blocks under one anchor from which they are dealt by window instead of meeting in one task.
 CROWD = 2048
 #: Bytes of text handled at once; a longer text is handled in parts that overlap.
@@ -58,6 +60,21 @@ def segments(blobs):
             at = to
 
 
+def string_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all strings of ``width`` bytes (a power of two), of another family than RangeHash."""
+    h, size, k = _SEED[data], 1, 0
+    while size < width:
+        h = h[:-size] * _STEP[k] + h[size:]
+        size, k = 2 * size, k + 1
+    return mix64(h)
+
+
+def window_hashes(data: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the windows that start at p: 128 bits, so that no two of a whole corpus are mistaken for each other."""
+    half = string_hashes(data, HALF) if len(p) else np.zeros(0, _U)
+    return RangeHash(data)(p, p + WIDTH), half[p] * _STEP[0] + half[p + WIDTH - HALF]
+
+
 def blocks_of(offs: np.ndarray, data: np.ndarray):
     """(document row, first window, windows, anchor, hash of the anchor's string, hash of the block) of every block."""
     n = len(data)
@@ -65,11 +82,7 @@ def blocks_of(offs: np.ndarray, data: np.ndarray):
     if n < WIDTH or not counts.any():
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.view(_U), z.view(_U)
-    h, size, k = _SEED[data], 1, 0
-    while size < GRAM:
-        h = h[:-size] * _STEP[k] + h[size:]
-        size, k = 2 * size, k + 1
-    h = mix64(h)
+    h = string_hashes(data, GRAM)
     m = (h & ~_LOW) | np.arange(len(h), dtype=_U)
     span, size = WIDTH - GRAM + 1, 1
     while 2 * size <= span:
@@ -98,7 +111,7 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "b", "blob"])
 
 
-def _fold(gram, block, doc, at, windows):
+def _fold(gram, block, doc, at):
     """Positions in order of (gram, block, doc, place), and which of them is the first of its gram and block."""
     order = np.lexsort((at, doc, block, gram))
     g, b = gram[order], block[order]
@@ -116,7 +129,7 @@ def _anchors(store: DataFrame, n: int) -> DataFrame:
 
         def out():
             gram, block, doc, at, windows, lead = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = _fold(gram, block, doc, at, windows)
+            order, first = _fold(gram, block, doc, at)
             again, once = order[~first], order[first]
             rows = list(_pack_spans(doc[again], at[again], windows[again], n, 1))
             for b, k in groups_of((gram[once] % _U(n)).astype(np.int64)):
@@ -171,7 +184,7 @@ def _fold_all(anchors: DataFrame, n: int) -> DataFrame:
             parts.append((gram, block, own[slot], at, windows, lead))
         gram, block, doc, at, windows, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order, first = _fold(gram, block, doc, at, windows)
+        order, first = _fold(gram, block, doc, at)
         again, once = order[~first], order[first]
         g = gram[once]
         starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
@@ -210,17 +223,17 @@ def _fetch(store: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 else:
                     count = windows[rows].astype(np.int64)
                     p = ragged(start, count)
-                    seen.append((RangeHash(data)(p, p + WIDTH), np.repeat(doc[rows], count), p - np.repeat(start - at[rows], count)))
+                    seen.append((*window_hashes(data, p), np.repeat(doc[rows], count), p - np.repeat(start - at[rows], count)))
         for gram, doc, at, windows, lead, start, lens, k in few:
             for b, r in groups_of((gram % _U(n)).astype(np.int64)):
                 yield 2, b, pack(gram[r], doc[r], at[r], windows[r], lead[r], texts[k][2][ragged(start[r], lens[r])])
         if seen:
-            h, doc, at = (np.concatenate(x) for x in zip(*seen, strict=True))
-            order, first = _fold(h, np.zeros_like(h), doc, at, at)
+            h, other, doc, at = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order, first = _fold(h, other, doc, at)
             yield from _pack_spans(doc[order[~first]], at[order[~first]], np.ones(int((~first).sum()), np.int64), n, 1)
             once = order[first]
             for b, r in groups_of((h[once] % _U(n)).astype(np.int64)):
-                yield 3, b, pack(h[once[r]], doc[once[r]], at[once[r]])
+                yield 3, b, pack(h[once[r]], other[once[r]], doc[once[r]], at[once[r]])
 
     fields = pa.schema([("kind", pa.int32()), ("b", pa.int32()), ("blob", pa.binary())])
     return with_messages(store, wanted.select("b", "blob"), look, _KINDS, fields)
@@ -286,8 +299,8 @@ def _sort_edges(fetched: DataFrame, n: int) -> DataFrame:
                 docs.append(d)
                 places.append(p)
         if 3 in held:
-            h, doc, at = (np.concatenate(x) for x in zip(*[unpack(x, _U, np.int64, np.int64) for x in held[3]], strict=True))
-            order, first = _fold(h, np.zeros_like(h), doc, at, at)
+            h, other, doc, at = (np.concatenate(x) for x in zip(*[unpack(x, _U, _U, np.int64, np.int64) for x in held[3]], strict=True))
+            order, first = _fold(h, other, doc, at)
             docs.append(doc[order[~first]])
             places.append(at[order[~first]])
         doc, place = np.concatenate(docs), np.concatenate(places)
