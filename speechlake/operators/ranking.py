@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Largest groups that meet their rows by broadcast; any other has at most one row in so many.
+LARGEST = 64
+
 
 def _sorted(df: DataFrame, order: list[Column]) -> DataFrame:
     """df sorted, with _p (partition) and _k (place in it). Cached, so that both uses see the same partitions."""
@@ -29,11 +32,13 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "rn") -> DataFra
 
 
 def group_row_numbers(df: DataFrame, group: list[str], order: list[Column], name: str = "rn", size: str = "n_group") -> DataFrame:
-    """df with the row number in its group and the group's size. Null is a group."""
+    """df with the row number in its group and the group's size. Null is a group. The largest groups are joined by broadcast, so that none gathers in one task."""
     ranked = row_numbers(df, [F.col(g) for g in group] + order, "_at").cache()
     keys = [f"_group{k}" for k in range(len(group))]
     starts = ranked.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.min("_at").alias("_first"), F.count("*").alias(size))
-    joined = ranked.join(starts, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
+    largest = F.broadcast(starts.orderBy(F.desc(size), *keys).limit(LARGEST))  # the same groups in both uses
+    same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)]
+    joined = ranked.join(largest, same).unionByName(ranked.join(largest, same, "left_anti").join(starts, same))
     return joined.withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *keys)
 
 
@@ -45,6 +50,20 @@ def running_sums(df: DataFrame, order: list[Column], value: Column, name: str =
     return s.withColumn("_local", local).join(base, "_p").withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")).drop("_p", "_k", "_v", "_local", "_before")
 
 
+def group_running_sums(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str = "before") -> DataFrame:
+    """df with the sum of ``value`` over the rows before each in its group. Null is a group; a group may reach over many partitions."""
+    s = _sorted(df.withColumn("_v", value), [F.col(g) for g in group] + order)
+    keys = [f"_group{k}" for k in range(len(group))]
+    sums = s.groupBy(F.col("_p").alias("_part"), *[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.sum("_v").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # Only the first group of a partition began in an earlier one: a row for each partition at most.
+    base = F.broadcast(sums.withColumn("_before", earlier).where(F.col("_before").isNotNull()).drop("_n"))
+    local = F.coalesce(F.sum("_v").over(Window.partitionBy("_p", *group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    same = [F.col("_p") == F.col("_part"), *[F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)]]
+    found = s.withColumn("_local", local).join(base, same, "left")
+    return found.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")).drop("_p", "_k", "_v", "_local", "_before", "_part", *keys)
+
+
 def seeded(seed: int | str, *keys: str) -> Column:
     """A reproducible random order: md5 of the seed and the keys."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))

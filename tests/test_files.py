@@ -103,3 +103,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.utt_id, r.wer) for r in spark.table("scored").collect()] == [("a", 0.5)]
+
+
+def test_written_rows_are_counted_as_they_go_out(spark, tmp_path):
+    from speechlake.sources import writers
+
+    rows = spark.range(57).repartition(5)
+    assert writers.write_jsonl(rows, str(tmp_path / "a")) == 57
+    assert writers.write_jsonl(rows.where("id < 0"), str(tmp_path / "b")) == 0
+    assert writers.write_jsonl(spark.createDataFrame([], "id long").where("false"), str(tmp_path / "c")) == 0
+    assert writers.write_jsonl(rows.orderBy("id").limit(3), str(tmp_path / "d"), "gzip") == 3

@@ -45,6 +45,32 @@ def test_row_numbers_hold_over_partitions(spark):
     assert all(r.before == r.k * (r.k - 1) / 2 for r in sums)
 
 
+def test_large_and_small_groups_are_ranked_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else (None if k % 2 else f"g{k % 7}")) for k in range(300)], "k int, g string").repartition(7)
+    want = sorted(ranking.group_row_numbers(rows, ["g"], [F.col("k").asc()]).collect(), key=lambda r: r.k)
+    assert [r.k for r in want] == list(range(300)) and {r.n_group for r in want if r.g == "hot"} == {200}
+    monkeypatch.setattr(ranking, "LARGEST", 2)
+    assert sorted(ranking.group_row_numbers(rows, ["g"], [F.col("k").asc()]).collect(), key=lambda r: r.k) == want
+
+
+def test_speaker_cap_over_partitions(spark):
+    data = [(k, ("s" if k % 3 else None) if k % 5 else f"t{k % 2}", float(k % 4) if k % 11 else None) for k in range(400)]
+    rows = spark.createDataFrame(data, "k int, speaker string, duration double").repartition(9)
+    want, time = set(), {}
+    for k, s, d in data:
+        time[s] = time.get(s, 0.0) + (d or 0.0)
+        if time[s] <= 60:
+            want.add(k)
+    got = selection.speaker_cap(rows, "speaker", 60, [F.col("k").asc()])
+    assert got.columns == rows.columns and {r.k for r in got.collect()} == want
+    assert selection.speaker_cap(rows.where("k < 0"), "speaker", 60, [F.col("k").asc()]).count() == 0
+    sums = {r.k: r.before for r in ranking.group_running_sums(rows, ["speaker"], [F.col("k").asc()], F.lit(1.0)).collect()}
+    seen = {}
+    for k, s, _ in data:
+        assert sums[k] == seen.get(s, 0)
+        seen[s] = seen.get(s, 0) + 1
+
+
 def test_hours_budget_takes_the_crossing_segment(spark):
     rows = spark.createDataFrame([(1, 0.9, 10.0), (2, 0.8, 10.0), (3, 0.7, 10.0), (4, 0.95, None)], "utt_id int, wer double, duration double")
     assert {r.utt_id for r in selection.hours_budget(rows, 15 / 3600).collect()} == {1, 2, 4}
