@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +41,14 @@ def ship_code(spark: SparkSession) -> None:
     path.write_bytes(held.getvalue())
     spark.sparkContext.addPyFile(str(path))
     _SHIPPED.add(app)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir); where that is unset, a temporary one, on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="speechlake-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/speechlake-{uuid.uuid4().hex}/{name}"
