@@ -1,8 +1,9 @@
 """Word alignment by edit distance over the rows of an Arrow batch.
 
-Ties prefer a substitution or match, then a deletion, then an insertion. A column of the table is two bit vectors (Python
-integers, a bit for each word of the reference), so a step takes a few operations on whole columns and texts may have any
-length. The way back reads the columns; of long rows only some are kept and the ones between are computed again.
+Ties prefer a substitution or match, then a deletion, then an insertion. A column of the table is two bit vectors, a bit for
+each word of the reference, so a step takes a few operations on whole columns. Rows of up to WIDE bits take each step
+together, as NumPy arrays of 64-bit words; longer ones are Python integers, row by row, so texts may have any length. The way
+back reads the columns; of long rows only some are kept and the ones between are computed again.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 #: Bits of the columns of one row that are held for its way back.
 _BITS = 1 << 28
-#: Cells of the table of two texts up to which the JVM's plain distance is taken.
-SHORT = 1 << 18
+#: Most items of a reference in a batch's table, 64-bit words that a table's columns or places may take, and rows of a table.
+WIDE, _CELLS, _ROWS = 1024, 1 << 22, 4096
+_U, _ONE = np.uint64, np.uint64(1)
 COUNTS = "struct<sub:bigint,ins:bigint,del:bigint,correct:bigint,n_ref:bigint,n_hyp:bigint>"
 OPS = "array<struct<op:string,ref:string,hyp:string>>"
 
@@ -100,53 +102,187 @@ def _edits(ref: list, hyp: list) -> list[tuple[int, int, int]]:
     return out + [(1, k, 0) for k in range(i - 1, -1, -1)] + [(2, 0, k) for k in range(j - 1, -1, -1)]
 
 
-def _rows(a, b):
-    for k in range(len(a[1]) - 1):
-        yield a[0][a[1][k] : a[1][k + 1]].tolist(), b[0][b[1][k] : b[1][k + 1]].tolist()
+class _Table:
+    """The tables of rows that take each step together, the longest hypothesis first. a, b: (codes, offsets); rows: which of them; kinds: number of codes."""
+
+    def __init__(self, a, b, rows: np.ndarray, kinds: int):
+        self.m = np.diff(b[1])[rows]
+        order = np.argsort(-self.m, kind="stable")
+        self.rows, self.m = rows[order], self.m[order]
+        self.n = np.diff(a[1])[self.rows]
+        self.words = max(1, -(-int(self.n.max(initial=0)) // 64))
+        left, ref_row, ref_at = _flat(a, self.rows, self.n)
+        right, hyp_row, hyp_at = _flat(b, self.rows, self.m)
+        k = len(self.rows)
+        # slot: where the places of an item in its row's reference are held; the last one is for items that the reference lacks
+        if k * kinds * self.words <= _CELLS:
+            slots = k * kinds
+            ref_slot, hyp_slot = ref_row * kinds + left, hyp_row * kinds + right
+        else:
+            keys, ref_slot = np.unique(ref_row * kinds + left, return_inverse=True)
+            slots, asked = len(keys), hyp_row * kinds + right
+            at = np.searchsorted(keys, asked)
+            hyp_slot = np.where(keys[np.minimum(at, slots - 1)] == asked, at, slots) if slots else np.zeros(len(asked), np.int64)
+        self.places = np.zeros((self.words, slots + 1), _U)
+        order = np.argsort(ref_at, kind="stable")
+        border = np.concatenate([[0], np.cumsum(np.bincount(ref_at))])
+        for i in range(len(border) - 1):
+            self.places[i // 64, ref_slot[order[border[i] : border[i + 1]]]] |= _ONE << _U(i % 64)  # one item of each row
+        self.ref, self.hyp = np.full((k, int(self.n.max(initial=0))), -1, np.int64), np.full((k, int(self.m.max(initial=0))), -1, np.int64)
+        self.ref[ref_row, ref_at], self.hyp[hyp_row, hyp_at] = left, right
+        self.slot = np.full(self.hyp.shape[::-1], slots, np.int64)
+        self.slot[hyp_at, hyp_row] = hyp_slot
+        full = np.clip(self.n - 64 * np.arange(self.words)[:, None], 0, 64)
+        self.mask = np.where(full == 64, ~_U(0), (_ONE << (full % 64).astype(_U)) - _ONE)
+
+    def fill(self, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The last (up, down) of each row; keep: ``diagonal`` and ``up`` of every column stay in self.kept."""
+        up, down = self.mask.copy(), np.zeros_like(self.mask)
+        if keep:
+            self.kept = np.zeros((2, self.hyp.shape[1], *self.mask.shape), _U)
+        live = np.searchsorted(-self.m, -np.arange(self.hyp.shape[1]), side="left")  # rows with over j items stand first
+        for j, k in enumerate(live.tolist()):
+            slot = self.slot[j, :k]
+            carry, was_more, was_less = np.zeros(k, _U), _ONE, _U(0)
+            for w in range(self.words):
+                u, d, x, mask = up[w, :k], down[w, :k], self.places[w][slot], self.mask[w, :k]
+                part = x & u
+                plain = part + u
+                total = plain + carry
+                carry = ((plain < part) | (total < plain)).astype(_U)
+                diagonal = ((total ^ u) | x | d) & mask
+                one_more, one_less = d | (mask & ~(diagonal | u)), diagonal & u
+                more, less = (one_more << _ONE) | was_more, (one_less << _ONE) | was_less
+                was_more, was_less = one_more >> _U(63), one_less >> _U(63)
+                up[w, :k], down[w, :k] = (less | ~(diagonal | more)) & mask, more & diagonal
+                if keep:
+                    self.kept[0, j, w, :k], self.kept[1, j, w, :k] = diagonal, up[w, :k]
+        return up, down
+
+    def distances(self) -> np.ndarray:
+        up, down = self.fill(False)
+        return self.m + np.bitwise_count(up).sum(0, dtype=np.int64) - np.bitwise_count(down).sum(0, dtype=np.int64)
+
+    def steps(self):
+        """The way back of all rows at once: for each step (rows' places, op, ref place, hyp place); ops as in _edits, 3 for a match."""
+        self.fill(True)
+        who, i, j = np.arange(len(self.rows)), self.n.copy(), self.m.copy()
+        while True:
+            on = (i > 0) | (j > 0)
+            who, i, j = who[on], i[on], j[on]
+            if not len(who):
+                return
+            p, q = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+            inside = (i > 0) & (j > 0)
+            op = np.where(i > 0, 1, 2)
+            if inside.any():
+                r, x, y = who[inside], p[inside], q[inside]
+                bit = (x % 64).astype(_U)
+                diagonal, up = ((self.kept[z, y, x // 64, r] >> bit) & _ONE for z in (0, 1))
+                op[inside] = np.where(self.ref[r, x] == self.hyp[r, y], 3, np.where(diagonal == 0, 0, np.where(up == 1, 1, 2)))
+            i, j = i - (op != 2), j - (op != 1)
+            yield who, op, i, j
+
+
+def _flat(side, rows: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, row's place, place in the row) of all items of some rows."""
+    row = np.repeat(np.arange(len(rows)), lens)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+    return side[0][side[1][rows][row] + at], row, at
+
+
+def _tables(a, b, kinds: int):
+    """(tables of the rows that go together, by length; the other rows)."""
+    n, m = np.diff(a[1]), np.diff(b[1])
+    wide = np.flatnonzero((n > WIDE) | (m > 4 * WIDE))
+    rows = np.flatnonzero((n <= WIDE) & (m <= 4 * WIDE))
+    rows = rows[np.lexsort((m[rows], (n[rows] + 63) // 64))]
+    cells = np.maximum(1, (n[rows] + 63) // 64) * (m[rows] + 1)
+    tables, at = [], 0
+    while at < len(rows):
+        # rows to come are wider or longer, so a table is bounded by its last row
+        last = np.arange(1, len(cells[at : at + _ROWS]) + 1) * np.maximum.accumulate(cells[at : at + _ROWS])
+        to = at + min(_ROWS, max(1, int(np.searchsorted(last, _CELLS, side="right"))))
+        tables.append(rows[at:to])
+        at = to
+    return (_Table(a, b, r, kinds) for r in tables), wide
+
+
+def _row(side, k: int) -> list:
+    return side[0][side[1][k] : side[1][k + 1]].tolist()
 
 
 def count_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """COUNTS of each row; a null list is empty."""
-    a, b, _ = _encode(ref, hyp)
+    a, b, words = _encode(ref, hyp)
     n, m = np.diff(a[1]), np.diff(b[1])
-    totals = np.zeros((len(n), 3), np.int64)
-    for k, (left, right) in enumerate(_rows(a, b)):
-        for op, _, _ in _edits(left, right):
+    totals = np.zeros((len(n), 4), np.int64)
+    tables, wide = _tables(a, b, len(words))
+    for table in tables:
+        for who, op, _, _ in table.steps():
+            totals[table.rows[who], op] += 1
+    for k in wide:
+        for op, _, _ in _edits(_row(a, k), _row(b, k)):
             totals[k, op] += 1
-    sub, dele, ins = totals.T
+    sub, dele, ins = totals[:, :3].T
     return pa.StructArray.from_arrays([pa.array(x) for x in (sub, ins, dele, n - sub - dele, n, m)], ["sub", "ins", "del", "correct", "n_ref", "n_hyp"])
 
 
 def align_ops(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """OPS of each row, in order."""
     a, b, words = _encode(ref, hyp)
-    words, found = words.to_pylist(), []
-    for left, right in _rows(a, b):
-        ops, i = [], 0
+    parts = []  # (row, step from the end, op, place of the ref word, place of the hyp word)
+    tables, wide = _tables(a, b, len(words))
+    for table in tables:
+        for k, (who, op, i, j) in enumerate(table.steps()):
+            parts.append((table.rows[who], np.full(len(who), k), op, a[1][table.rows[who]] + i, b[1][table.rows[who]] + j))
+    for k in wide:
+        left, right, found, i = _row(a, k), _row(b, k), [], 0
+        j = 0
         for op, p, q in reversed(_edits(left, right)):
-            ops += [("correct", words[w], words[w]) for w in left[i:p]]
-            ops.append(("sub", words[left[p]], words[right[q]]) if op == 0 else ("del", words[left[p]], None) if op == 1 else ("ins", None, words[right[q]]))
-            i = p + (op != 2)
-        ops += [("correct", words[w], words[w]) for w in left[i:]]
-        found.append([{"op": o, "ref": x, "hyp": y} for o, x, y in ops])
-    return pa.array(found, pa.list_(pa.struct([("op", pa.string()), ("ref", pa.string()), ("hyp", pa.string())])))
+            found += [(3, i + x, j + x) for x in range(p - i)] + [(op, p, q)]
+            i, j = p + (op != 2), q + (op != 1)
+        found += [(3, i + x, j + x) for x in range(len(left) - i)]
+        o, p, q = np.array(found, np.int64).reshape(-1, 3).T
+        parts.append((np.full(len(o), k), np.arange(len(o), 0, -1), o, a[1][k] + p, b[1][k] + q))
+    row, step, op, i, j = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
+    order = np.lexsort((-step, row))
+    row, op, i, j = row[order], op[order], i[order], j[order]
+    side = lambda codes, at, none: words.take(pa.array(codes[np.where(none, 0, at)] if len(codes) else np.zeros(len(at), np.int64), mask=none)).cast(pa.string())
+    names = pa.array(["sub", "del", "ins", "correct"]).take(pa.array(op))
+    each = pa.StructArray.from_arrays([names, side(a[0], i, op == 2), side(b[0], j, op == 1)], ["op", "ref", "hyp"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ref)))]).astype(np.int32)), each)
+
+
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    held = texts.fill_null("").to_pylist()
+    return np.frombuffer("".join(held).encode("utf-32-le"), "<u4"), np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))])
 
 
 def count_chars(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """The edit distance of each row's two texts in characters; null where one is null."""
-    return pa.array([None if r is None or h is None else distance(r, h) for r, h in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int64())
+    a, b = _letters(ref), _letters(hyp)
+    codes = np.zeros(0x110000, np.int64)
+    codes[a[0]] = codes[b[0]] = 1
+    kinds, codes = int(codes.sum()), np.cumsum(codes) - 1
+    a, b = (codes[a[0]], a[1]), (codes[b[0]], b[1])
+    out = np.zeros(len(ref), np.int64)
+    tables, wide = _tables(a, b, kinds)
+    for table in tables:
+        out[table.rows] = table.distances()
+    for k in wide:
+        out[k] = distance(_row(a, k), _row(b, k))
+    return pa.array(out, mask=np.array(ref.is_null()) | np.array(hyp.is_null()))
 
 
 def char_distance(ref: Column, hyp: Column) -> Column:
-    """The edit distance of two texts in characters: in the JVM, but for pairs with over SHORT cells, where bit vectors are faster."""
+    """The edit distance of two texts in characters."""
 
     @F.arrow_udf("bigint")
     def run(r: pa.Array, h: pa.Array) -> pa.Array:
         return count_chars(r, h)
 
-    short = F.length(ref).cast("bigint") * F.length(hyp) <= SHORT
-    long_ref, long_hyp = (F.when(~short, x) for x in (ref, hyp))
-    return F.coalesce(run(long_ref, long_hyp), F.when(short, F.levenshtein(ref, hyp)).cast("bigint"))
+    return run(ref, hyp)
 
 
 def edit_counts(ref: Column, hyp: Column) -> Column:

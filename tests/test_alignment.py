@@ -100,3 +100,25 @@ def test_long_rows(size):
     r = [str(k % 7) for k in range(size)]
     (c,) = alignment.count_edits(lists([r]), lists([r[1:] + ["q"]])).to_pylist()
     assert c["sub"] + c["ins"] + c["del"] <= 2
+
+
+@pytest.mark.parametrize("wide", [1024, 100, 10])
+def test_rows_of_every_width_together(wide, monkeypatch):
+    monkeypatch.setattr(alignment, "WIDE", wide)
+    monkeypatch.setattr(alignment, "_ROWS", 37)
+    rng, pairs = random.Random(wide), []
+    for k in range(300):
+        names = [f"w{x}" for x in range(rng.choice([2, 5, 50]))]
+        r = [rng.choice(names) for _ in range(rng.choice([0, 1, 63, 64, 65, 128, 130]) if k % 3 == 0 else rng.randrange(30))]
+        h = [x for x in r if rng.random() > 0.1] + [rng.choice(names) for _ in range(rng.randrange(4))]
+        pairs.append((r, h if k % 10 else []))
+    ref, hyp = lists([r for r, _ in pairs]), lists([h for _, h in pairs])
+    ops, counts = alignment.align_ops(ref, hyp).to_pylist(), alignment.count_edits(ref, hyp).to_pylist()
+    texts = [["".join(x[-1] for x in side) + "жé" * (len(side) % 2) for side in p] for p in pairs]
+    chars = alignment.count_chars(pa.array([r for r, _ in texts] + [None]), pa.array([h for _, h in texts] + ["x"])).to_pylist()
+    for (r, h), o, c, (s, t), n in zip(pairs, ops, counts, texts, chars, strict=False):
+        want = plain(r, h)
+        assert [(x["op"], x["ref"], x["hyp"]) for x in o] == want
+        assert [c[k] for k in ("sub", "ins", "del", "correct")] == [sum(w[0] == k for w in want) for k in ("sub", "ins", "del", "correct")]
+        assert n == sum(w[0] != "correct" for w in plain(list(s), list(t)))
+    assert chars[-1] is None
