@@ -8,6 +8,7 @@ from speechlake.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from speechlake.llm.exact_substring import OP9_SQL, op9_suffix_dedup
 from speechlake.llm.language import op2_language
 from speechlake.llm.licenses import op1_license_scan
+from speechlake.llm.merkle import OP11_SQL, op11_merkle_manifest
 from speechlake.llm.ngram_join import OP10_SQL, op10_ngram_join
 from speechlake.llm.packing import op8_best_fit_packing
 from speechlake.llm.quality import op3_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,4 +36,5 @@ ORACLE: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
