@@ -179,41 +179,41 @@ def _places(rows: DataFrame) -> DataFrame:
     return numbered.mapInArrow(place, f"{kinds}, at long")
 
 
-def _cut(nodes: DataFrame) -> DataFrame:
+def _cut(nodes: DataFrame, high: int) -> DataFrame:
     """Nodes with their block, each block in one place, written."""
-    return checkpointed(nodes.withColumn("block", F.shiftright("at", HEIGHT)).repartition("tree", "block"), keep_partitioning=True)
+    return checkpointed(nodes.withColumn("block", F.shiftright("at", high)).repartition("tree", "block"), keep_partitioning=True)
 
 
-def _sorted_leaves(table: pa.Table) -> tuple[pa.Table, list[bytes], int]:
+def _sorted_leaves(table: pa.Table, high: int) -> tuple[pa.Table, list[bytes], int]:
     table = table.sort_by("at")
     leaves = [x.encode() for x in table.column("digest").to_pylist()]
-    return table, leaves, block_height(table.column("block")[0].as_py(), len(leaves), HEIGHT)
+    return table, leaves, block_height(table.column("block")[0].as_py(), len(leaves), high)
 
 
-def _roots(blocks: DataFrame) -> DataFrame:
+def _roots(blocks: DataFrame, high: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        table, leaves, height = _sorted_leaves(table)
+        table, leaves, height = _sorted_leaves(table, high)
         return pa.table({"tree": table.column("tree").slice(0, 1), "at": table.column("block").slice(0, 1), "digest": [block_root(leaves, height).decode()]})
 
     return blocks.select("tree", "at", "block", "digest").groupBy("tree", "block").applyInArrow(run, "tree string, at long, digest string")
 
 
-def _climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def _climb(nodes: DataFrame, high: int) -> tuple[list[DataFrame], DataFrame]:
     """The blocks of each level, lowest first, and (tree, at = 0, digest) of each tree's root. nodes: (tree, at, digest, ...)."""
     levels = []
     while True:
-        levels.append(_cut(nodes))
-        nodes = checkpointed(_roots(levels[-1]))
+        levels.append(_cut(nodes, high))
+        nodes = checkpointed(_roots(levels[-1], high))
         if not nodes.agg(F.max("at")).first()[0]:
             return levels, nodes
 
 
-def _descend(blocks: DataFrame, above: DataFrame) -> DataFrame:
+def _descend(blocks: DataFrame, above: DataFrame, high: int) -> DataFrame:
     """blocks with path, subroot and root. above: (tree, at, path, subroot, root) of each block's own root."""
     extra = [c for c in blocks.columns if c not in ("tree", "at", "block", "digest")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, leaves, height = _sorted_leaves(left)
+        table, leaves, height = _sorted_leaves(left, high)
         up, subroot, root = (right.column(c)[0].as_py() for c in ("path", "subroot", "root"))
         n = len(leaves)
         known = {c: table.column(c) for c in ("tree", "at", "digest", *extra)}
@@ -224,35 +224,35 @@ def _descend(blocks: DataFrame, above: DataFrame) -> DataFrame:
     return blocks.groupBy("tree", "block").cogroup(upper.groupBy("tree", "block")).applyInArrow(run, f"{kinds}, path array<string>, subroot string, root string")
 
 
-def merkle_paths(leaves: DataFrame) -> DataFrame:
+def merkle_paths(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     """leaves, (tree string, key, digest, ...), with at, path, subroot and root: trees of their leaves by key and digest, and one tree of their roots."""
     spark = leaves.sparkSession
     tune(spark)
     written = checkpointed(leaves).withColumn("_n", F.monotonically_increasing_id())  # tells equal rows apart, so that a range can end between them
     rows = _places(checkpointed(written.orderBy("tree", F.col("key").asc_nulls_first(), "digest", "_n").drop("_n")))
-    levels, subroots = _climb(rows)
+    levels, subroots = _climb(rows, height)
     trees = checkpointed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("own"), "digest").orderBy("own"))
-    tops, root = _climb(_places(trees))
+    tops, root = _climb(_places(trees), height)
     above = root.select("tree", "at", F.array().cast("array<string>").alias("path"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
     for blocks in reversed(tops):
-        above = _descend(blocks, above)
+        above = _descend(blocks, above, height)
     above = above.select(F.col("own").alias("tree"), F.lit(0).cast("long").alias("at"), "path", F.col("digest").alias("subroot"), "root")
     for blocks in reversed(levels):
-        above = _descend(blocks, above)
+        above = _descend(blocks, above, height)
     return above
 
 
-def merkle_manifest(table: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", key: str = "doc_id", *more: tuple[str, Column]) -> DataFrame:
+def merkle_manifest(table: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", key: str = "doc_id", more: tuple[tuple[str, Column], ...] = (), height: int = HEIGHT) -> DataFrame:
     """(tree, key, digest, at, path, subroot, root) of every row; more: named columns that stay with the rows. tree: "" for a null group, else "=" and the group."""
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
-    return merkle_paths(table.select(tree.alias("tree"), F.col(key).alias("key"), leaf_of(*[F.col(f) for f in fields]).alias("digest"), *[c.alias(name) for name, c in more]))
+    return merkle_paths(table.select(tree.alias("tree"), F.col(key).alias("key"), leaf_of(*[F.col(f) for f in fields]).alias("digest"), *[c.alias(name) for name, c in more]), height)
 
 
-def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str, height: int = HEIGHT) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*FIELDS)
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")).otherwise(F.col("n_chars").cast("string"))
     seen = leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), tampered, F.col("text"))
-    found = merkle_manifest(docs, FIELDS, "lang", "doc_id", ("seen", seen))
+    found = merkle_manifest(docs, FIELDS, "lang", "doc_id", (("seen", seen),), height)
     proof = F.sha2(F.array_join(F.transform("path", lambda s: F.substring(s, 2, 64)), ""), 256)
     out = found.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", proof.alias("proof_sha256"), fold(F.col("seen"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
