@@ -273,6 +273,6 @@ leaves AS (SELECT doc_id, tree, digest, coalesce(CASE WHEN crc IS NOT NULL THEN
 {_TREES.format("leaves")},
 tops AS (SELECT '' AS tree, tree AS own, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM leaves_root),
 {_TREES.format("tops")},
-whole AS (SELECT l.doc_id, l.digest AS leaf, l.seen, t.digest AS subroot, r.digest AS root, list_concat(coalesce(p.path, []), coalesce(q.path, [])) AS path FROM leaves l JOIN tops t ON t.own = l.tree CROSS JOIN tops_root r LEFT JOIN leaves_path p ON p.tree = l.tree AND p.pos = l.pos LEFT JOIN tops_path q ON q.pos = t.pos),
+whole AS (SELECT l.doc_id, l.digest AS leaf, l.seen, t.digest AS subroot, r.digest AS root, list_concat(coalesce(p.path, []), coalesce(q.path, [])) AS path FROM leaves l JOIN tops t ON t.own = l.tree JOIN tops_root r ON r.tree = t.tree LEFT JOIN leaves_path p ON p.tree = l.tree AND p.pos = l.pos LEFT JOIN tops_path q ON q.pos = t.pos),
 folded AS (SELECT *, list_reduce(list_prepend(seen, path), lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root FROM whole)
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_prepend('', list_transform(path, lambda s: s[2:])), lambda a, s: a || s), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from speechlake.llm.centroids import OP13_SQL, op13_centroid_clusters
 from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
 from speechlake.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from speechlake.llm.exact_substring import OP9_SQL, op9_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_centroid_clusters": op13_centroid_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -37,4 +39,5 @@ ORACLE: dict[str, str] = {
     "op9_suffix_dedup": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_centroid_clusters": OP13_SQL,
 }

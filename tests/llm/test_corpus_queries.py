@@ -18,7 +18,7 @@ def _same(spark, frame, sql, tables):
     assert got == sorted(tuple(str(r[k]) for k in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op4_decontaminate", "op5_url_filter", "op7_embedding_dedup", "op9_suffix_dedup", "op10_ngram_join"])
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op5_url_filter", "op7_embedding_dedup", "op9_suffix_dedup", "op10_ngram_join", "op11_merkle_manifest", "op13_centroid_clusters"])
 def test_sql_twins(spark, name):
     from speechlake.llm import registry
 
