@@ -12,6 +12,7 @@ from speechlake.llm.licenses import op1_license_scan
 from speechlake.llm.merkle import OP11_SQL, op11_merkle_manifest
 from speechlake.llm.ngram_join import OP10_SQL, op10_ngram_join
 from speechlake.llm.packing import op8_best_fit_packing
+from speechlake.llm.projected_search import OP12_SQL, op12_projected_search
 from speechlake.llm.quality import op3_quality
 from speechlake.llm.token_ids import op6_token_ids
 from speechlake.llm.url_filter import OP5_SQL, op5_url_filter
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_projected_search": op12_projected_search,
     "op13_centroid_clusters": op13_centroid_clusters,
     "pipeline": corpus_pipeline.run,
 }
@@ -39,5 +41,6 @@ ORACLE: dict[str, str] = {
     "op9_suffix_dedup": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_projected_search": OP12_SQL,
     "op13_centroid_clusters": OP13_SQL,
 }

@@ -18,7 +18,7 @@ def _same(spark, frame, sql, tables):
     assert got == sorted(tuple(str(r[k]) for k in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op4_decontaminate", "op5_url_filter", "op7_embedding_dedup", "op9_suffix_dedup", "op10_ngram_join", "op11_merkle_manifest", "op13_centroid_clusters"])
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op5_url_filter", "op7_embedding_dedup", "op9_suffix_dedup", "op10_ngram_join", "op11_merkle_manifest", "op12_projected_search", "op13_centroid_clusters"])
 def test_sql_twins(spark, name):
     from speechlake.llm import registry
 
@@ -85,7 +85,7 @@ def folder(request, spark, tmp_path_factory):
     return request.param, d
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op2_language", "op3_quality", "op4_decontaminate", "op5_url_filter", "op6_token_ids", "op7_embedding_dedup", "op8_best_fit_packing", "op9_suffix_dedup", "op10_ngram_join"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_language", "op3_quality", "op4_decontaminate", "op5_url_filter", "op6_token_ids", "op7_embedding_dedup", "op8_best_fit_packing", "op9_suffix_dedup", "op10_ngram_join", "op11_merkle_manifest", "op12_projected_search", "op13_centroid_clusters"])
 def test_odd_and_empty_tables(spark, folder, name):
     from speechlake.llm import registry
 
@@ -101,6 +101,10 @@ def test_odd_and_empty_tables(spark, folder, name):
         assert len(rows) == 4 and [r.blocked for r in got[1]] == [False]
     elif name == "op7_embedding_dedup":
         assert len(rows) == 5 and got[3][0].n_links == got[4][0].n_links == 0 and got[1][0].n_links == 2
+    elif name == "op12_projected_search" or name == "op13_centroid_clusters":
+        assert rows == []  # no id that is asked; no vector of 64 components
+    elif name == "op11_merkle_manifest":
+        assert len(rows) == 8 and len({r.root for r in rows}) == 1 and len(got[3]) == 2
     elif name == "op8_best_fit_packing":
         assert sum(r.n_words for r in got[5]) == 60_000 and 2 not in got and len(got[3]) == 2
     elif name == "op2_language":
