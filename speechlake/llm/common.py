@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import itertools
 import struct
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -208,7 +210,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """Hashes of any byte ranges of a buffer, each in constant time: equal ranges have equal hashes."""
+    """Hashes of any byte ranges of a buffer, each in constant time: equal ranges have equal hashes.
+
+    For ranges of a few hundred bytes: modulo a power of two, words of a thousand letters can be made that differ and
+    have equal hashes whatever the base. Words and whole texts are told by word_hashes and digest64.
+    """
 
     def __init__(self, data: np.ndarray):
         p, self.inv = _powers(len(data))
@@ -220,6 +226,33 @@ class RangeHash:
         return mix64(h + (ends - starts).astype(_U) * _U(0xA0761D6478BD642F))
 
 
+def digest64(values) -> np.ndarray:
+    """64 bits of a cryptographic hash of each byte string."""
+    return np.frombuffer(b"".join([blake2b(v, digest_size=8).digest() for v in values]), _U)
+
+
+#: Masks of the lowest k bytes.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(8)], _U)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word, given as ranges that ascend and don't overlap: mixed bytes and length of words up to seven bytes, which no two share, digest64 of longer ones."""
+    lens = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    windows = np.lib.stride_tricks.as_strided(padded[:8].view(_U), (len(data) + 1,), (1,))
+    short = np.minimum(lens, 7)
+    out = mix64((windows[starts] & _LOWEST[short]) | (short.astype(_U) << _U(56)))
+    long = np.flatnonzero(lens > 7)
+    if len(long):
+        borders = np.column_stack([starts[long], ends[long]]).astype(np.int64).ravel()
+        coded = pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(padded)]).dictionary_encode()
+        index = coded.indices.to_numpy()[::2]
+        used = np.zeros(len(coded.dictionary), bool)
+        used[index] = True
+        out[long] = digest64(coded.dictionary.filter(pa.array(used)).to_pylist())[(np.cumsum(used) - 1)[index]]
+    return out
+
+
 def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
     return (mix64(np.asarray(ids).astype(np.int64).view(_U)) % _U(n)).astype(np.int32)
 
@@ -232,7 +265,7 @@ _POINT[list(b"!#$%&*,.:;?|")] = True
 
 
 def cut_pieces(offs: np.ndarray, data: np.ndarray, fine: bool = True):
-    """(borders of all pieces, distinct pieces, which one each piece is, their hashes) of a buffer that isn't empty.
+    """(borders of all pieces, distinct pieces, which one each piece is, the distinct pieces' bytes) of a buffer that isn't empty.
 
     Pieces end behind ASCII white space, which they take along, and at document borders; fine: also between an
     ASCII letter and ASCII punctuation, and A-Z become a-z.
@@ -248,37 +281,34 @@ def cut_pieces(offs: np.ndarray, data: np.ndarray, fine: bool = True):
     begins[n] = True
     cuts = np.flatnonzero(begins)
     coded = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-    words = coded.dictionary
-    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
-    return cuts, words, coded.indices.to_numpy(), RangeHash(np.frombuffer(words.buffers()[2], np.uint8, int(at[-1])))(at[:-1], at[1:])
+    return cuts, coded.dictionary, coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
-class HashIndex:
-    """Slots by 64-bit hash in a few sorted runs, each at least twice the next."""
+class PieceIndex:
+    """Slots by the bytes of a piece; of long ones a 256-bit digest stands for them."""
+
+    #: Bytes of a piece that is held as it is.
+    WHOLE = 64
 
     def __init__(self):
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int64)
-        for known, slots in self.runs:
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
-            out[hit] = slots[at[hit]]
-        return out
-
-    def add(self, keys: np.ndarray) -> None:
-        """Give distinct new keys the next slots, in their order."""
-        order = np.argsort(keys)
-        self.runs.append((keys[order], (order + self.size).astype(np.int32)))
-        self.size += len(keys)
-        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
-            (k1, s1), (k2, s2) = self.runs.pop(), self.runs.pop()
-            k, s = np.concatenate([k1, k2]), np.concatenate([s1, s2])
-            order = np.argsort(k, kind="stable")
-            self.runs.append((k[order], s[order]))
+        self.slots: dict[bytes, int] = {}
+
+    @property
+    def size(self) -> int:
+        return len(self.slots)
+
+    def _keys(self, pieces: list[bytes]) -> list[bytes]:
+        most = self.WHOLE
+        return [p if len(p) <= most else blake2b(p, digest_size=32).digest() + b"long" + bytes(most) for p in pieces]
+
+    def find(self, pieces: list[bytes]) -> np.ndarray:
+        """The slot of each piece, -1 where there is none."""
+        get = self.slots.get
+        return np.fromiter([get(k, -1) for k in self._keys(pieces)], np.int64, len(pieces))
+
+    def add(self, pieces: list[bytes], new: np.ndarray) -> None:
+        """Give the pieces marked as new, which are distinct, the next slots, in their order."""
+        self.slots.update(zip(self._keys(list(itertools.compress(pieces, new))), range(self.size, self.size + int(new.sum())), strict=True))
 
 
 # ---------------------------------------------------------------- packed rows

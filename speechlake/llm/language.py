@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import CHUNK_BYTES, HashIndex, cut_pieces, lean, text_chunks, tune
+from speechlake.llm.common import CHUNK_BYTES, PieceIndex, cut_pieces, lean, text_chunks, tune
 
 #: Bounds of the training sample: documents of each language, characters of one document, documents of all languages, languages (the most frequent ones); parts of a language that are ranked apart.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL, MOST_LANGS, SALTS = 768, 16_384, 16_384, 400, 16
@@ -189,11 +189,11 @@ class SpanLabeller:
         self._reset()
 
     def _reset(self):
-        self.known = HashIndex()
+        self.known = PieceIndex()
         room = min(1 << 16, self.most)
         self.table, self.size = np.zeros((room, len(self.model.langs)), np.float32), np.zeros(room, np.int32)
 
-    def _slots(self, words: pa.Array, keys: np.ndarray) -> np.ndarray:
+    def _slots(self, words: pa.Array, keys: list[bytes]) -> np.ndarray:
         if self.known.size + len(words) > self.most:
             self._reset()
         slot = self.known.find(keys)
@@ -202,7 +202,7 @@ class SpanLabeller:
             while z > len(self.table):
                 self.table, self.size = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.size, np.zeros_like(self.size)])
             self.table[a:z], self.size[a:z] = self.model.score([w.decode("utf-8").strip() for w in words.filter(pa.array(new)).to_pylist()])
-            self.known.add(keys[new])
+            self.known.add(keys, new)
             slot[new] = np.arange(a, z)
         return slot
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import LOWER, RangeHash, lean, mix64, runs, text_chunks, tune
+from speechlake.llm.common import LOWER, lean, mix64, runs, text_chunks, tune, word_hashes
 
 #: Least share of a template that must be aligned, and of the words between the first and last aligned one.
 COVERAGE, DENSITY = 0.8, 0.6
@@ -58,7 +58,7 @@ def words_of(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hash of each word of each document, borders); words are runs of ASCII letters, digits and other bytes above them, a-z as A-Z."""
     data = LOWER[data]
     starts, ends, count = runs(_WORD[data], offs)
-    return RangeHash(data)(starts, ends), np.concatenate([[0], np.cumsum(count)])
+    return word_hashes(data, starts, ends), np.concatenate([[0], np.cumsum(count)])
 
 
 def _seeds(h: np.ndarray) -> np.ndarray:

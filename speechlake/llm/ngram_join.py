@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import BROADCAST_IDS, LOWER, RangeHash, bucket_of, checkpointed, groups_of, ids_if_small, join_classes, lean, mix64, pack, release, runs, unpack
+from speechlake.llm.common import BROADCAST_IDS, LOWER, bucket_of, checkpointed, groups_of, ids_if_small, join_classes, lean, mix64, pack, release, runs, unpack, word_hashes
 from speechlake.llm.components import COMPONENTS_SQL, connected_components
 from speechlake.llm.text_store import build_store, distinct_documents, for_each_row, read_blob, take, with_keys, with_messages
 
@@ -47,7 +47,7 @@ def shingle_sets(offs: np.ndarray, data: np.ndarray, size: int = SHINGLE) -> tup
     """(hashes of the distinct shingles of each document, ascending; borders)."""
     data = LOWER[data]
     starts, ends, words = runs(~_SPACE[data], offs)
-    h = RangeHash(data)(starts, ends)
+    h = word_hashes(data, starts, ends)
     edge = np.concatenate([[0], np.cumsum(words)])
     full = np.zeros(max(0, len(h) - size + 1), _U)
     for k in range(size):

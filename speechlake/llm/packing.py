@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import RangeHash, lean, runs, text_chunks, tune
+from speechlake.llm.common import digest64, lean, runs, text_chunks, tune
 
 #: Words of a sequence; most documents of a source in one; documents of a packing group, about.
 CAPACITY, PER_SOURCE, GROUP_DOCS = 2048, 4, 4096
@@ -141,7 +141,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
             at = 0
             for ids, offs, data in text_chunks(batch):
                 _, _, words = runs(~_GAP[data], offs)
-                cluster = batch.column(4).slice(at, len(ids)) if given else pa.array(RangeHash(data)(offs[:-1], offs[1:]).view(np.int64))
+                cluster = batch.column(4).slice(at, len(ids)) if given else pa.array(digest64([data[a:z].tobytes() for a, z in zip(offs[:-1], offs[1:], strict=True)]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2).slice(at, len(ids)), batch.column(3).slice(at, len(ids)), cluster, pa.array(words)], ["doc_id", "source", "g", "cluster", "words"])
                 at += len(ids)
 

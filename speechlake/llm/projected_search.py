@@ -36,7 +36,7 @@ K, EVERY = 20, 20
 #: Dimensions of a projection; chance that a true neighbour lies within the bound.
 PROJECTED, CONFIDENCE, SEED = 16, 0.99, 20240611
 #: Rows and bytes of a shard at most, on average, and rows at least where shards are only made to fill the tasks; points of a leaf; bytes of the queries that a cell holds, and queries that go through a tree together.
-SHARD_ROWS, SHARD_BYTES, LEAST_ROWS, LEAF, PART_BYTES, BLOCK = 50_000, 64 << 20, 2_000, 256, 32 << 20, 2048
+SHARD_ROWS, SHARD_BYTES, LEAST_ROWS, LEAF, PART_BYTES, BLOCK = 50_000, 64 << 20, 500, 256, 32 << 20, 2048
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:

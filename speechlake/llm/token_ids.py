@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import HashIndex, cut_pieces, lean, n_buckets, ragged, text_chunks, tune, work_path
+from speechlake.llm.common import PieceIndex, cut_pieces, lean, n_buckets, ragged, text_chunks, tune, work_path
 
 #: Tokens that one image holds, about.
 IMAGE_TOKENS = 1 << 17
@@ -139,7 +139,7 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self):
-        self.known = HashIndex()
+        self.known = PieceIndex()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.begin, self.len = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
 
@@ -172,7 +172,7 @@ class PieceEncoder:
         if (new := slot < 0).any():
             self.added = self.known.size
             self._add(words.filter(pa.array(new)))
-            self.known.add(keys[new])
+            self.known.add(keys, new)
             slot[new] = np.arange(self.known.size - int(new.sum()), self.known.size)
         slot = slot[index]
         lens = self.len[slot].astype(np.int64)
