@@ -13,13 +13,14 @@ The confidence of a text is the mean over its slots of what won.
 Costs are whole numbers, so that no rounding decides; order matters in the alignment, and is the names', whatever the order
 of rows. Defined results: a model without a hypothesis for a key says nothing, not even an empty text, and has no vote;
 a null hypothesis is an empty text; of several hypotheses of a model for a key the last by its text counts; a key without
-hypotheses has no row. A text is grouped by its key, as many rows as models; texts of any length are aligned in time
-and memory of their length times the network's.
+hypotheses has no row. A key gathers one row for each model; a text is aligned in time of its length times the network's
+and memory of the network's length times the square root of the text's.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from speechlake.session import ship_code
 
 SUBSTITUTION, INSERTION, DELETION = 4, 3, 3
 ALPHA, NOTHING = 0.5, 0.7
+#: Slots times words up to which all ways of an alignment are held at once.
+SMALL = 1 << 20
 
 
 @dataclass
@@ -55,20 +58,38 @@ class Network:
         skip = np.where(free, 0, DELETION).astype(np.int64)
         # row j: cost of meeting the first k slots with the first j words; passing slots adds up, so that a running minimum gives it
         passed = np.concatenate([[0], np.cumsum(skip)])
-        ways = np.zeros((m + 1, n + 1), np.uint8)  # 1: into a slot, 2: passes a slot, 3: a new slot
-        row = passed.copy()
-        ways[0, 1:] = 2
-        for j, w in enumerate(words, 1):
+
+        def step(row: np.ndarray, w: str) -> tuple[np.ndarray, np.ndarray]:
+            """The next row, and its ways: 1 into a slot, 2 passes a slot, 3 a new slot."""
             cost = np.full(n, SUBSTITUTION, np.int64)
             cost[said.get(w, [])] = 0
             into = np.concatenate([[np.iinfo(np.int64).max // 4], row[:-1] + cost])
-            new = row + INSERTION
-            best = np.minimum(into, new)
-            row = np.minimum.accumulate(best - passed) + passed
-            ways[j] = np.where(into == row, 1, np.where(np.concatenate([[False], row[:-1] + skip == row[1:]]), 2, 3))
-        out, k, j = [], n, m
+            after = np.minimum.accumulate(np.minimum(into, row + INSERTION) - passed) + passed
+            passes = np.concatenate([[False], after[:-1] + skip == after[1:]])
+            return after, np.where(into == after, 1, np.where(passes, 2, 3)).astype(np.uint8)
+
+        # every stride-th row is kept, and the ways of one stride at a time
+        small = m * n <= SMALL
+        stride = m + 1 if small else isqrt(m) + 1
+        kept, row, ways = [passed], passed, []
+        for j, w in enumerate(words, 1):
+            row, own = step(row, w)
+            if small:
+                ways.append(own)
+            elif j % stride == 0:
+                kept.append(row)
+        out, k, j, low = [], n, m, 1 if small else m + 1
         while k or j:
-            way = ways[j, k]
+            if not j:
+                way = 2
+            else:
+                if j < low:
+                    low = (j - 1) // stride * stride + 1
+                    row, ways = kept[low // stride], []
+                    for w in words[low - 1 : j]:
+                        row, own = step(row, w)
+                        ways.append(own)
+                way = ways[j - low][k]
             if way == 1:
                 k, j = k - 1, j - 1
                 out.append(self.slots[k] | {model: words[j]})
@@ -118,9 +139,10 @@ def combine(preds: DataFrame, key: str = "utt_id", model: str = "model_id", hyp:
     ship_code(preds.sparkSession)
     kind = dict(preds.dtypes)[key]
     one = F.lit(1.0)
-    said = F.struct(F.col(model).cast("string").alias("model"), F.coalesce(F.col(hyp), F.lit("")).alias("hyp"), F.coalesce(weight.cast("double"), one).alias("weight") if weight is not None else one.alias("weight"), F.coalesce(confidence.cast("double"), one).alias("confidence") if confidence is not None else one.alias("confidence"))
-    # as many entries as a key has hypotheses; equal ones count once, so that a repeated row can't make a group large
-    each = preds.where(F.col(key).isNotNull() & F.col(model).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.collect_set(said).alias("said"))
+    said = F.struct(F.coalesce(F.col(hyp), F.lit("")).alias("hyp"), F.coalesce(weight.cast("double"), one).alias("weight") if weight is not None else one.alias("weight"), F.coalesce(confidence.cast("double"), one).alias("confidence") if confidence is not None else one.alias("confidence"))
+    # one row of each model reaches a key, however often a row is repeated
+    own = preds.where(F.col(key).isNotNull() & F.col(model).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(model).cast("string").alias("_model")).agg(F.max(said).alias("said"))
+    each = own.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(F.col("_model").alias("model"), "said.*"))).alias("said"))
     result = f"_key {kind}, n_models int, hyp string, confidence double, words array<struct<word:string,score:double>>"
     words = pa.list_(pa.struct([("word", pa.string()), ("score", pa.float64())]))
 
