@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import itertools
+import secrets
 import struct
 import tempfile
 import uuid
@@ -193,20 +193,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
-_POW: dict[str, np.ndarray] = {}
+_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    if "p" not in _POW or len(_POW["p"]) < n + 1:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        inv = pow(_BASE, -1, 1 << 64)
+    if base not in _POW or len(_POW[base][0]) < n + 1:
+        size, found = max(n + 1, CHUNK_BYTES + 1), []
         with np.errstate(over="ignore"):
-            for key, base in (("p", _BASE), ("i", inv)):
-                a = np.full(size, base, _U)
+            for b in (base, pow(base, -1, 1 << 64)):
+                a = np.full(size, b, _U)
                 a[0] = 1
-                _POW[key] = np.multiply.accumulate(a)
-    return _POW["p"], _POW["i"]
+                found.append(np.multiply.accumulate(a))
+        _POW[base] = tuple(found)
+    return _POW[base]
 
 
 class RangeHash:
@@ -216,8 +216,8 @@ class RangeHash:
     have equal hashes whatever the base. Words and whole texts are told by word_hashes and digest64.
     """
 
-    def __init__(self, data: np.ndarray):
-        p, self.inv = _powers(len(data))
+    def __init__(self, data: np.ndarray, base: int = _BASE):
+        p, self.inv = _powers(len(data), base)
         self.sums = np.zeros(len(data) + 1, _U)
         np.cumsum(_BYTE[data] * p[: len(data)], out=self.sums[1:])
 
@@ -265,7 +265,7 @@ _POINT[list(b"!#$%&*,.:;?|")] = True
 
 
 def cut_pieces(offs: np.ndarray, data: np.ndarray, fine: bool = True):
-    """(borders of all pieces, distinct pieces, which one each piece is, the distinct pieces' bytes) of a buffer that isn't empty.
+    """(borders of all pieces, distinct pieces, which one each piece is, a key of this process for each distinct piece) of a buffer that isn't empty.
 
     Pieces end behind ASCII white space, which they take along, and at document borders; fine: also between an
     ASCII letter and ASCII punctuation, and A-Z become a-z.
@@ -281,34 +281,53 @@ def cut_pieces(offs: np.ndarray, data: np.ndarray, fine: bool = True):
     begins[n] = True
     cuts = np.flatnonzero(begins)
     coded = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-    return cuts, coded.dictionary, coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    words = coded.dictionary
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+    return cuts, words, coded.indices.to_numpy(), _private_keys(np.frombuffer(words.buffers()[2], np.uint8, int(at[-1])), at.astype(np.int64))
 
 
-class PieceIndex:
-    """Slots by the bytes of a piece; of long ones a 256-bit digest stands for them."""
+#: Bytes of a piece up to which a polynomial with a base that nobody knows tells it from all others.
+_SHORT = 32
+_PRIVATE: list[int] = []
 
-    #: Bytes of a piece that is held as it is.
-    WHOLE = 64
 
-    def __init__(self):
-        self.slots: dict[bytes, int] = {}
-
-    @property
-    def size(self) -> int:
-        return len(self.slots)
+def _private_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key of each piece between the borders, for this process alone: by a base drawn for it where a piece is short, else by a cryptographic hash. No text can be made that two pieces share one."""
+    if not _PRIVATE:
+        _PRIVATE.append(secrets.randbits(64) | 1)
+    keys = RangeHash(data, _PRIVATE[0])(at[:-1], at[1:])
+    long = np.flatnonzero(np.diff(at) > _SHORT)
+    if len(long):
+        keys[long] = digest64([data[a:z].tobytes() for a, z in zip(at[long].tolist(), at[long + 1].tolist(), strict=True)])
+    return keys
 
-    def _keys(self, pieces: list[bytes]) -> list[bytes]:
-        most = self.WHOLE
-        return [p if len(p) <= most else blake2b(p, digest_size=32).digest() + b"long" + bytes(most) for p in pieces]
 
-    def find(self, pieces: list[bytes]) -> np.ndarray:
-        """The slot of each piece, -1 where there is none."""
-        get = self.slots.get
-        return np.fromiter([get(k, -1) for k in self._keys(pieces)], np.int64, len(pieces))
+class HashIndex:
+    """Slots by 64-bit hash in a few sorted runs, each at least twice the next."""
 
-    def add(self, pieces: list[bytes], new: np.ndarray) -> None:
-        """Give the pieces marked as new, which are distinct, the next slots, in their order."""
-        self.slots.update(zip(self._keys(list(itertools.compress(pieces, new))), range(self.size, self.size + int(new.sum())), strict=True))
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, slots in self.runs:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            out[hit] = slots[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give distinct new keys the next slots, in their order."""
+        order = np.argsort(keys)
+        self.runs.append((keys[order], (order + self.size).astype(np.int32)))
+        self.size += len(keys)
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            (k1, s1), (k2, s2) = self.runs.pop(), self.runs.pop()
+            k, s = np.concatenate([k1, k2]), np.concatenate([s1, s2])
+            order = np.argsort(k, kind="stable")
+            self.runs.append((k[order], s[order]))
 
 
 # ---------------------------------------------------------------- packed rows

@@ -51,13 +51,13 @@ def test_op8_clusters_are_equal_texts(spark, pair):
 
 
 def test_op2_scores_each_word_by_itself():
-    from speechlake.llm.common import PieceIndex, cut_pieces
+    from speechlake.llm.common import HashIndex, cut_pieces
 
     raw = f"{A} {B} short {A}".encode()
     _, words, index, keys = cut_pieces(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
-    known = PieceIndex()
+    known = HashIndex()
     assert (known.find(keys) == -1).all()
-    known.add(keys, np.ones(len(keys), bool))
+    known.add(keys)
     assert sorted(known.find(keys)) == list(range(len(keys))) and len(keys) == len(words) == 4
     assert known.size == 4
 
