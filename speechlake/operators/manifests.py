@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from speechlake.functions import alignment, text
+from speechlake.operators import naming
 from speechlake.operators.ranking import group_row_numbers, row_numbers
 from speechlake.session import ship_code
 
@@ -143,14 +144,9 @@ def missing_audio(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(found, "audio_filepath", "left_anti")
 
 
-def pack_rename(manifest: DataFrame, order: str) -> DataFrame:
-    """manifest with ``packed_name``: the file's own name for its first row, stem_0001.ext and so on for later ones; a name that so arises and stands for itself elsewhere is moved on by numbering it anew."""
-    named = manifest.withColumns({"_stem": text.file_stem(F.col("audio_filepath")), "_ext": text.file_suffix(F.col("audio_filepath"))})
-    ranked = group_row_numbers(named, ["_stem", "_ext"], [F.col(order).asc()], "_n", "_size").drop("_size")  # one name may be a third of all
-    named = ranked.withColumn("_n", F.col("_n") - 1).withColumn("packed_name", F.when(F.col("_n") == 0, F.concat("_stem", "_ext")).otherwise(F.format_string("%s_%04d%s", "_stem", "_n", "_ext")))
-    # A generated name may equal a natural one: the natural one keeps it.
-    again = F.row_number().over(Window.partitionBy("packed_name").orderBy((F.col("_n") > 0).cast("int"), order)) - 1
-    return named.withColumn("_again", again).withColumn("packed_name", F.when(F.col("_again") == 0, F.col("packed_name")).otherwise(F.format_string("%s_%04d_%04d%s", "_stem", "_n", "_again", "_ext"))).drop("_stem", "_ext", "_n", "_again")
+def pack_rename(manifest: DataFrame, order: str, existing: DataFrame | None = None) -> DataFrame:
+    """manifest with ``packed_name``, unique: the file's own name where it is free when its row comes, else the first free one of stem_0001.ext and so on. existing: (name) of files that are in the folder already."""
+    return naming.unique_names(manifest, "audio_filepath", order, "packed_name", existing)
 
 
 def cut_manifest(manifest: DataFrame, order: str, base: str = "") -> DataFrame:
