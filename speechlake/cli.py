@@ -14,14 +14,13 @@ from speechlake.session import local_session
 from speechlake.sources import readers, writers
 
 
-def _refs(spark: SparkSession, path: str, analyzer: bool = False) -> DataFrame:
-    return readers.read_references(spark, path, analyzer).withColumnRenamed("text", "ref")
+def _refs(spark: SparkSession, path: str, analyzer: bool = False, strings_only: bool = False) -> DataFrame:
+    return readers.read_references(spark, path, analyzer, strings_only).withColumnRenamed("text", "ref")
 
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest, one row a line, its key as audio_filepath; ``ord`` keeps the order."""
-    rows = readers.read_jsonl(spark, path, strict=False)
-    return rows.withColumn("_key", manifests.manifest_key(rows)).drop("audio_filepath", "audio").withColumnRenamed("_key", "audio_filepath").withColumnRenamed("line_no", "ord").where("audio_filepath is not null")
+def _manifest(spark: SparkSession, path: str, *fields: str) -> DataFrame:
+    """A manifest's rows that have a key, with all their fields."""
+    return readers.read_manifest(spark, path, fields).where("audio_filepath is not null")
 
 
 def analyze(spark, a):
@@ -52,7 +51,7 @@ def evaluate(spark, a):
 def finetune(spark, a):
     """Worst segments within a budget of hours. durations: JSON map from keys to seconds; without it WAV headers are read."""
     pairs = errors.matched_pairs(_refs(spark, a.references), readers.read_predictions(spark, {"m": a.predictions}))
-    scores = errors.per_utterance(pairs).select("utt_id", "wer", "cer", "ref", "hyp")
+    scores = errors.segment_metrics(pairs).select("utt_id", "wer", "cer", "ref", "hyp")
     if a.durations:
         seconds = readers.read_json_map(spark, a.durations, "utt_id", "duration").withColumn("duration", F.expr("try_cast(duration as double)"))
     else:
@@ -63,19 +62,26 @@ def finetune(spark, a):
 
 
 def hardest(spark, a):
-    refs = _refs(spark, a.ref)
+    refs = _refs(spark, a.ref, strings_only=True)
     if a.scores:
         scores = readers.read_scores(spark, a.scores, a.model_id)
     else:
         scores = errors.per_utterance(errors.pair_with_models(refs, readers.read_predictions(spark, {a.model_id: a.pred}), [a.model_id])).select("utt_id", "model_id", "wer", "cer", "sim")
     group = None
     if a.group_key:
-        rows = _manifest(spark, a.ref)
-        group = a.group_key
-        scores = scores.join(mixing.dedup_last(rows.select(F.col("audio_filepath").alias("utt_id"), group, "ord"), "utt_id", "ord").select("utt_id", group), "utt_id", "left")
-    noise = _manifest(spark, a.nonspeech).select("audio_filepath", "text") if a.nonspeech else None
-    out = selection.selection(scores, refs.select("utt_id", F.col("utt_id").alias("audio_filepath"), F.col("ref").alias("text")), a.bottom_q, a.easy_ratio, noise, a.nonspeech_ratio, group, a.seed)
-    print(writers.write_jsonl(out.drop("utt_id"), a.out), "rows")
+        group = "_group"  # whatever the field's name, it can't clash with a score's
+        named = _manifest(spark, a.ref, a.group_key).select(F.col("audio_filepath").alias("utt_id"), F.col(f"`{a.group_key}`").alias(group), "ord")
+        scores = scores.join(mixing.dedup_last(named, "utt_id", "ord").select("utt_id", group), "utt_id", "left")
+    noise = _manifest(spark, a.nonspeech) if a.nonspeech else None
+    out = selection.selection(scores, refs.select("utt_id", F.col("utt_id").alias("audio_filepath"), F.col("ref").alias("text")), a.bottom_q, a.easy_ratio, None if noise is None else noise.select("audio_filepath", "text"), a.nonspeech_ratio, group, a.seed)
+    # the rows' other fields come back from where they were
+    whole = [mixing.dedup_last(rows.select(F.col("audio_filepath").alias("_key"), "raw", "ord"), "_key", "ord").select("_key", "raw", F.lit(kind).alias("_noise")) for rows, kind in ((_manifest(spark, a.ref) if a.ref.endswith(".jsonl") else None, False), (noise, True)) if rows is not None]
+    if not whole:
+        out = out.withColumn("raw", F.lit(None).cast("string"))
+    else:
+        known = whole[0] if len(whole) == 1 else whole[0].unionByName(whole[1])
+        out = out.join(known, (F.col("audio_filepath") == F.col("_key")) & ((F.col("difficulty") == "nospeech") == F.col("_noise")), "left")
+    print(writers.write_rows(out, a.out, ("audio_filepath", "text", "difficulty", "wer", "cer")), "rows")
 
 
 def build(spark, a):
@@ -102,7 +108,7 @@ def cache(spark, a):
 
 
 def mix(spark, a):
-    sources = {k: _manifest(spark, p) for k, p in readers.parse_inputs(a.inputs).items()}
+    sources = {k: readers.read_manifest(spark, p) for k, p in readers.parse_inputs(a.inputs).items()}
     rows = mixing.concat_tagged(sources)
     if a.target_size:
         ratios = mixing.parse_ratios(a.ratios.split(",")) if a.ratios else mixing.stage1_ratios(list(sources)) if a.stage1 else None
@@ -113,26 +119,30 @@ def mix(spark, a):
         rows = mixing.ratio_mix(rows.withColumn("_from", names[F.col("src_no")]), "_from", ratios, a.target_size, "audio_filepath", a.seed).drop("rn", "_from")
     else:
         rows = rows.orderBy("src_no", "ord")
-    print(writers.write_jsonl(rows.drop("src_no", "ord"), a.out), "rows")
+    print(writers.write_rows(rows, a.out, ("dataset",)), "rows")
 
 
 def split(spark, a):
-    rows = _manifest(spark, a.inp)
+    rows = readers.read_manifest(spark, a.inp, (a.group_key,) if a.group_key else ())
+    if a.group_key:
+        rows = rows.withColumn(a.group_key, F.coalesce(F.col(f"`{a.group_key}`"), F.lit("")))
     done = (mixing.stratified_split(rows, a.group_key, a.val_ratio, "audio_filepath", a.seed) if a.group_key else mixing.random_split(rows, a.val_ratio, "audio_filepath", a.seed)).cache()
     for name, path in (("train", a.train), ("val", a.val)):
-        print(name, writers.write_jsonl(done.where(F.col("split") == name).drop("split", "ord"), path))
+        print(name, writers.write_rows(done.where(F.col("split") == name), path))
 
 
 def filter_(spark, a):
     preds = readers.read_json_map(spark, a.pred, "audio_filepath", "pred_text")
-    print(writers.write_jsonl(manifests.quality_filter(_manifest(spark, a.manifest), preds, a.max_wer, a.min_dur, a.max_dur).drop("ord"), a.out), "rows")
+    kept = manifests.quality_filter(_manifest(spark, a.manifest), preds, a.max_wer, a.min_dur, a.max_dur)
+    print(writers.write_rows(kept, a.out, ("wer",)), "rows")
 
 
 def pack(spark, a):
     """The renaming plan and the manifest that follows it; copying files is left to the store's own tools."""
-    named = manifests.pack_rename(_manifest(spark, a.input), "ord")
-    writers.write_csv(named.select("audio_filepath", "packed_name"), f"{a.out_dir}/plan")
-    print(writers.write_jsonl(named.withColumn("audio_filepath", F.concat(F.lit(a.out_dir.rstrip("/") + "/"), "packed_name")).drop("packed_name", "ord"), f"{a.out_dir}/manifest.jsonl"), "rows")
+    out = a.out_dir.rstrip("/")
+    named = manifests.pack_rename(_manifest(spark, a.input), "ord", readers.file_names(spark, out))
+    writers.write_csv(named.select("audio_filepath", "packed_name"), f"{out}/plan")
+    print(writers.write_rows(named.withColumn("audio_filepath", F.concat(F.lit(out + "/"), "packed_name")), f"{out}/manifest.jsonl", ("audio_filepath",), ("audio",)), "rows")
 
 
 def cuts(spark, a):

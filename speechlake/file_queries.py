@@ -376,3 +376,46 @@ def html_report(spark, d):
     none = named.where("false")
     page = writers.html_report(named, none, none)
     return spark.createDataFrame([(page.split("<body>")[1].split("</body>")[0],)], "body string")
+
+
+# ------------------------------------------------------------------ fields of their own, repeated keys, clashing names
+
+
+@query(S.with_(S.UTT) + "SELECT CAST(utt_id AS VARCHAR) AS audio_filepath, ref AS text, CASE WHEN utt_id % 7 <> 0 THEN 's' || CAST(utt_id % 5 AS VARCHAR) END AS speaker, CASE utt_id % 3 WHEN 0 THEN dataset ELSE 'tag' END AS dataset, utt_id % 7 = 0 AS bare FROM utt")
+def file_own_fields(spark, d):
+    """A manifest with a field of its own, absent in every seventh row, tagged, written and read back: what was absent is absent."""
+    path, k = work_folder(spark, "fields.jsonl"), F.col("utt_id")
+    row = F.struct(k.cast("string").alias("audio"), F.col("ref").alias("text"), F.when(k % 7 != 0, F.concat(F.lit("s"), (k % 5).cast("string"))).alias("speaker"), F.when(k % 3 == 0, F.col("dataset")).alias("dataset"))
+    _utt(spark, d).select(F.to_json(row).alias("value")).write.text(path)
+    again = work_folder(spark, "tagged.jsonl")
+    writers.write_rows(mixing.concat_tagged({"tag": readers.read_manifest(spark, path)}), again, ("dataset",))
+    rows = readers.read_manifest(spark, again, ("speaker",))
+    return rows.select("audio_filepath", "text", "speaker", "dataset", (~F.contains("raw", F.lit('"speaker":'))).alias("bare"))
+
+
+@query(S.with_(S.UTT, S.PREDS) + "SELECT CAST(utt_id AS VARCHAR) AS utt_id, hyp AS text, 'map' AS way FROM preds WHERE model_id = 'm1' UNION ALL SELECT CAST(utt_id AS VARCHAR), ref, 'object' FROM utt")
+def file_repeated_keys(spark, d):
+    """Maps of a table that repeats its keys, and objects that repeat theirs: the last counts."""
+    base, utt = work_folder(spark, "repeats"), _utt(spark, d)
+    own = harness.predictions(utt).where("model_id = 'm1'")
+    twice = own.select("utt_id", F.lit("zz, an older one").alias("hyp"), F.lit(0).alias("place")).unionByName(own.select("utt_id", "hyp", F.lit(1).alias("place")))
+    writers.write_prediction_shards(twice, f"{base}/map.json", shards=_shards(own), order="place")
+    quoted = F.regexp_replace(F.to_json(F.array("ref")), r"^\[|\]$", "")
+    name = F.concat(F.lit('"'), F.col("utt_id").cast("string"), F.lit('": '))
+    entries = utt.select(F.pmod(F.xxhash64("utt_id"), F.lit(_shards(utt))).alias("shard"), F.concat(name, F.lit('"older, {\\"", '), name, quoted).alias("e"))
+    entries.groupBy("shard").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("e"), ",\n"), F.lit("}")).alias("value")).write.partitionBy("shard").text(f"{base}/object.json")
+    return readers.read_json_map(spark, f"{base}/map.json").withColumn("way", F.lit("map")).unionByName(readers.read_json_map(spark, f"{base}/object.json").withColumn("way", F.lit("object")))
+
+
+def clashing_paths(spark, d) -> DataFrame:
+    """(utt_id, audio_filepath): names of which many are alike, and many what the rule would make of others."""
+    k = F.col("utt_id")
+    stem = F.concat(F.lit("clip"), F.pmod(F.xxhash64("utt_id"), F.lit(40)).cast("string"), F.when(k % 4 == 0, "_0001").when(k % 9 == 0, "_0007").when(k % 50 == 3, "_0001_0002").otherwise(""))
+    return _utt(spark, d).select("utt_id", F.concat(F.lit("data/"), "dataset", F.lit("/"), stem, F.when(k % 6 == 1, ".flac").otherwise(".wav")).alias("audio_filepath"))
+
+
+@query()
+def pack_clashing_names(spark, d):
+    """Names of their own for files of which many clash, in a folder that holds some; tested against the rule applied file by file."""
+    there = spark.createDataFrame([("clip1.wav",), ("clip2_0001.wav",), ("clip3_0009.wav",)], "name string")
+    return manifests.pack_rename(clashing_paths(spark, d), "utt_id", there)

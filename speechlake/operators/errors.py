@@ -37,6 +37,15 @@ def metrics(counts: Column, ref: Column, hyp: Column) -> dict[str, Column]:
     }
 
 
+def segment_metrics(pairs: DataFrame) -> DataFrame:
+    """pairs with wer and cer after lower-casing and dropping ASCII punctuation alone, as segments for fine-tuning are scored. pairs: (ref, hyp, ...)."""
+    ship_code(pairs.sparkSession)
+    p = pairs.withColumns({"_r": text.normalize_basic(F.col("ref")), "_h": text.normalize_basic(F.col("hyp"))})
+    m = metrics(F.col("_c"), F.col("_r"), F.col("_h"))
+    scored = p.withColumn("_c", alignment.edit_counts(text.tokens(F.col("_r")), text.tokens(F.col("_h"))))
+    return scored.select(*pairs.columns, m["wer"].alias("wer"), m["cer"].alias("cer"))
+
+
 def per_utterance(pairs: DataFrame, sim: DataFrame | None = None, with_ops: bool = False) -> DataFrame:
     """Scores of every pair (utt_id, model_id, ref, hyp, ...): normalized texts, counts, rates, class; with_ops: categories and confusions too. sim: (utt_id, sim) or with model_id."""
     ship_code(pairs.sparkSession)

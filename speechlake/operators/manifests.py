@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -137,9 +139,11 @@ def quality_filter(manifest: DataFrame, preds: DataFrame, max_wer: float = 0.15,
     return scored.where(F.col("wer") <= max_wer)
 
 
-def missing_audio(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows whose file isn't listed, tried as it stands and with forward slashes. files: (path)."""
-    tried = manifest.withColumn("_p", F.explode(F.array_distinct(F.array("audio_filepath", F.replace("audio_filepath", F.lit("\\"), F.lit("/"))))))
+def missing_audio(manifest: DataFrame, files: DataFrame, home: str = os.path.expanduser("~")) -> DataFrame:
+    """Rows whose file isn't listed, tried as it stands, with forward slashes, and with a leading ~ as the home folder. files: (path)."""
+    slashes = F.replace("audio_filepath", F.lit("\\"), F.lit("/"))
+    at_home = F.when(slashes.rlike("^~(/|$)"), F.concat(F.lit(home.rstrip("/")), F.substring(slashes, 2, 1 << 20))).otherwise(slashes)
+    tried = manifest.withColumn("_p", F.explode(F.array_distinct(F.array("audio_filepath", slashes, at_home))))
     found = tried.join(files.select(F.col("path").alias("_p")), "_p", "left_semi").select("audio_filepath").distinct()
     return manifest.join(found, "audio_filepath", "left_anti")
 

@@ -323,10 +323,7 @@ _CORPUS = (S.UTT, S.PREDS, _N1, _C1)
 
 @query(S.with_(*_CORPUS) + "SELECT utt_id, model_id, round((e // 1000000000000) / greatest(1, len(r)), 6) AS wer, round(cd / greatest(1, length(rn)), 6) AS cer FROM c1")
 def segment_metrics(spark, d):
-    ship_code(spark)
-    p = _matched(spark, d).select("utt_id", "model_id", text.normalize_basic(F.col("ref")).alias("r"), text.normalize_basic(F.col("hyp")).alias("h"))
-    m = errors.metrics(F.col("c"), F.col("r"), F.col("h"))
-    return p.withColumn("c", alignment.edit_counts(text.tokens(F.col("r")), text.tokens(F.col("h")))).select("utt_id", "model_id", m["wer"].alias("wer"), m["cer"].alias("cer"))
+    return errors.segment_metrics(_matched(spark, d)).select("utt_id", "model_id", "wer", "cer")
 
 
 @query(S.with_(S.SIM) + "SELECT utt_id, sim FROM sims")

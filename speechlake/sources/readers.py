@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.operators import manifests
 from speechlake.operators.mixing import dedup_last
 from speechlake.session import ship_code
+from speechlake.sources import json_split
 
 MANIFEST = "audio_filepath string, audio string, text string, source_lang string, target_lang string, pnc string, dataset string, duration double"
 SCORES = "utt_id string, model_id string, ref_norm string, hyp_norm string, wer string, cer string, ser string, sim string, bert_score string, class string"
@@ -41,6 +44,29 @@ def parse_jsonl(lines: DataFrame, schema: str = MANIFEST, strict: bool = True) -
     return parsed.where(~bad).select("row.*", "line_no").drop("_bad")
 
 
+def read_manifest(spark: SparkSession, path: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """A lenient manifest whose rows keep all their fields: raw is the line as it stands, for writers.write_rows; its key
+    (null if it has none), text, dataset and duration, and any named fields as text, beside it; ord keeps the order. Of a
+    field that a line repeats the last counts; what is no object, or no JSON, drops."""
+    names = dict.fromkeys(["audio_filepath", "audio", "text", "source_lang", "target_lang", "pnc", "dataset", "duration", *fields])
+    schema = ", ".join(f"`{n}` string" for n in names)
+    lines = _lines(spark, path).select("value", "line_no", F.from_json("value", schema + ", `_bad` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
+    alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>")
+    good = lines.where(F.col("row._bad").isNull() & alone.isNotNull() & (F.size(alone) == 1) & F.ltrim("value").startswith("{"))
+    rows = good.select(F.col("value").alias("raw"), F.col("line_no").alias("ord"), "row.*").drop("_bad")
+    return rows.withColumn("audio_filepath", manifests.manifest_key(rows)).withColumn("duration", F.col("duration").try_cast("double")).drop("audio")
+
+
+def file_names(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(name) of the files in a folder, which is listed and not read; None where there is no such folder."""
+    try:
+        files = spark.read.format("binaryFile").load(folder)
+    except AnalysisException:
+        return None
+    # the listing that the driver holds for any read; a scan would leave out files without bytes
+    return spark.createDataFrame([(unquote(x.rsplit("/", 1)[-1]),) for x in files.inputFiles()], "name string")
+
+
 def read_key_map(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
     """The last row of each key of a lenient manifest; keyless rows drop."""
     rows = read_jsonl(spark, path, schema, strict=False)
@@ -48,30 +74,26 @@ def read_key_map(spark: SparkSession, path: str, schema: str = MANIFEST) -> Data
 
 
 def read_json_map(spark: SparkSession, path: str, key: str = "utt_id", value: str = "text", strings_only: bool = False) -> DataFrame:
-    """(key, value) of one JSON object from keys to texts; other values as their JSON text, or dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    each = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
-    if strings_only:
-        kinds = whole.select(F.explode(F.variant_get(F.parse_json("value"), "$", "map<string,variant>")).alias("_k", "_v")).where(F.schema_of_variant("_v") == "STRING").select("_k")
-        each = each.join(kinds, each[key] == kinds["_k"], "left_semi")
-    return each
+    """(key, value) of a JSON object from keys to texts, of any size; other values as their JSON text, or dropped. The last of a repeated key counts; broken input is an error."""
+    return dedup_last(json_split.read_object(spark, path, key, value, strings_only), key, "place").select(key, value)
 
 
 def read_json_list(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
-    """(utt_id, text) of a JSON list of objects with audio_filepath or audio."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    rows = whole.select(F.explode(F.from_json("value", f"array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in schema.split(','))}>>")).alias("r")).select("r.*")
-    return rows.withColumn("utt_id", manifests.manifest_key(rows)).where("utt_id is not null").select("utt_id", F.coalesce("text", F.lit("")).alias("text"))
+    """(utt_id, text) of a JSON list of objects with audio_filepath or audio, of any size; the last of a repeated key counts, broken input is an error."""
+    rows = json_split.read_list(spark, path, schema)
+    keyed = rows.withColumn("utt_id", manifests.manifest_key(rows)).select("utt_id", F.coalesce("text", F.lit("")).alias("text"), "place")
+    return dedup_last(keyed, "utt_id", "place").select("utt_id", "text")
 
 
-def read_references(spark: SparkSession, path: str, analyzer: bool = False) -> DataFrame:
-    """(utt_id, text) of references: a manifest (.jsonl), a JSON object, or a JSON list; a later line of a key wins and a null text is empty."""
+def read_references(spark: SparkSession, path: str, analyzer: bool = False, strings_only: bool = False) -> DataFrame:
+    """(utt_id, text) of references: a manifest (.jsonl), a JSON object, or a JSON list; a later line or entry of a key wins and a null text is empty. strings_only: entries of an object that aren't texts drop."""
     if path.endswith(".jsonl"):
         rows = read_jsonl(spark, path, MANIFEST + ", id string, utt_id string")
         keyed = rows.withColumn("_key", manifests.manifest_key(rows, analyzer)).drop("utt_id").withColumnRenamed("_key", "utt_id")
         return dedup_last(keyed.select("utt_id", "text", "line_no"), "utt_id", "line_no").select("utt_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim(F.regexp_replace("value", "^﻿", "")).alias("v")).head()
-    return read_json_list(spark, path) if first and first.v.startswith("[") else read_json_map(spark, path)
+    if json_split.outer_kind(spark, path) == "[":
+        return read_json_list(spark, path)
+    return read_json_map(spark, path, strings_only=strings_only).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def read_predictions(spark: SparkSession, files: dict[str, str]) -> DataFrame:

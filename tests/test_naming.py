@@ -46,3 +46,13 @@ def test_random_folders(spark, seed):
 
 def test_no_clash_at_all(spark):
     same(spark, ["a/x.wav", "a/y.wav", "b/z"])
+
+
+def test_query_over_the_whole_table(spark):
+    from speechlake import file_queries
+
+    d = "/root/testdata/sf0.001"
+    paths = [r.audio_filepath for r in file_queries.clashing_paths(spark, d).orderBy("utt_id").collect()]
+    got = [r.packed_name for r in file_queries.pack_clashing_names(spark, d).orderBy("utt_id").collect()]
+    assert got == plain(paths, ["clip1.wav", "clip2_0001.wav", "clip3_0009.wav"]) and len(set(got)) == len(got)
+    spark.catalog.clearCache()
