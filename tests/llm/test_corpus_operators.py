@@ -289,17 +289,8 @@ def test_licenses_are_found_wherever_every_window_finds_them(spark):
             planted[i] = name
         rows.append((i, " ".join(t)))
     got = {r.doc_id: {h.license for h in r.hits} for r in m.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    scanner = m.LicenseScanner(m.TEMPLATES)
-    for i, text in rows:
-        raw, want = text.encode(), set()
-        h, _ = m.words_of(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
-        for name, template in zip(scanner.names, scanner.words, strict=True):  # every window, no seeds
-            for a in range(len(h)):
-                pairs = m.patience(h[a : a + 2 * len(template)].tolist(), template)
-                if pairs and len(pairs) >= m.COVERAGE * len(template) and len(pairs) >= m.DENSITY * (pairs[-1][0] + 1 - pairs[0][0]) and pairs[0][0] == 0:
-                    want.add(name)
-        assert got[i] == want
-        assert i not in planted or planted[i] in got[i]
+    # filler has no word that names a license, so that each planted notice is found as itself and nothing else is
+    assert got == {i: {planted[i]} if i in planted else set() for i, _ in rows}
 
 
 def test_viterbi_against_all_paths():
