@@ -54,34 +54,18 @@ def _starts(array: Column, length: int) -> Column:
     return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
 
 
-class TestWindows:
-    """The distinct windows of a benchmark: exact table, bitmap, and the lengths that occur."""
-
-    __test__ = False
+class Bitmap:
+    """Two bits for each probe (a long), in at most BITMAP_BITS bits that go to every task."""
 
-    def __init__(self, benchmark: DataFrame, window: int = WINDOW):
-        items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-        own = F.coalesce(*[F.when(F.size("w") == k, _probe(F.col("w"), F.lit(0), k)) for k in range(1, window)], F.lit(0).cast("long"))
-        short = items.where(F.size("w") < window).select("item", F.size("w").alias("len"), F.array_join("w", " ").alias("words"), own.alias("probe"))
-        each = F.transform(_starts(F.col("w"), window), lambda i: F.struct(window_text(F.col("w"), i, window).alias("words"), _probe(F.col("w"), i, window).alias("probe")))
-        full = items.select("item", F.lit(window).alias("len"), F.explode(each).alias("x")).select("item", "len", "x.words", "x.probe")
-        every = checkpointed(short.unionByName(full).distinct())
-        # Windows that occur in the same items share a set; a document's items are its sets' items.
-        sets = every.groupBy("len", "words", "probe").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set_id", F.md5(F.array_join("items", ",")))
-        self.table = checkpointed(sets.select("len", "words", "probe", "set_id"))
-        self.sets = checkpointed(sets.select("set_id", F.explode("items").alias("item")).distinct())
-        known = self.table.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.octet_length("words") + F.octet_length("set_id")).alias("bytes")).collect()  # at most ``window`` rows
-        self.lengths = {r["len"]: r["n"] for r in known}
-        self.n = sum(self.lengths.values())
-        self.small = self.n <= BROADCAST_WINDOWS and sum(r["bytes"] for r in known) <= BROADCAST_BYTES
-        self.bits = 1 << 12
-        while self.bits < min(BITMAP_BITS, BITS_EACH * self.n):
+    def __init__(self, probes: DataFrame, n: int):
+        self.probes, self.bits = probes, 1 << 12
+        while self.bits < min(BITMAP_BITS, BITS_EACH * n):
             self.bits *= 2
-        self.bitmap = F.split(F.lit(",".join(map(str, self._longs()))), ",").cast("array<bigint>")
+        self.longs = F.split(F.lit(",".join(map(str, self._longs()))), ",").cast("array<bigint>")
 
     def _longs(self) -> list[int]:
-        """The bitmap: at most BITMAP_BITS / 64 longs, a PAGE of them in a row."""
-        slots = self.table.select(F.explode(F.array(*self._slots(F.col("probe")))).alias("slot")).select((F.col("slot") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+        """At most BITMAP_BITS / 64 longs, a PAGE of them in a row."""
+        slots = self.probes.select(F.explode(F.array(*self._slots(F.col("probe")))).alias("slot")).select((F.col("slot") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
         words = slots.groupBy("at").agg(F.bit_or("bit").alias("bits"))
         pages = words.groupBy(F.floor(F.col("at") / PAGE).alias("page")).agg(F.array_join(F.collect_list(F.concat_ws(":", "at", "bits")), ",").alias("longs"))
         longs = [0] * (self.bits // 64)
@@ -98,19 +82,51 @@ class TestWindows:
     def may_hold(self, probe: Column) -> Column:
         tests = []
         for slot in self._slots(probe):
-            word = self.bitmap[F.shiftrightunsigned(slot, 6).cast("int")]
+            word = self.longs[F.shiftrightunsigned(slot, 6).cast("int")]
             tests.append(F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return tests[0] & tests[1]
 
 
+class TestWindows:
+    """The distinct windows of a benchmark: exact table, bitmap, and the lengths that occur."""
+
+    __test__ = False
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW):
+        items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+        own = F.coalesce(*[F.when(F.size("w") == k, _probe(F.col("w"), F.lit(0), k)) for k in range(1, window)], F.lit(0).cast("long"))
+        short = items.where(F.size("w") < window).select("item", F.size("w").alias("len"), F.array_join("w", " ").alias("words"), own.alias("probe"))
+        each = F.transform(_starts(F.col("w"), window), lambda i: F.struct(window_text(F.col("w"), i, window).alias("words"), _probe(F.col("w"), i, window).alias("probe")))
+        full = items.select("item", F.lit(window).alias("len"), F.explode(each).alias("x")).select("item", "len", "x.words", "x.probe")
+        every = checkpointed(short.unionByName(full).distinct())
+        # Windows that occur in the same items share a set; a document's items are its sets' items.
+        sets = every.groupBy("len", "words", "probe").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set_id", F.md5(F.array_join("items", ",")))
+        self.table = checkpointed(sets.select("len", "words", "probe", "set_id"))
+        self.sets = checkpointed(sets.select("set_id", F.explode("items").alias("item")).distinct())
+        known = self.table.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.octet_length("words") + F.octet_length("set_id")).alias("bytes")).collect()  # at most ``window`` rows
+        self.lengths = {r["len"]: r["n"] for r in known}
+        self.n = sum(self.lengths.values())
+        self.small = self.n <= BROADCAST_WINDOWS and sum(r["bytes"] for r in known) <= BROADCAST_BYTES
+        self.bitmap = Bitmap(self.table.select("probe"), self.n)
+        self.bits = self.bitmap.bits
+
+    def may_hold(self, probe: Column) -> Column:
+        return self.bitmap.may_hold(probe)
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _if_small(df: DataFrame, size: Column) -> DataFrame:
-    """df, a written table, to be broadcast if its rows and the sum of ``size`` are within bounds."""
+def _is_small(df: DataFrame, size: Column) -> tuple[bool, int]:
+    """Whether a written table may be broadcast, by its rows and the sum of ``size``; its rows."""
     r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if r["n"] <= BROADCAST_WINDOWS and r["bytes"] <= BROADCAST_BYTES else df
+    return r["n"] <= BROADCAST_WINDOWS and r["bytes"] <= BROADCAST_BYTES, r["n"]
+
+
+def _copied(df: DataFrame) -> DataFrame:
+    """df once for each salt, so that what one of its keys meets is many keys."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def scan(docs: DataFrame, tests: TestWindows, keep: list[str]) -> DataFrame:
@@ -153,7 +169,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     tests = TestWindows(benchmark, window)
     scanned = scan(docs, tests, ["doc_id"])
     hits = checkpointed(find_hits(scanned, tests).select("_at", "n_hit", "set_ids"))
-    each = hits.select("_at", F.explode("set_ids").alias("set_id")).join(_if_small(tests.sets, F.octet_length("item") + 32), "set_id")
+    each = hits.select("_at", F.explode("set_ids").alias("set_id"))
+    if _is_small(tests.sets, F.octet_length("item") + 32)[0]:
+        each = each.join(F.broadcast(tests.sets), "set_id")
+    else:  # one passage may be in a third of all documents
+        each = each.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS)).cast("int")).join(_copied(tests.sets), ["set_id", "_salt"])
     items = each.groupBy("_at").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.col("_at").alias("_item_at"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     known = hits.select(F.col("_at").alias("_hit_at"), "n_hit").join(items, F.col("_hit_at") == F.col("_item_at"))
     rows = scanned.select("_at", "doc_id", "n_words").join(known, F.col("_at") == F.col("_hit_at"), "left")
@@ -166,9 +186,20 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, what: str = "docu
     tests = TestWindows(benchmark, window)
     hits = find_hits(scan(docs.select("text"), tests, []), tests)
     hit = checkpointed(hits.groupBy(F.col("digest").alias("_hit_digest")).agg(F.first("spans").alias("_hit_spans")))  # equal texts have equal spans
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _digest(docs["text"]).alias("_of"))
+    small, n = _is_small(hit, F.lit(16) if what == "documents" else F.lit(16) + 8 * F.size("_hit_spans"))
+    if what == "documents":
+        hit = hit.select("_hit_digest")
+    on = F.col("_of") == F.col("_hit_digest")
+    if small:
+        both = rows.join(F.broadcast(hit), on, "left")
+    else:
+        # Texts that a bitmap of the hit ones passes over stay where they are; copies of a hit text are dealt over its copies.
+        may = Bitmap(hit.select(F.xxhash64("_hit_digest").alias("probe")), n).may_hold(F.xxhash64("_of")) & (F.coalesce(F.length("_row.text"), F.lit(0)) > 0)
+        asked = rows.where(may).withColumn("_row_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(_copied(hit), on & (F.col("_row_salt") == F.col("_salt")), "left")
+        both = asked.drop("_row_salt", "_salt").unionByName(rows.where(~may), allowMissingColumns=True)
     if what == "documents":
-        return docs.join(_if_small(hit.select("_hit_digest"), F.lit(16)), _digest(docs["text"]) == hit["_hit_digest"], "left_anti")
-    both = docs.select(F.struct(*docs.columns).alias("_row")).join(_if_small(hit, F.lit(16) + 8 * F.size("_hit_spans")), _digest(F.col("_row.text")) == F.col("_hit_digest"), "left")
+        return both.where(F.col("_hit_digest").isNull()).select("_row.*")
     left = F.array_join(F.filter(words(F.col("_row.text")), lambda w, i: ~F.exists("_hit_spans", lambda s: (s["begin"] <= i) & (i < s["end"]))), " ")
     text = F.when(F.col("_hit_digest").isNotNull(), left).otherwise(F.col("_row.text")).alias("text")
     return both.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

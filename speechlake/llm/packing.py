@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import digest64, lean, runs, text_chunks, tune
+from speechlake.llm.common import checkpointed, digest64, ids_if_small, lean, runs, text_chunks, tune
 
 #: Words of a sequence; most documents of a source in one; documents of a packing group, about.
 CAPACITY, PER_SOURCE, GROUP_DOCS = 2048, 4, 4096
@@ -145,7 +145,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
                 yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2).slice(at, len(ids)), batch.column(3).slice(at, len(ids)), cluster, pa.array(words)], ["doc_id", "source", "g", "cluster", "words"])
                 at += len(ids)
 
-    by = F.xxhash64(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    # An id that more rows than a group's have is dealt over groups row by row; there are fewer such ids than groups.
+    often = docs.groupBy(F.col("doc_id").cast("long").alias("_often")).agg(F.count("*").alias("n")).where((F.col("n") > group_docs) & F.col("_often").isNotNull()).select("_often")
+    dealt_by_row = F.col("doc_id").isNull()
+    if not often.isEmpty():
+        docs = docs.join(ids_if_small(checkpointed(often)), docs["doc_id"].cast("long") == F.col("_often"), "left")
+        dealt_by_row = dealt_by_row | F.col("_often").isNotNull()
+    by = F.xxhash64(F.col("doc_id").cast("long"), F.when(dealt_by_row, F.monotonically_increasing_id()))
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.pmod(by, F.lit(n_groups)).cast("int").alias("g")]
     measured = docs.select(*columns, *([F.coalesce(F.col("cluster").cast("long"), by).alias("cluster")] if given else [])).mapInArrow(lean(measure), "doc_id long, source string, g int, cluster long, words long")
     dealt = measured.where("words > 0")

@@ -9,8 +9,10 @@ with a third of all captures is spread out.
 
 Entries: ``domain`` names a host and all below it, however many labels either has; ``prefix`` names host and path, the
 folder with all below it where it ends in a slash, else that address alone. Hosts match in any case, paths as they
-stand; an address without a path is not its root folder's; ports, user names, queries and fragments don't count; a host
-may be an IPv6 address in brackets.
+stand; an address without a path is not its root folder's; ports, user names (all before the last @), queries and
+fragments don't count; a host may be an IPv6 address in brackets. Hosts are held in one form in addresses and entries:
+percent codes decoded, without dots at the end, full stops of other scripts as dots; backslashes are slashes, and an address may
+begin with two slashes. Punycode isn't folded with the letters it stands for: list both.
 
 Defined results: a capture without a host or fetch time is kept; events of one key, list and day apply removals
 first; an addition of what is on the list, or a removal of what is not, changes nothing; repeated captures are
@@ -26,18 +28,31 @@ from speechlake.llm.common import checkpointed
 
 #: Most intervals that are broadcast, and most bytes of their keys; copies of each interval where they aren't.
 BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 200_000, 32 << 20, 16
-#: What stands before the path: scheme, user, then host or bracketed address.
-_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:\[]+)"
-_PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
+#: What stands before a path: a scheme, or none before two slashes; then the authority.
+_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/]*)"
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/]*(.*)$"
+
+
+def _before_query(url: Column) -> Column:
+    """An address up to its query or fragment, with slashes for backslashes."""
+    return F.replace(F.regexp_extract(F.trim(url), r"(?s)^([^?#]*)", 1), F.lit("\\"), F.lit("/"))
+
+
+def host_name(host: Column) -> Column:
+    """The normal form of a host: lower case, decoded, full stops of other scripts as dots, none at the end."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
+    return F.rtrim(F.translate(F.lower(decoded), "\u3002\uff0e\uff61", "..."), F.lit("."))
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of an address, null where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(""))
+    """The host of an address in its normal form, null where there is none."""
+    authority = F.regexp_extract(_before_query(url), _AUTHORITY, 1)
+    own = F.substring_index(authority, "@", -1)
+    return F.nullif(host_name(F.regexp_extract(own, r"^(\[[^\]]*\]|[^:\[]+)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(url, _PATH, 1)
+    return F.regexp_extract(_before_query(url), "(?s)" + _PATH, 1)
 
 
 def depth_of(kind: Column, pattern: Column) -> Column:
@@ -57,8 +72,8 @@ def keys_of(host: Column, path: Column, labels: list[int], folders: list[int]) -
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, depth, list, valid_from, valid_to) from events (list, kind, pattern, action add or remove, dated); valid_to is null while an entry holds. Host names lose their case, paths keep it."""
-    host = F.lower(F.substring_index("pattern", "/", 1))
-    pattern = F.when(F.col("kind") == "domain", F.lower("pattern")).otherwise(F.concat(host, F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)")))
+    host = host_name(F.substring_index("pattern", "/", 1))
+    pattern = F.when(F.col("kind") == "domain", host_name(F.col("pattern"))).otherwise(F.concat(host, F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)")))
     known = entries.where(F.col("dated").isNotNull() & F.col("pattern").isNotNull()).withColumn("pattern", pattern)
     events = known.select(F.concat_ws(":", "kind", "pattern").alias("key"), depth_of(F.col("kind"), F.col("pattern")).alias("depth"), F.col("list"), "dated", (F.col("action") == "add").alias("on"))
     daily = events.groupBy("key", "depth", "list", "dated").agg(F.max("on").alias("on"))  # removals of a day come before its additions
@@ -125,9 +140,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = rf"""
 WITH entries(list, kind, pattern, action, dated) AS (VALUES
   {_VALUES}),
-captures AS (SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched,
-  nullif(lower(regexp_extract(url, '{_HOST}', 1)), '') AS host,
-  regexp_extract(url, '{_PATH}', 1) AS path FROM pages),
+plain AS (SELECT page_id, replace(split_part(split_part(trim(url), '?', 1), '#', 1), chr(92), '/') AS u FROM pages),
+cut AS (SELECT page_id, u, strpos(u, '//') AS pos FROM plain),
+rest AS (SELECT page_id, CASE WHEN pos = 1 OR pos > 2 AND u[pos - 1] = ':' AND u[1] BETWEEN 'A' AND 'z' AND translate(lower(left(u, pos - 2)), 'abcdefghijklmnopqrstuvwxyz0123456789+.-', '') = '' THEN u[pos + 2:] ELSE '' END AS r FROM cut),
+parts AS (SELECT page_id, string_split(r, '/')[1] AS authority, r FROM rest),
+named AS (SELECT page_id, string_split(authority, '@')[-1] AS a, r[length(authority) + 1:] AS path FROM parts),
+hosts AS (SELECT page_id, path, nullif(rtrim(lower(url_decode(CASE WHEN a[1] = '[' THEN split_part(a, ']', 1) || ']' ELSE split_part(a, ':', 1) END)), '.'), '') AS host FROM named),
+captures AS (SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched, host, path FROM hosts),
 last_event AS (
   SELECT c.page_id, e.list, e.pattern, arg_max(e.action, e.dated || CASE e.action WHEN 'add' THEN '2' ELSE '1' END) AS state
   FROM captures c JOIN entries e ON CAST(e.dated AS DATE) <= c.fetched AND CASE e.kind

@@ -75,3 +75,17 @@ def test_empty_lists_and_tables(spark):
     day = dt.date(2024, 1, 1)
     assert run(spark, [(1, "http://a.com", day)], []) == {1: []}
     assert run(spark, [], [("l", "domain", "a.com", "add", day)]) == {}
+
+
+def test_addresses_that_mean_the_same_host(spark):
+    day = dt.date(2024, 1, 1)
+    events = [("l", "domain", "Example.COM.", "add", day), ("p", "prefix", "ex%61mple.org/Dir/", "add", day)]
+    urls = [
+        "http://example.com./a", "http://u:p@ss@example.com/", "http://example.com\\a", "//example.com/a", "http:\\\\example.com", "http://ex%61mple.com/", " http://www.example.com:80?x", "http://example\u3002com/", "http://example.com..:8080#a",
+        "http://u@a@example.org./Dir/x", "http://example.org\\Dir\\x",
+    ]
+    found = run(spark, [(k, u, day) for k, u in enumerate(urls)], events)
+    assert [found[k] for k in range(len(urls))] == [["l"]] * 9 + [["p"]] * 2
+    others = ["http://example.com@other.net/", "http://other.net/?//example.com/", "http://other.net/example.com", "http://example.com%zz/", "http://notexample.com/", "example.com/a", "http://example.org/dir/x", "http:///example.com", "http://[example.com]/"]
+    found = run(spark, [(k, u, day) for k, u in enumerate(others)], events)
+    assert [found[k] for k in range(len(others))] == [[]] * len(others)
