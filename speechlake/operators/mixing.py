@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.operators.ranking import group_row_numbers, row_numbers, seeded
+from speechlake.operators.ranking import group_row_numbers, row_numbers, seeded, seeded_bottom
 
 #: Default shares of the first training stage's sources.
 STAGE1 = {"golos": 0.35, "cv": 0.25, "ruls": 0.15, "podlodka": 0.10, "telephony": 0.10, "nonspeech": 0.05}
@@ -62,9 +62,8 @@ def ratio_mix(rows: DataFrame, source: str, ratios: dict[str, float], target: in
     missing = [k for k in ratios if ratios[k] < 0]
     if missing:
         raise ValueError(f"negative ratios: {missing}")
-    plan = rows.sparkSession.createDataFrame(list(mix_plan(ratios, target).items()), "_source string, planned int")
-    wanted = rows.join(F.broadcast(plan), rows[source] == F.col("_source")).drop("_source")
-    return group_row_numbers(wanted, [source], [seeded(seed, source, key), F.col(key)]).where(F.col("rn") <= F.col("planned")).drop("n_group", "planned")
+    plan = rows.sparkSession.createDataFrame(list(mix_plan(ratios, target).items()), "_group string, planned int")
+    return seeded_bottom(rows, plan, source, seed, [key], [source, key])
 
 
 def temperature_ratios(counts: dict[str, int], tau: float = 0.5) -> dict[str, float]:

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What a local session is built with; a cluster sets its own master and sizes.
 LOCAL = {
@@ -52,3 +52,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="speechlake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/speechlake-{uuid.uuid4().hex}/{name}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder: a lost executor loses none of it, and Spark's cleaner may drop it with the last reference."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(path) if path else work_folder(spark, "checkpoints")
+    return df.checkpoint()
