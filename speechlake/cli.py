@@ -49,13 +49,13 @@ def evaluate(spark, a):
 
 
 def finetune(spark, a):
-    """Worst segments within a budget of hours. durations: JSON map from keys to seconds; without it WAV headers are read."""
+    """Worst segments within a budget of hours. durations: JSON map from keys to seconds; without it headers of audio files are read."""
     pairs = errors.matched_pairs(_refs(spark, a.references), readers.read_predictions(spark, {"m": a.predictions}))
     scores = errors.segment_metrics(pairs).select("utt_id", "wer", "cer", "ref", "hyp")
     if a.durations:
         seconds = readers.read_json_map(spark, a.durations, "utt_id", "duration").withColumn("duration", F.expr("try_cast(duration as double)"))
     else:
-        seconds = inference.with_durations(readers.read_audio(spark, a.audio_dir)).select(F.col("audio_filepath").alias("utt_id"), "duration")
+        seconds = inference.named_durations(readers.audio_paths(spark, a.audio_dir)).select(F.col("audio_filepath").alias("utt_id"), "duration")
     taken = selection.hours_budget(scores.join(seconds, "utt_id", "left"), a.hours)
     writers.write_jsonl(taken.select(F.col("utt_id").alias("audio"), F.col("ref").alias("reference"), F.col("hyp").alias("prediction"), "wer", "cer", "duration"), a.output)
     print(writers.console(selection.total_hours(taken)))

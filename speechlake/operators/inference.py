@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechlake.functions import audio_headers
 from speechlake.session import ship_code
 
 #: Clips of a batch by model family; others take the last.
@@ -96,26 +99,47 @@ def with_fallback(first: Callable[[list], list[str]], second: Callable[[list], l
     return run
 
 
-def wav_seconds(content: bytes | None) -> float | None:
-    """Length of a WAV file from its header; None where it can't be read."""
-    if not content:
-        return None
-    try:
-        with wave.open(io.BytesIO(content)) as w:
-            return w.getnframes() / w.getframerate()
-    except (wave.Error, EOFError, ZeroDivisionError):
-        return None
+def audio_seconds(content: bytes | None) -> float | None:
+    """Length of a WAV, FLAC or MP3 file from its headers; None where they don't tell."""
+    return audio_headers.seconds(audio_headers.of_bytes(content)) if content else None
+
+
+#: The same by the name that says what most files are.
+wav_seconds = audio_seconds
 
 
 def with_durations(files: DataFrame, content: str = "content") -> DataFrame:
     @F.pandas_udf("double")
     def seconds(x: pd.Series) -> pd.Series:
-        return x.map(wav_seconds).astype("float64")
+        return x.map(audio_seconds).astype("float64")
 
     ship_code(files.sparkSession)
     return files.withColumn("duration", F.when(F.isnan(seconds(F.col(content))), None).otherwise(seconds(F.col(content))))
 
 
+def named_durations(named: DataFrame) -> DataFrame:
+    """(audio_filepath, duration, bytes_read) of the files that the rows (path) name: only their headers are read, where the rows are. A file that can't be read has no duration."""
+    ship_code(named.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, lengths, seen = batch.column(0).to_pylist(), [], []
+            for p in paths:
+                try:
+                    plain = p.removeprefix("file://").removeprefix("file:")
+                    store, name = pa.fs.FileSystem.from_uri(plain) if "://" in plain else (pa.fs.LocalFileSystem(), plain)
+                    with store.open_input_file(name) as f:
+                        file = audio_headers.Ranges(lambda at, n, f=f: f.read_at(n, at), f.size())
+                        lengths.append(audio_headers.seconds(file))
+                        seen.append(file.seen)
+                except (OSError, ValueError):
+                    lengths.append(None)
+                    seen.append(0)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.float64()), pa.array(seen, pa.int64())], ["audio_filepath", "duration", "bytes_read"])
+
+    return named.where("path is not null").select("path").mapInArrow(run, "audio_filepath string, duration double, bytes_read long")
+
+
 def recognize_names(texts: DataFrame, column: str, model: Callable[[list[str]], list[list[str]]] | None = None) -> DataFrame:
     """texts with ``entities``: the plugged model's, or capitalized words where there is none or it finds none."""
     from speechlake.functions.text import capitalized_tokens

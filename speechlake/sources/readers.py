@@ -160,6 +160,12 @@ def read_arrow_shards(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, "split string, audio_filepath string, text string").where("audio_filepath is not null")
 
 
+def audio_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the .wav, .flac and .mp3 files below a folder, which is listed and not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path").where(manifests.is_audio(F.col("path")))
+
+
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
     """(audio_filepath, content) of .wav, .flac and .mp3 files below a folder, of one file, or of those that a manifest (.jsonl), a JSON object (its keys) or a JSON list names. Contents are not sorted: order the paths where order has meaning."""
     if path.endswith(".jsonl"):
