@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,7 +21,7 @@ from speechlake.operators import inference, manifests, mixing, ranking
 from speechlake.plans import harness
 from speechlake.queries import _manifest, _utt, query
 from speechlake.session import ship_code, work_folder
-from speechlake.sources import readers, writers
+from speechlake.sources import arrow_shards, readers, writers
 
 #: Entries of one JSON object where a whole table goes out as objects.
 ENTRIES = 10_000
@@ -457,3 +458,63 @@ def file_audio_lengths(spark, d):
     named = spark.read.parquet(listed)
     found = inference.named_durations(named)
     return named.join(found, named["path"] == found["audio_filepath"]).select("doc_id", "duration", (F.col("bytes_read") <= 70_000).alias("headers_only"))
+
+
+@query(
+    r"""SELECT CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 4 <> 3"""
+)
+def file_arrow_ranges(spark, d):
+    """Cached Arrow shards by the source that cuts them into ranges of record batches: two columns of three, shards that name a split."""
+    ship_code(spark)
+    base = work_folder(spark, "shards")
+    rows = harness.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = writers.file_system(base)
+        n = 0
+        for batch in batches:
+            for k, name in enumerate(("train", "valid", "test", "other")):
+                mine = batch.filter(pa.array([i % 4 == k for i in batch.column(0).to_pylist()]))
+                if mine.num_rows:
+                    store.create_dir(f"{root}/{name}")
+                    with store.open_output_stream(f"{root}/{name}/{TaskContext.get().partitionId()}-{n}.arrow") as out, pa.ipc.new_stream(out, mine.schema) as w:
+                        for b in pa.Table.from_batches([mine]).to_batches(max_chunksize=100):
+                            w.write_batch(b)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    listed = work_folder(spark, "listed")
+    rows.select("doc_id", "text", F.lit("unused").alias("more")).mapInArrow(write, "n long").write.parquet(listed)
+    if not sum(r.n for r in spark.read.parquet(listed).groupBy().agg(F.sum("n").alias("n")).collect() if r.n):
+        return rows.select(F.lit("").alias("split"), "doc_id", "text").limit(0)
+    spark.dataSource.register(arrow_shards.ArrowShards)
+    return spark.read.format("arrow_shards").option("columns", "doc_id,text").load(base).where("split is not null").select("split", "doc_id", "text")
+
+
+# ------------------------------------------------------------------ signal and noise
+
+
+def _recording(i: int) -> bytes:
+    """Noise of one strength with bursts of another, both square waves whose energies are known, at 8 kHz."""
+    low = 50 + i % 20
+    high, burst = low * (2 + i % 9), 10 + i % 7
+    frames = [low] * 30 + ([high] * burst + [low] * 20) * (1 + i % 5)
+    x = (np.repeat(np.array(frames), 80) * np.tile([1, -1], 40 * len(frames))).astype("<i2").tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(x)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", len(x)) + x
+
+
+@query(
+    """WITH a AS (SELECT doc_id, 50 + doc_id % 20 AS low, 2 + doc_id % 9 AS times, 10 + doc_id % 7 AS burst, 1 + doc_id % 5 AS n FROM documents)
+SELECT doc_id, round((30 + n * (burst + 20)) / 100.0::DOUBLE, 6) AS duration, round(n * burst / 100.0::DOUBLE, 6) AS speech_seconds, round(10 * log10(times * times - 1), 6) AS snr_db FROM a WHERE times >= 3"""
+)
+def audio_signal_filter(spark, d):
+    """Recordings, one for each document, measured and filtered: those whose bursts stand high enough above their noise."""
+    ship_code(spark)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_recording(i) for i in batch.column(0).to_pylist()], pa.binary())], ["doc_id", "content"])
+
+    made = harness.table(spark, d, "documents").select("doc_id").mapInArrow(make, "doc_id long, content binary")
+    kept = inference.signal_filter(inference.with_signal(made), 5.0)
+    return kept.select("doc_id", F.round("duration", 6).alias("duration"), F.round("speech_seconds", 6).alias("speech_seconds"), F.round("snr_db", 6).alias("snr_db"))
