@@ -518,3 +518,18 @@ def audio_signal_filter(spark, d):
     made = harness.table(spark, d, "documents").select("doc_id").mapInArrow(make, "doc_id long, content binary")
     kept = inference.signal_filter(inference.with_signal(made), 5.0)
     return kept.select("doc_id", F.round("duration", 6).alias("duration"), F.round("speech_seconds", 6).alias("speech_seconds"), F.round("snr_db", 6).alias("snr_db"))
+
+
+@query("SELECT doc_id, (30 + (1 + doc_id % 5) * (30 + doc_id % 7)) * 160 AS n_samples, 80 AS n_mels, 30 + (1 + doc_id % 5) * (30 + doc_id % 7) AS n_frames, TRUE AS loud FROM documents")
+def audio_features(spark, d):
+    """Recordings, one for each document, at 16 kHz and as mel features; loud: the highest band's level is in the last frames of a burst, not in the noise before the first."""
+    ship_code(spark)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_recording(i) for i in batch.column(0).to_pylist()], pa.binary())], ["doc_id", "content"])
+
+    made = harness.table(spark, d, "documents").select("doc_id").mapInArrow(make, "doc_id long, content binary")
+    found = inference.with_features(made, seconds=None)
+    level = lambda a, z: F.array_max(F.transform("features", lambda band: F.array_max(F.slice(band, a, z))))
+    return found.select("doc_id", "n_samples", F.size("features").alias("n_mels"), F.size(F.col("features")[0]).alias("n_frames"), (level(32, 8) > level(2, 26)).alias("loud"))

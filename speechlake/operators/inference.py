@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.functions import audio_headers, signal
+from speechlake.functions import audio_headers, features, signal
 from speechlake.session import ship_code
 
 #: Clips of a batch by model family; others take the last.
@@ -154,6 +154,29 @@ def with_signal(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(*kept, content).mapInArrow(run, kinds + "duration double, level_db double, speech_seconds double, snr_db double")
 
 
+def with_features(files: DataFrame, content: str = "content", seconds: float | None = 30.0) -> DataFrame:
+    """files with n_samples at 16 kHz and features, a list of frames for each mel band, of their WAV content cut or filled to so many seconds; null where it can't be read."""
+    ship_code(files.sparkSession)
+    kept = [c for c in files.columns if c != content]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.select(*kept).schema)
+
+    def one(raw: bytes | None) -> tuple[int | None, list | None]:
+        try:
+            rate, blocks = signal.samples_of(raw or b"")
+            x = np.concatenate([np.zeros(0), *blocks])
+        except (wave.Error, EOFError, ValueError, ZeroDivisionError):
+            return None, None
+        return -(-len(x) * features.RATE // rate), features.clip_features(x, rate, seconds).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, raw in enumerate(batch.column(len(kept)).to_pylist()):  # a clip's features are a row of some size
+                n, found = one(raw)
+                yield pa.RecordBatch.from_arrays([*[c.slice(k, 1) for c in batch.columns[: len(kept)]], pa.array([n], pa.int64()), pa.array([found], pa.list_(pa.list_(pa.float32())))], [*kept, "n_samples", "features"])
+
+    return files.select(*kept, content).mapInArrow(run, kinds + "n_samples long, features array<array<float>>")
+
+
 def signal_filter(measured: DataFrame, least_snr: float = 5.0, least_level: float = -60.0, least_speech: float = 0.0) -> DataFrame:
     """Rows of with_signal whose ratio, level and speech reach the limits; what could not be measured drops. (Described in the domain's methodology, an extension.)"""
     return measured.where((F.col("snr_db") >= least_snr) & (F.col("level_db") >= least_level) & (F.col("speech_seconds") >= least_speech))

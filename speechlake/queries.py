@@ -107,7 +107,8 @@ def dedup_last_wins(spark, d):
 @query(S.with_(*_ALL) + "SELECT CAST(utt_id AS VARCHAR) AS utt_id, model_id, CASE WHEN utt_id % 9 = 0 THEN 0.0 ELSE wer END AS wer, cer, CASE WHEN utt_id % 6 = 0 THEN NULL ELSE sim END AS sim FROM scores WHERE model_id = 'm2' AND utt_id % 14 <> 3")
 def scan_scores(spark, d):
     k = F.col("utt_id")
-    raw = _scores(spark, d).select(
+    scores = errors.per_utterance(_pairs(spark, d).where("model_id = 'm2'"), harness.similarity(spark, d))  # what isn't read isn't scored
+    raw = scores.select(
         k.cast("string").alias("utt_id"), F.concat(F.lit(" "), "model_id").alias("model_id"), F.when(k % 14 == 3, "n/a").when(k % 9 == 0, "").otherwise(F.col("wer").cast("string")).alias("wer"),
         F.col("cer").cast("string").alias("cer"), F.when(k % 12 == 0, "None").when(k % 6 == 0, "").otherwise(F.col("sim").cast("string")).alias("sim"),
     )
