@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from speechlake.llm import stages
 from speechlake.llm.centroids import OP13_SQL, op13_centroid_clusters
 from speechlake.llm.decontaminate import OP4_SQL, op4_decontaminate
 from speechlake.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
@@ -31,7 +31,7 @@ QUERIES = {
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_projected_search": op12_projected_search,
     "op13_centroid_clusters": op13_centroid_clusters,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 
 ORACLE: dict[str, str] = {
