@@ -346,10 +346,9 @@ def short_audio(spark, d):
 
 @query("SELECT source, round(sqrt(n) / sum(sqrt(n)) OVER (), 6) AS share FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)")
 def temperature_shares(spark, d):
-    """Shares of sources by the root of their rows; sources are few, so that their counts are named to the driver."""
-    counts = harness.table(spark, d, "documents").where("source is not null").groupBy("source").count().collect()
-    shares = mixing.temperature_ratios({r["source"]: r["count"] for r in counts}) if counts else {}
-    return spark.createDataFrame(list(shares.items()), "source string, share double").withColumn("share", F.round("share", 6))
+    """Shares of sources by the root of their rows."""
+    counts = harness.table(spark, d, "documents").where("source is not null").groupBy("source").count()
+    return mixing.temperature_shares(counts, "count").select("source", F.round("share", 6).alias("share"))
 
 
 # ------------------------------------------------------------------ reports

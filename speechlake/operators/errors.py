@@ -10,7 +10,7 @@ from speechlake.session import ship_code
 
 
 def pair_with_models(refs: DataFrame, preds: DataFrame, models: list[str] | None = None) -> DataFrame:
-    """Every reference for every model, its hypothesis empty where the model has none. refs: (utt_id, ref, ...); preds: (model_id, utt_id, hyp)."""
+    """Every reference for every model, its hypothesis empty where the model has none. refs: (utt_id, ref, ...); preds: (model_id, utt_id, hyp), a row a model and key as readers.read_predictions gives; rows that repeat both are scored each."""
     names = models if models is not None else sorted(r[0] for r in preds.select("model_id").distinct().collect())
     each = refs.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in names]).cast("array<string>")))
     return each.join(preds, ["model_id", "utt_id"], "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))

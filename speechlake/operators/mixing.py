@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechlake.operators.ranking import group_row_numbers, row_numbers, seeded, seeded_bottom
 
-#: Default shares of the first training stage's sources.
+#: Default shares of the first training stage's sources.
 STAGE1 = {"golos": 0.35, "cv": 0.25, "ruls": 0.15, "podlodka": 0.10, "telephony": 0.10, "nonspeech": 0.05}
 
 
@@ -71,6 +71,12 @@ def temperature_ratios(counts: dict[str, int], tau: float = 0.5) -> dict[str, fl
     return normalize_ratios({k: float(n) ** tau for k, n in counts.items()})
 
 
+def temperature_shares(counts: DataFrame, count: str, tau: float = 0.5) -> DataFrame:
+    """counts with share, as temperature_ratios has it, of any number of sources: only the sum meets the driver. (Described in the domain's methodology, an extension.)"""
+    total = counts.agg(F.sum(F.pow(F.col(count).cast("double"), F.lit(tau)))).first()[0]
+    return counts.withColumn("share", F.pow(F.col(count).cast("double"), F.lit(tau)) / F.lit(total))
+
+
 def reservoir_sample(rows: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly k rows, uniformly and reproducibly; a small k is a top-k, without a full sort."""
     return rows.orderBy(seeded(seed, key), key).limit(k)

@@ -562,15 +562,17 @@ def sliding_chunks(spark, d):
 _MIX = {"en": 0.5, "de": 0.3, "fr": 0.2}
 
 
-_STAGE1_ROWS = ", ".join(f"({i}, '{k}', {v})" for i, (k, v) in enumerate(mixing.STAGE1.items(), 1))
-
-
 @query(
-    f"WITH r(i, dataset, share) AS (VALUES {_STAGE1_ROWS}), p AS (SELECT i, dataset, CAST(round_even(CAST(share AS DOUBLE) / (SELECT sum(CAST(share AS DOUBLE)) FROM r) * 105, 0) AS BIGINT) AS k FROM r), d AS (SELECT CAST(105 - sum(k) AS BIGINT) AS rest FROM p) "
-    "SELECT dataset, CAST(k + CASE WHEN i <= abs(rest) THEN sign(rest) ELSE 0 END AS BIGINT) AS planned FROM p CROSS JOIN d"
+    """WITH c AS (SELECT lang AS dataset, count(*) AS available, row_number() OVER (ORDER BY lang) AS i FROM documents WHERE lang IS NOT NULL GROUP BY lang), t AS (SELECT sum(available) // 2 AS target FROM c),
+p AS (SELECT *, CAST(round_even(sqrt(available) / (SELECT sum(sqrt(available)) FROM c) * target, 0) AS BIGINT) AS k FROM c JOIN t ON TRUE), d AS (SELECT any_value(target) - sum(k) AS rest FROM p)
+SELECT dataset, available, CAST(k + CASE WHEN i <= abs(rest) THEN sign(rest) ELSE 0 END AS BIGINT) AS planned FROM p JOIN d ON TRUE"""
 )
 def mix_plan(spark, d):
-    return spark.createDataFrame(sorted(mixing.mix_plan(mixing.STAGE1, 105).items()), "dataset string, planned long")
+    """Rows planned of each language for a mix of half the documents, by the roots of their counts."""
+    counts = harness.table(spark, d, "documents").where("lang is not null").groupBy("lang").count()
+    known = {r["lang"]: r["count"] for r in counts.orderBy("lang").collect()}  # a row for each name that a plan has
+    plan = mixing.mix_plan(mixing.temperature_ratios(known), sum(known.values()) // 2) if known else {}
+    return spark.createDataFrame([(k, known[k], n) for k, n in plan.items()], "dataset string, available long, planned long")
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
