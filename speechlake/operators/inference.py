@@ -14,7 +14,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.functions import audio_headers, features, signal
@@ -28,10 +29,12 @@ def batch_size(model: str) -> int:
     return next(n for name, n in BATCH.items() if name in model)
 
 
-def recognize_speech(audio: DataFrame, load: Callable[[], Callable[..., list[str]]], key: str = "audio_filepath", content: str = "content", size: int = 16, arguments: tuple[str, ...] = ()) -> DataFrame:
+def recognize_speech(audio: DataFrame, load: Callable[[], Callable[..., list[str]]], key: str = "audio_filepath", content: str = "content", size: int = 16, arguments: tuple[str, ...] = (), profile: ResourceProfile | None = None) -> DataFrame:
     """(key, hyp) of every row. load() gives a function from a list of contents to as many texts; it is called once for each task.
 
     arguments: columns (languages, task, punctuation) whose values the function gets too, as a list of dictionaries.
+    profile: what a task of this stage needs (model_resources), where that differs from other stages'. There is no barrier:
+    a task that is lost runs again by itself, and only its batches do.
     """
     ship_code(audio.sparkSession)
 
@@ -45,7 +48,31 @@ def recognize_speech(audio: DataFrame, load: Callable[[], Callable[..., list[str
                 texts += model(part[content].tolist(), *more)
             yield pd.DataFrame({key: batch[key], "hyp": texts})
 
-    return audio.select(key, content, *arguments).mapInPandas(run, f"{key} string, hyp string")
+    return audio.select(key, content, *arguments).mapInPandas(run, f"{key} string, hyp string", profile=profile)
+
+
+def model_resources(spark: SparkSession, gpus: float = 1, cpus: int = 1, executor_cores: int | None = None, memory: str | None = None, script: str = "") -> ResourceProfile | None:
+    """What a stage that runs a model asks for: devices and cores of a task, and where given cores, memory and devices of an executor of its own (with dynamic allocation). None on a local master, which can't have them."""
+    if spark.sparkContext.master.startswith("local"):
+        return None
+    return resource_profile(gpus, cpus, executor_cores, memory, script)
+
+
+def resource_profile(gpus: float, cpus: int, executor_cores: int | None, memory: str | None, script: str) -> ResourceProfile:
+    task = TaskResourceRequests().cpus(cpus)
+    if gpus:
+        task = task.resource("gpu", gpus)
+    builder = ResourceProfileBuilder().require(task)
+    if executor_cores or memory:
+        executor = ExecutorResourceRequests()
+        if executor_cores:
+            executor = executor.cores(executor_cores)
+        if memory:
+            executor = executor.memory(memory)
+        if gpus:
+            executor = executor.resource("gpu", max(1, round(gpus * (executor_cores or cpus) / cpus)), script)
+        builder = builder.require(executor)
+    return builder.build
 
 
 def recognize_long(audio: DataFrame, load: Callable[[], Callable[[list], list[str]]], key: str = "audio_filepath", content: str = "content", window: float = 15.0, hop: float = 14.0) -> DataFrame:

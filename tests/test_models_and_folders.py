@@ -102,3 +102,16 @@ def test_hypothesis_text_and_padding(spark):
     assert [r[0] for r in rows.select(manifests.hypothesis_text(rows)).collect()] == ["p", "x"]
     labels = spark.createDataFrame([([1, 2, 3],), ([4],)], "l array<int>")
     assert [r.l for r in manifests.pad_and_mask(labels, "l", 2).collect()] == [[1, 2], [4, -100]]
+
+
+def test_resources_of_a_model_stage(spark):
+    from speechlake.operators import inference
+
+    assert inference.model_resources(spark) is None
+    audio = spark.createDataFrame([("a", bytearray(b"xy")), ("b", None)], "audio_filepath string, content binary")
+    texts = inference.recognize_speech(audio, lambda: lambda batch: [str(len(x or b"")) for x in batch], profile=inference.model_resources(spark))
+    assert {r.audio_filepath: r.hyp for r in texts.collect()} == {"a": "2", "b": "0"}
+    profile = inference.resource_profile(0.5, 2, 8, "6g", "/opt/find.sh")
+    assert {k: v.amount for k, v in profile.taskResources.items()} == {"cpus": 2.0, "gpu": 0.5}
+    assert profile.executorResources["gpu"].amount == 2 and profile.executorResources["cores"].amount == 8
+    assert set(inference.resource_profile(0, 1, None, None, "").taskResources) == {"cpus"}
