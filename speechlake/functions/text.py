@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = string.punctuation
+#: White space, with the four separators of ASCII that Unicode doesn't call so.
+_GAP = r"[\s\x1c-\x1f]"
 
 
 def normalize_basic(x: Column) -> Column:
@@ -20,13 +22,13 @@ def normalize_advanced(x: Column, lower: bool = True, punctuation: bool = True,
     x = F.translate(F.coalesce(x, F.lit("")), "ёЁ", "еЕ")
     x = F.lower(x) if lower else x
     x = F.regexp_replace(x, r"\p{P}", "") if punctuation else x
-    x = F.regexp_replace(x, r"(?U)\s\s+", " ") if collapse else x
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "") if strip else x
+    x = F.regexp_replace(x, f"(?U){_GAP}{_GAP}+", " ") if collapse else x
+    return F.regexp_replace(x, f"(?U)^{_GAP}+|{_GAP}+$", "") if strip else x
 
 
 def tokens(x: Column) -> Column:
     """Words between runs of white space, none of them empty."""
-    return F.filter(F.split(F.coalesce(x, F.lit("")), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(x, F.lit("")), f"(?U){_GAP}+"), lambda t: t != "")
 
 
 def is_number(t: Column) -> Column:

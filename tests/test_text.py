@@ -45,3 +45,16 @@ def test_capitalized(spark):
 def test_file_names(spark, path, stem, suffix):
     row = spark.range(1).select(text.file_stem(F.lit(path)), text.file_suffix(F.lit(path))).head()
     assert tuple(row) == (stem, suffix)
+
+
+def test_separators_of_ascii_are_gaps(spark):
+    from pyspark.sql import functions as F
+
+    from speechlake.functions import text
+
+    x = "\x1ca\x1d \x1eb\x1fc\x85d\u00a0e\u2003 f "
+    r = spark.createDataFrame([(x,)], "x string").select(text.tokens(F.col("x")).alias("t"), text.normalize_advanced(F.col("x")).alias("n")).head()
+    assert r.t == x.split()
+    import re
+
+    assert r.n == re.sub(r"\s\s+", " ", x).strip()
