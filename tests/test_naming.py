@@ -56,3 +56,11 @@ def test_query_over_the_whole_table(spark):
     got = [r.packed_name for r in file_queries.pack_clashing_names(spark, d).orderBy("utt_id").collect()]
     assert got == plain(paths, ["clip1.wav", "clip2_0001.wav", "clip3_0009.wav"]) and len(set(got)) == len(got)
     spark.catalog.clearCache()
+
+
+def test_numbers_of_five_digits_stay_whole(spark):
+    from speechlake.operators import naming
+
+    rows = spark.range(10_005).selectExpr("id", "concat('d/', id, '/x.wav') AS path")
+    got = {r.id: r.packed_name for r in naming.unique_names(rows, "path", "id").collect()}
+    assert len(set(got.values())) == 10_005 and got[0] == "x.wav" and got[9999] == "x_9999.wav" and got[10_004] == "x_10004.wav"
