@@ -137,3 +137,21 @@ def test_query_equals_the_definition_on_every_utterance(spark):
             assert got[utt].n_slots == len(slots)
         assert got[utt].n_models == len(said)
     spark.catalog.clearCache()
+
+
+def test_keys_of_a_batch_together():
+    """Many keys at once give what each gives alone, texts of any length and numbers of models mixed."""
+    import pyarrow as pa
+
+    from speechlake.operators import combination as C
+
+    rng = random.Random(8)
+    kind = pa.list_(pa.struct([("model", pa.string()), ("hyp", pa.string()), ("weight", pa.float64()), ("confidence", pa.float64())]))
+    for longest in (1, 8, 60, 700):
+        keys = [[{"model": f"m{p}", "hyp": " ".join(rng.choices("abcde", k=rng.randint(0, longest))), "weight": rng.choice([0.0, 1.0, 2.0]), "confidence": rng.choice([0.3, 1.0])} for p in range(rng.choice([1, 2, 3, 5]))] for _ in range(20)]
+        n, texts, sure, words = (x.to_pylist() for x in C.combine_batch(pa.array(keys, kind)))
+        for k, said in enumerate(keys):
+            text, mean, won = C.combine_texts(*([x[c] for x in said] for c in ("model", "hyp", "weight", "confidence")))
+            assert (n[k], texts[k], [x["word"] for x in words[k]]) == (len(said), text, [w for w, _ in won])
+            assert sure[k] == mean and [x["score"] for x in words[k]] == [s for _, s in won]
+    assert [len(x) for x in C.combine_batch(pa.array([], kind))] == [0, 0, 0, 0]
