@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -104,3 +106,17 @@ def test_the_pairs_are_made_once(spark):
     frame = spark.range(20).selectExpr("concat('a b', id) AS ref", "'a b' AS hyp").mapInPandas(seen, "ref string, hyp string")
     assert T.token_similarity(frame, digests).count() == 20
     assert made.value == 20
+
+
+def test_the_shuffles_behind_the_pairs_are_dropped(spark):
+    was = spark.conf.get(T.CLEANED, "false")
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: {p.name.split("_")[1] for p in folder.rglob("shuffle_*.data")}
+    before, frame = held(), spark.range(100).selectExpr("'a b' AS ref", "concat('a ', id) AS hyp").repartition(3, "hyp")
+    T.token_similarity(frame, digests)
+    # of the two shuffles that have run, that of the pairs and that of the count over what was written, the first goes
+    stop = time.time() + 20
+    while len(held() - before) > 1 and time.time() < stop:
+        time.sleep(0.2)
+    assert len(held() - before) <= 1
+    assert spark.conf.get(T.CLEANED, "false") == was
